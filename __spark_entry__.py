@@ -60,7 +60,7 @@ def _flat_snapshot(documents: DataFrame) -> DataFrame:
     """The nested document spread over columns, as both engines can compare it."""
     def listing(records: str) -> F.Column:
         return F.array_join(F.transform(records, lambda r: F.concat_ws(
-            ":", r.segment, r.n_accounts, r.n_churned, r.churn_rate_pct.cast("double")
+            ":", F.coalesce(r.segment, F.lit("-")), r.n_accounts, r.n_churned, r.churn_rate_pct.cast("double")
         )), ";")
 
     chi, z = "hypothesis_tests.plan_tier_chi_square", "hypothesis_tests.industry_churn_ztest"
@@ -88,11 +88,12 @@ def _metric_csv(s: MetricSuite) -> DataFrame:
     return io.read_metric_csv(s.spark, path, s.waterfall.schema)
 
 
-def _csv_roundtrip(name: str, mapped: Query) -> Query:
+def _csv_roundtrip(name: str, mapped: Callable[[testbed.Source], DataFrame]) -> Query:
     """A mapped table delivered as CSV and scanned back against its declared schema."""
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = scratch_path(spark, name)
-        io.write_csv(testbed.as_declared(mapped(spark, sf_dir), name), path)
+        table = mapped(testbed.Source(spark, sf_dir))
+        io.write_csv(testbed.as_declared(table, name), path)
         return _report(io.read_table_csv(spark, path, TABLES[name]))
 
     return query
@@ -100,14 +101,14 @@ def _csv_roundtrip(name: str, mapped: Query) -> Query:
 
 def _surrogate_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "feature_usage")
-    usage = testbed.as_declared(testbed.feature_usage(spark, sf_dir), "feature_usage")
-    io.write_csv(usage, path)
+    usage = testbed.feature_usage(testbed.Source(spark, sf_dir))
+    io.write_csv(testbed.as_declared(usage, "feature_usage"), path)
     loaded = io.load_table(spark, path, TABLES["feature_usage"], f"{path}-table")
-    return loaded.groupBy("usage_pk").agg(F.count("*").alias("n")).agg(
+    return _report(loaded.groupBy("usage_pk").agg(F.count("*").alias("n")).agg(
         F.sum("n").alias("n_rows"),
         F.count("usage_pk").alias("n_distinct_keys"),
         F.count_if(F.col("usage_pk").isNull()).alias("n_null_keys"),
-    )
+    ))
 
 
 def _orphans(s: MetricSuite) -> DataFrame:
@@ -250,7 +251,7 @@ def queries() -> dict[str, Query]:
     return {
         **{name: _on_suite(build) for name, build in _SUITE_QUERIES.items()},
         "csv_accounts": _csv_roundtrip(
-            "accounts", lambda spark, d: testbed.accounts(spark, d, with_country=True)
+            "accounts", lambda source: testbed.accounts(source, with_country=True)
         ),
         "csv_subscriptions": _csv_roundtrip("subscriptions", testbed.subscriptions),
         "csv_feature_usage": _csv_roundtrip("feature_usage", testbed.feature_usage),

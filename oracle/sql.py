@@ -222,14 +222,12 @@ MEAN_COLUMNS = ", ".join([
     f"{shown('avg_nrr', 10)} AS avg_nrr_pct_full_period",
 ])
 
-ROUND_P = "round({0}, 4)"
-
 
 def _snapshot() -> str:
     def listing(dimension: str) -> str:
         return (
-            "(SELECT string_agg(segment || ':' || n || ':' || CAST(x AS BIGINT) || ':' || "
-            f"{shown('rate', 10)}, ';' ORDER BY rate DESC, segment) FROM churn "
+            "(SELECT string_agg(coalesce(segment, '-') || ':' || n || ':' || CAST(x AS BIGINT) || ':' || "
+            f"{shown('rate', 10)}, ';' ORDER BY rate DESC, segment NULLS FIRST) FROM churn "
             f"WHERE dimension = '{dimension}')"
         )
 
@@ -257,7 +255,7 @@ def _fact_sheet() -> str:
     def listing(dimension: str) -> str:
         return (
             f"(SELECT string_agg(coalesce(segment, 'n/a') || ' ' || {pct('rate', 10)} || ' (' || "
-            "CAST(x AS BIGINT) || ' of ' || n || ')', ', ' ORDER BY rate DESC, segment) "
+            "CAST(x AS BIGINT) || ' of ' || n || ')', ', ' ORDER BY rate DESC, segment NULLS FIRST) "
             f"FROM churn WHERE dimension = '{dimension}')"
         )
 

@@ -17,25 +17,26 @@ from revspan.functions.money import no_money
 
 
 def _last_start_per_month(subscriptions: DataFrame, calendar: Calendar) -> DataFrame:
-    """Last-started subscription of each account and month (map-side combined).
+    """Last-started subscription of each account and month.
 
-    Starts before the calendar all count towards its first month, so an account holds at
-    most one row per calendar month from here on.
+    Spark keeps the first row of each group already on the map side, so a busy account
+    leaves every task with at most one row per month of its history.
     """
-    latest = F.max(F.struct("start_date", "subscription_id", "end_date", "plan_tier", "mrr_amount"))
+    latest_first = Window.partitionBy("account_id", "start_month").orderBy(
+        F.col("start_date").desc(), F.col("subscription_id").desc()
+    )
     return (
         subscriptions
         .where(F.col("start_date") <= F.last_day(calendar.last))
-        .groupBy(
-            "account_id",
-            F.greatest(month_of("start_date"), calendar.first).alias("from_month"),
-        )
-        .agg(latest.alias("s"), F.min("start_date").alias("first_start"))
+        .withColumn("start_month", month_of("start_date"))
+        .withColumn("recency", F.row_number().over(latest_first))
+        .where(F.col("recency") == 1)
         .select(
-            "account_id", "from_month", "first_start",
-            last_month_covered(F.col("s.end_date")).alias("last_full_month"),
-            F.coalesce("s.mrr_amount", no_money()).alias("mrr"),
-            F.col("s.plan_tier").alias("plan_tier"),
+            "account_id", "start_month",
+            last_month_covered(F.col("end_date")).alias("last_full_month"),
+            F.coalesce("mrr_amount", no_money()).alias("mrr"),
+            "plan_tier",
+            F.lit(False).alias("opening"),
         )
     )
 
@@ -48,50 +49,56 @@ def account_spans(
 ) -> DataFrame:
     """One row per account and reign, in one window over the account.
 
-    Every known account also gets an opening row at the first calendar month, which carries
-    its ``attributes`` and covers the months before its first start.
+    Every known account also gets an opening row, which carries its ``attributes`` and
+    covers the calendar up to its first start.
 
-    account_id, from_month, to_month: the months the row is in charge of
+    account_id, from_month, to_month: the calendar months the row is in charge of; a reign
+        that another one replaced before the calendar begins has none (from > to)
     live_to: last month in which the subscription is active (before from_month: none)
     mrr, plan_tier: of that subscription
-    entry_prior: the account's revenue in the month before from_month
+    entry_prior: the account's revenue in the calendar month before from_month
     cohort_month: month of the account's first start (NULL on the opening row)
     is_first, is_known: first reign of the account; account exists in ``accounts``
     """
-    reigns = _last_start_per_month(subscriptions, calendar).withColumn("opening", F.lit(False))
     openings = accounts.select(
         "account_id",
-        calendar.first.alias("from_month"),
+        calendar.first.alias("start_month"),
         F.lit(True).alias("opening"),
         *attributes,
     )
-    rows = reigns.unionByName(openings, allowMissingColumns=True)
+    rows = _last_start_per_month(subscriptions, calendar).unionByName(
+        openings, allowMissingColumns=True
+    )
 
-    w = Window.partitionBy("account_id").orderBy("from_month", F.col("opening").desc())
+    w = Window.partitionBy("account_id").orderBy(F.col("opening").desc(), "start_month")
+    own_month = F.when(~F.col("opening"), F.col("start_month"))
     before = F.add_months("from_month", -1)
     reaches_here = F.col("prev_last_full_month").isNull() | (F.col("prev_last_full_month") >= before)
+    has_prior = F.col("prev_mrr").isNotNull() & reaches_here & (F.col("start_month") > calendar.first)
     alive_until = F.least("to_month", "last_full_month")
     return (
         rows
         .select(
             "*",
-            F.lead("from_month").over(w).alias("next_from"),
+            F.lead("start_month").over(w).alias("next_start_month"),
             F.lag("last_full_month").over(w).alias("prev_last_full_month"),
             F.lag("mrr").over(w).alias("prev_mrr"),
             F.lag("opening").over(w).alias("prev_opening"),
             F.first("opening").over(w).alias("is_known"),
-            F.first("first_start", ignorenulls=True).over(w).alias("account_first_start"),
+            F.first(own_month, ignorenulls=True).over(w).alias("cohort_month"),
             *[F.first(a).over(w).alias(f"account_{a}") for a in attributes],
         )
-        .withColumn("to_month", F.coalesce(F.add_months("next_from", -1), calendar.last))
-        .withColumn("live_to", F.when(F.col("opening"), before).otherwise(alive_until))
+        .withColumns({
+            "from_month": F.greatest(F.col("start_month"), calendar.first),
+            "to_month": F.coalesce(F.add_months("next_start_month", -1), calendar.last),
+        })
         .select(
-            "account_id", "from_month", "to_month", "live_to",
+            "account_id", "from_month", "to_month",
+            F.when(F.col("opening"), before).otherwise(alive_until).alias("live_to"),
             F.coalesce("mrr", no_money()).alias("mrr"),
             "plan_tier",
-            F.when(F.col("prev_mrr").isNotNull() & reaches_here, F.col("prev_mrr"))
-            .otherwise(no_money()).alias("entry_prior"),
-            F.when(~F.col("opening"), month_of("account_first_start")).alias("cohort_month"),
+            F.when(has_prior, F.col("prev_mrr")).otherwise(no_money()).alias("entry_prior"),
+            "cohort_month",
             (~F.col("opening") & F.coalesce("prev_opening", F.lit(True))).alias("is_first"),
             "is_known",
             *[F.col(f"account_{a}").alias(a) for a in attributes],

@@ -8,25 +8,36 @@ by small rules on the key, so that every declared column holds data.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from revspan.functions.calendar import Calendar
 from revspan.functions.money import MONEY, no_money
-from revspan.plans.suite import MetricSuite, Tables
+from revspan.plans.suite import MetricSuite
 from revspan.sources.schemas import TABLES
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+class Source:
+    """The Parquet tables of one folder, each opened once."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+        self._opened: dict[str, DataFrame] = {}
+
+    def __call__(self, name: str) -> DataFrame:
+        if name not in self._opened:
+            self._opened[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self._opened[name]
 
 
-def subscriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def subscriptions(source: Source) -> DataFrame:
     key = F.col("o_orderkey")
     finished, trial = F.col("o_orderstatus") == "F", F.col("o_orderstatus") == "P"
-    last_shipment = _table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
+    last_shipment = source("lineitem").groupBy("l_orderkey").agg(
         F.max("l_shipdate").alias("last_ship")
     )
-    orders = _table(spark, sf_dir, "orders")
+    orders = source("orders")
     ended = orders.join(last_shipment, (key == F.col("l_orderkey")) & finished, "left")
     start, end = F.col("o_orderdate").cast("date"), F.col("last_ship").cast("date")
     amount = F.when(trial, no_money()).otherwise(F.col("o_totalprice").cast(MONEY))
@@ -48,18 +59,18 @@ def subscriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def accounts(spark: SparkSession, sf_dir: str, with_country: bool = False) -> DataFrame:
+def accounts(source: Source, with_country: bool = False) -> DataFrame:
     """``with_country`` adds the nation's name, which no metric reads."""
     first_order = (
-        _table(spark, sf_dir, "orders")
+        source("orders")
         .groupBy("o_custkey")
         .agg(F.min(F.struct("o_orderdate", "o_orderkey", "o_orderpriority")).alias("first_order"))
     )
     key = F.col("c_custkey")
-    rows = _table(spark, sf_dir, "customer").join(first_order, key == F.col("o_custkey"), "left")
+    rows = source("customer").join(first_order, key == F.col("o_custkey"), "left")
     country: Column = F.lit(None).cast("string")
     if with_country:
-        nation = _table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+        nation = source("nation").select("n_nationkey", "n_name")
         rows = rows.join(nation, F.col("c_nationkey") == F.col("n_nationkey"), "left")
         country = F.col("n_name")
     first_day = F.col("first_order.o_orderdate").cast("date")
@@ -77,9 +88,9 @@ def accounts(spark: SparkSession, sf_dir: str, with_country: bool = False) -> Da
     )
 
 
-def feature_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+def feature_usage(source: Source) -> DataFrame:
     key = F.col("event_id")
-    return _table(spark, sf_dir, "events").select(
+    return source("events").select(
         key.alias("usage_id"),
         F.col("user_id").alias("subscription_id"),
         F.col("ts").cast("date").alias("usage_date"),
@@ -91,12 +102,12 @@ def feature_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def support_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
+def support_tickets(source: Source) -> DataFrame:
     key = F.col("event_id")
     opened = F.date_trunc("second", "ts").cast("timestamp_ntz")
     minutes = F.floor("value").cast("int")
     resolved = key % 4 != 0
-    return _table(spark, sf_dir, "events").select(
+    return source("events").select(
         key.alias("ticket_id"),
         F.col("user_id").alias("account_id"),
         opened.alias("submitted_at"),
@@ -109,9 +120,9 @@ def support_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def churn_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def churn_events(source: Source) -> DataFrame:
     tier = F.col("plan_tier")
-    return subscriptions(spark, sf_dir).where(F.col("end_date").isNotNull()).select(
+    return subscriptions(source).where(F.col("end_date").isNotNull()).select(
         F.col("subscription_id").alias("churn_event_id"),
         "account_id",
         F.col("end_date").alias("churn_date"),
@@ -124,24 +135,42 @@ def churn_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def tables(spark: SparkSession, sf_dir: str) -> Tables:
-    return Tables(
-        accounts(spark, sf_dir),
-        subscriptions(spark, sf_dir),
-        feature_usage(spark, sf_dir),
-        support_tickets(spark, sf_dir),
-        churn_events(spark, sf_dir),
-    )
+class MappedTables:
+    """The five tables, each mapped when first asked for."""
+
+    def __init__(self, source: Source):
+        self.source = source
+
+    @cached_property
+    def accounts(self) -> DataFrame:
+        return accounts(self.source)
+
+    @cached_property
+    def subscriptions(self) -> DataFrame:
+        return subscriptions(self.source)
+
+    @cached_property
+    def feature_usage(self) -> DataFrame:
+        return feature_usage(self.source)
+
+    @cached_property
+    def support_tickets(self) -> DataFrame:
+        return support_tickets(self.source)
+
+    @cached_property
+    def churn_events(self) -> DataFrame:
+        return churn_events(self.source)
 
 
-def calendar(spark: SparkSession, sf_dir: str) -> Calendar:
+def calendar(source: Source) -> Calendar:
     """From the month of the first order to that of the last."""
-    days = _table(spark, sf_dir, "orders").select(F.col("o_orderdate").cast("date").alias("day"))
+    days = source("orders").select(F.col("o_orderdate").cast("date").alias("day"))
     return Calendar.covering(days, "day")
 
 
 def suite(spark: SparkSession, sf_dir: str) -> MetricSuite:
-    return MetricSuite(tables(spark, sf_dir), calendar(spark, sf_dir))
+    source = Source(spark, sf_dir)
+    return MetricSuite(MappedTables(source), calendar(source))
 
 
 def as_declared(table: DataFrame, name: str) -> DataFrame:
