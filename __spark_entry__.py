@@ -44,6 +44,11 @@ def _timeline(s: MetricSuite) -> DataFrame:
     ))
 
 
+def _calendar_months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The calendar as a lazy plan over the orders, bounds included."""
+    return testbed.calendar(testbed.Source(spark, sf_dir)).months(spark)
+
+
 def _requests(s: MetricSuite) -> DataFrame:
     return explore.yearly_requests(s.churn, s.calendar)
 
@@ -151,7 +156,6 @@ def _coverage(s: MetricSuite) -> DataFrame:
 _SUITE_QUERIES: dict[str, Callable[[MetricSuite], DataFrame]] = {
     # Building blocks
     "subscription_timeline": _timeline,
-    "calendar_months": lambda s: s.calendar.months(s.spark),
     "account_month_panel": lambda s: panel.account_month_panel(s.spans),
     "account_movements": lambda s: panel.account_movements(s.spans),
     # Metrics
@@ -250,6 +254,7 @@ def entry(spark: SparkSession) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         **{name: _on_suite(build) for name, build in _SUITE_QUERIES.items()},
+        "calendar_months": _calendar_months,
         "csv_accounts": _csv_roundtrip(
             "accounts", lambda source: testbed.accounts(source, with_country=True)
         ),
