@@ -10,6 +10,9 @@ from revspan.functions.money import percent
 # Fixed value: the significance level used unless the caller gives another.
 ALPHA = 0.05
 
+_SUMS = ("k", "total", "churned", "sum_x2_over_n", "sum_n2")
+_COUNTS = ("n_a", "x_a", "n_b", "x_b")
+
 
 def contingency(churn: DataFrame) -> DataFrame:
     """Churned and not churned accounts per segment."""
@@ -32,8 +35,8 @@ def chi_square_sums() -> list[Column]:
     ]
 
 
-def chi_square_columns(alpha: float = ALPHA) -> list[Column]:
-    """chi2, dof, p_value, significant from ``chi_square_sums``.
+def with_chi_square(sums: DataFrame, alpha: float = ALPHA) -> DataFrame:
+    """Add the struct ``chi_square`` (chi2, dof, p_value, significant) from ``chi_square_sums``.
 
     With a pooled rate p, the k x 2 statistic is sum((x - n p)^2 / (n p (1 - p))), which
     needs no second pass over the segments. Two segments get the continuity correction
@@ -42,50 +45,66 @@ def chi_square_columns(alpha: float = ALPHA) -> list[Column]:
     """
     total, churned, k = F.col("total"), F.col("churned"), F.col("k")
     rate = churned / F.nullif(total, F.lit(0.0))
-    spread = F.nullif(rate * (1 - rate), F.lit(0.0))
-    plain = F.greatest(
-        (F.col("sum_x2_over_n") - churned * churned / total) / spread, F.lit(0.0)
-    )
+    plain = (F.col("sum_x2_over_n") - churned * churned / total) / F.col("spread")
     # In a 2 x 2 table: statistic = deviation^2 * total^3 / (n1 n2 c1 c2).
-    per_deviation = total / ((total * total - F.col("sum_n2")) / 2 * spread)
-    deviation = F.sqrt(plain / per_deviation)
-    kept = F.greatest(deviation - 0.5, F.lit(0.0))
-    chi2 = F.when(k == 1, plain * 0.0).when(k == 2, kept * kept * per_deviation).otherwise(plain)
-    dof = F.when(chi2.isNotNull(), (k - 1).cast("int"))
-    p_value = chi2_p_value(chi2, dof)
-    return [
-        F.round(chi2, 3).alias("chi2"),
-        dof.alias("dof"),
-        F.round(p_value, 4).alias("p_value"),
-        (p_value < alpha).alias("significant"),
-    ]
+    per_deviation = total / ((total * total - F.col("sum_n2")) / 2 * F.col("spread"))
+    kept = F.greatest(F.sqrt(F.col("plain") / F.col("per_deviation")) - 0.5, F.lit(0.0))
+    statistic = (
+        F.when(k == 1, F.col("plain") * 0.0)
+        .when(k == 2, F.pow(kept, F.lit(2.0)) * F.col("per_deviation"))
+        .otherwise(F.col("plain"))
+    )
+    # One step per column: each is used several times in the next.
+    steps = (
+        sums
+        .withColumn("spread", F.nullif(rate * (1 - rate), F.lit(0.0)))
+        .withColumns({
+            "plain": F.greatest(plain, F.when(F.col("spread").isNotNull(), 0.0)),
+            "per_deviation": F.when(k == 2, per_deviation),
+        })
+        .withColumn("statistic", statistic)
+        .withColumn("dof", F.when(F.col("statistic").isNotNull(), (k - 1).cast("int")))
+        .withColumn("p", chi2_p_value("statistic", "dof"))
+    )
+    test = F.struct(
+        F.round("statistic", 3).alias("chi2"), "dof", F.round("p", 4).alias("p_value"),
+        (F.col("p") < alpha).alias("significant"),
+    )
+    return steps.withColumn("chi_square", test).select(
+        *[c for c in sums.columns if c not in _SUMS], "chi_square"
+    )
 
 
 def chi_square_by_dimension(churn: DataFrame, alpha: float = ALPHA) -> DataFrame:
     """Does churn differ between the segments of each dimension?"""
     sums = churn.groupBy("dimension").agg(*chi_square_sums())
-    return sums.select("dimension", *chi_square_columns(alpha))
+    return with_chi_square(sums, alpha).select("dimension", "chi_square.*")
 
 
-def z_columns(
-    n_a: Column, x_a: Column, n_b: Column, x_b: Column, alpha: float = ALPHA
-) -> list[Column]:
-    """Pooled two-proportion z-test. NULL if a side is missing or the error is zero.
+def with_z_test(pairs: DataFrame, alpha: float = ALPHA) -> DataFrame:
+    """Turn the counts n_a, x_a, n_b, x_b into churn_pct_a, churn_pct_b, z, p_value and
+    significant: a pooled two-proportion test, NULL if a side is missing or the error is 0.
 
     The two-sided normal tail of z is the chi-square tail of z^2 with one degree.
     """
-    n1, x1, n2, x2 = (c.cast("double") for c in (n_a, x_a, n_b, x_b))
-    pooled = (x1 + x2) / (n1 + n2)
+    n1, x1, n2, x2 = (F.col(c).cast("double") for c in _COUNTS)
+    pooled = F.col("pooled")
     error = F.sqrt(pooled * (1 - pooled) * (1 / n1 + 1 / n2))
-    z = (x1 / n1 - x2 / n2) / F.nullif(error, F.lit(0.0))
-    p_value = chi2_p_value(z * z, F.lit(1))
-    return [
-        percent(x_a, n_a, 1).alias("churn_pct_a"),
-        percent(x_b, n_b, 1).alias("churn_pct_b"),
-        F.round(z, 3).alias("z"),
-        F.round(p_value, 4).alias("p_value"),
-        (p_value < alpha).alias("significant"),
-    ]
+    return (
+        pairs
+        .withColumn("pooled", (x1 + x2) / (n1 + n2))
+        .withColumn("z", (x1 / n1 - x2 / n2) / F.nullif(error, F.lit(0.0)))
+        .withColumn("squared", F.col("z") * F.col("z"))
+        .withColumn("p", chi2_p_value("squared", 1))
+        .select(
+            *[c for c in pairs.columns if c not in _COUNTS],
+            percent(F.col("x_a"), F.col("n_a"), 1).alias("churn_pct_a"),
+            percent(F.col("x_b"), F.col("n_b"), 1).alias("churn_pct_b"),
+            F.round("z", 3).alias("z"),
+            F.round("p", 4).alias("p_value"),
+            (F.col("p") < alpha).alias("significant"),
+        )
+    )
 
 
 def z_test_pairs(churn: DataFrame, pairs: DataFrame, alpha: float = ALPHA) -> DataFrame:
@@ -104,10 +123,7 @@ def z_test_pairs(churn: DataFrame, pairs: DataFrame, alpha: float = ALPHA) -> Da
         ).eqNullSafe(F.col(f"value_{name}"))
 
     joined = pairs.join(side("a"), matches("a"), "left").join(side("b"), matches("b"), "left")
-    return joined.select(
-        "dimension", "segment_a", "segment_b",
-        *z_columns(F.col("n_a"), F.col("x_a"), F.col("n_b"), F.col("x_b"), alpha),
-    )
+    return with_z_test(joined.select("dimension", "segment_a", "segment_b", *_COUNTS), alpha)
 
 
 def segment_extremes(churn: DataFrame) -> DataFrame:

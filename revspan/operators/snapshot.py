@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from revspan.functions.money import percent, plain_number, whole_dollars
 from revspan.operators.hypothesis import (
-    ALPHA, chi_square_columns, chi_square_sums, extreme_sums, z_columns,
+    ALPHA, chi_square_sums, extreme_sums, with_chi_square, with_z_test,
 )
 
 PERIOD_MEANS = {
@@ -68,35 +68,24 @@ def segment_report(churn: DataFrame, alpha: float = ALPHA) -> DataFrame:
         (-F.col("churn_rate_pct")).alias("order_key"),
         "segment", "n_accounts", "n_churned", "churn_rate_pct",
     )))
-    highest, lowest = F.col("highest"), F.col("lowest")
-    ztest = z_columns(
-        highest.n_accounts, highest.n_churned, lowest.n_accounts, lowest.n_churned, alpha
-    )
-    chi2, dof, p_value, significant = chi_square_columns(alpha)
-    sums = churn.groupBy("dimension").agg(
+    grouped = churn.groupBy("dimension").agg(
         ordered.alias("ordered"), *extreme_sums(), *chi_square_sums()
     )
-    flat = sums.select(
-        "dimension", "highest", "lowest",
-        F.transform("ordered", lambda r: F.struct(
-            r.segment.alias("segment"), r.n_accounts.alias("n_accounts"),
-            r.n_churned.alias("n_churned"), r.churn_rate_pct.alias("churn_rate_pct"),
-        )).alias("records"),
-        chi2, dof, p_value.alias("chi2_p_value"), significant.alias("chi2_significant"),
-        *ztest,
+    records = F.transform("ordered", lambda r: F.struct(
+        r.segment.alias("segment"), r.n_accounts.alias("n_accounts"),
+        r.n_churned.alias("n_churned"), r.churn_rate_pct.alias("churn_rate_pct"),
+    ))
+    tested = with_z_test(with_chi_square(grouped, alpha).select(
+        "dimension", records.alias("records"), "highest", "lowest", "chi_square",
+        F.col("highest.segment").alias("segment_a"), F.col("lowest.segment").alias("segment_b"),
+        F.col("highest.n_accounts").alias("n_a"), F.col("highest.n_churned").alias("x_a"),
+        F.col("lowest.n_accounts").alias("n_b"), F.col("lowest.n_churned").alias("x_b"),
+    ), alpha)
+    ztest = F.struct(
+        "segment_a", "segment_b", "churn_pct_a", "churn_pct_b", "z", "p_value", "significant"
     )
-    return flat.select(
-        "dimension", "records", "highest", "lowest",
-        F.struct(
-            "chi2", "dof",
-            F.col("chi2_p_value").alias("p_value"),
-            F.col("chi2_significant").alias("significant"),
-        ).alias("chi_square"),
-        F.struct(
-            F.col("highest.segment").alias("segment_a"),
-            F.col("lowest.segment").alias("segment_b"),
-            "churn_pct_a", "churn_pct_b", "z", "p_value", "significant",
-        ).alias("ztest"),
+    return tested.select(
+        "dimension", "records", "highest", "lowest", "chi_square", ztest.alias("ztest")
     )
 
 
