@@ -38,6 +38,12 @@ def _on_suite(build: Callable[[MetricSuite], DataFrame]) -> Query:
     return lambda spark, sf_dir: _report(build(testbed.suite(spark, sf_dir)))
 
 
+def _spans_once(build: Callable[[MetricSuite], DataFrame]) -> Callable[[MetricSuite], DataFrame]:
+    """For queries over several span metrics: write the spans once instead of deriving them
+    for each metric, which would prune other columns and so share no shuffle."""
+    return lambda s: build(s.with_stored_spans())
+
+
 def _timeline(s: MetricSuite) -> DataFrame:
     return timeline.subscription_timeline(s.tables.subscriptions.select(
         "subscription_id", "account_id", "start_date", "end_date", "plan_tier", "mrr_amount"
@@ -49,6 +55,25 @@ def _calendar_months(spark: SparkSession, sf_dir: str) -> DataFrame:
     return testbed.calendar(testbed.Source(spark, sf_dir)).months(spark)
 
 
+def _sql_over_views(s: MetricSuite) -> DataFrame:
+    """What a SQL user asks of the views: revenue moved, by month and kind of movement."""
+    s.create_views()
+    return s.spark.sql("""
+        SELECT c.month_start, c.month_end, m.movement_type, count(*) AS n_accounts,
+               sum(m.mrr_delta) AS moved
+        FROM account_mrr_changes m JOIN calendar_months c USING (month_start)
+        WHERE m.movement_type <> 'unchanged'
+        GROUP BY c.month_start, c.month_end, m.movement_type
+    """)
+
+
+def _provenance(s: MetricSuite) -> DataFrame:
+    sheet = snapshot.fact_sheet(s.facts, s.report, s.tier, s.attribute)
+    return snapshot.with_provenance(sheet, "revspan").groupBy("source_month", "generator").agg(
+        F.count("*").alias("n_facts"), F.bool_and(F.col("generated_at").isNotNull()).alias("is_dated")
+    )
+
+
 def _requests(s: MetricSuite) -> DataFrame:
     return explore.yearly_requests(s.churn, s.calendar)
 
@@ -158,6 +183,7 @@ _SUITE_QUERIES: dict[str, Callable[[MetricSuite], DataFrame]] = {
     "subscription_timeline": _timeline,
     "account_month_panel": lambda s: panel.account_month_panel(s.spans),
     "account_movements": lambda s: panel.account_movements(s.spans),
+    "sql_over_views": _sql_over_views,
     # Metrics
     "mrr_waterfall": lambda s: s.run("mrr_waterfall"),
     "mrr_waterfall_from_movements": lambda s: waterfall.waterfall_from_movements(
@@ -190,6 +216,7 @@ _SUITE_QUERIES: dict[str, Callable[[MetricSuite], DataFrame]] = {
     "metrics_snapshot": lambda s: _flat_snapshot(s.snapshots),
     "snapshot_json_roundtrip": _snapshot_json,
     "fact_sheet": lambda s: snapshot.fact_sheet(s.facts, s.report, s.tier, s.attribute),
+    "fact_provenance": _provenance,
     # Explorer
     "month_domain": lambda s: explore.month_domain(s.waterfall),
     "segment_domain": lambda s: segments.segment_domain(s.churn),
@@ -204,12 +231,12 @@ _SUITE_QUERIES: dict[str, Callable[[MetricSuite], DataFrame]] = {
     "range_kpis_all": lambda s: _round_growth(
         explore.range_kpis(_requests(s), s.monthly, s.calendar)
     ).drop("dimension", "segment"),
-    "range_kpis_segment": lambda s: _round_growth(explore.segment_range_kpis(
+    "range_kpis_segment": _spans_once(lambda s: _round_growth(explore.segment_range_kpis(
         _requests(s), s.segment_monthly, s.churn, s.monthly, s.calendar
-    )),
-    "trend_series": lambda s: explore.trend_series(
+    ))),
+    "trend_series": _spans_once(lambda s: explore.trend_series(
         _requests(s), s.segment_monthly, s.monthly, s.calendar
-    ),
+    )),
     "segment_churn_series": lambda s: segments.segment_churn_series(s.churn, "industry"),
     # Chart data
     "waterfall_long": lambda s: charts.waterfall_long(s.waterfall),
@@ -238,9 +265,9 @@ _SUITE_QUERIES: dict[str, Callable[[MetricSuite], DataFrame]] = {
     "churn_reconciliation": lambda s: audits.churn_reconciliation(
         s.tables.accounts, s.tables.subscriptions, s.tables.churn_events
     ),
-    "segment_tieout": lambda s: audits.segment_tieout(
+    "segment_tieout": _spans_once(lambda s: audits.segment_tieout(
         s.segment_monthly, s.waterfall, (s.tier, s.attribute)
-    ),
+    )),
     # Sinks and scans
     "metric_csv_roundtrip": _metric_csv,
 }

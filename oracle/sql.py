@@ -332,6 +332,9 @@ ORACLES: dict[str, str] = {
     "account_movements": f"""WITH {MOVES} SELECT month_start, account_id,
         {money('cur', 'current_mrr')}, {money('prior', 'prior_mrr')},
         {money('delta', 'mrr_delta')}, kind AS movement_type FROM moves""",
+    "sql_over_views": f"""WITH {MOVES} SELECT month_start, month_end, kind AS movement_type,
+        count(*) AS n_accounts, {money('sum(delta)', 'moved')}
+        FROM moves JOIN cal USING (month_start) WHERE kind <> 'unchanged' GROUP BY 1, 2, 3""",
     "mrr_waterfall": f"WITH {WATERFALL} SELECT month_start, {WATERFALL_COLUMNS} FROM wf",
     "gross_net_churn_nrr": f"""WITH {WATERFALL} SELECT month_start, {money('starting', 'starting_mrr')},
         {money('exp', 'expansion_mrr')}, {money('contr', 'contraction_mrr')},
@@ -376,6 +379,8 @@ ORACLES: dict[str, str] = {
     "metrics_snapshot": _snapshot(),
     "snapshot_json_roundtrip": _snapshot(),
     "fact_sheet": _fact_sheet(),
+    "fact_provenance": f"""WITH {SUBS}{CAL} SELECT month_start AS source_month,
+        'revspan' AS generator, CAST(18 AS BIGINT) AS n_facts, true AS is_dated FROM cal""",
     "month_domain": f"WITH {SUBS}{CAL} SELECT strftime(month_start, '%Y-%m') AS month FROM cal",
     "segment_domain": f"""WITH {ACCTS}{CHURN} SELECT dimension, segment FROM churn
         WHERE segment IS NOT NULL""",

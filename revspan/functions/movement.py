@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+# The names of the movements.
 NEW, CHURNED, EXPANSION, CONTRACTION, UNCHANGED = (
     "new", "churned", "expansion", "contraction", "unchanged",
 )

@@ -156,6 +156,7 @@ def fact_sheet(facts: DataFrame, report: DataFrame,
         )
 
     chi_square, ztest = reports[tier].chi_square, reports[industry].ztest
+    # The labels and their order.
     facts_in_order: Sequence[tuple[str, list[Column | str]]] = [
         ("latest_month", ["Latest month: ", F.col("month_start").cast("string")]),
         ("ending_mrr", ["Ending MRR: ", dollars("ending_mrr")]),

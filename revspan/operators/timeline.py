@@ -22,7 +22,7 @@ def subscription_timeline(subscriptions: DataFrame) -> DataFrame:
         F.col("subscription_id") < F.col("last_id_of_day"), F.col("start_date")
     ).otherwise(F.col("next_day"))
     return (
-        subscriptions.join(days, ["account_id", "start_date"])
+        subscriptions.join(days, ["account_id", "start_date"], "left")
         .withColumn("next_start_date", next_start)
         .withColumn(
             "effective_end_date",

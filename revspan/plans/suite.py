@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, fields, replace
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
 from revspan.functions.calendar import Calendar
-from revspan.operators import cohorts, segments, snapshot, waterfall
+from revspan.operators import cohorts, panel, segments, snapshot, waterfall
 from revspan.operators.spans import account_spans
+from revspan.operators.timeline import subscription_timeline
 from revspan.sources.shared import stored
 from revspan.sources.tables import write_csv, write_documents
 
@@ -111,6 +112,19 @@ class MetricSuite:
         """One metric by name, in its reporting order."""
         return METRICS[name](self)
 
+    def create_views(self) -> None:
+        """Offer the tables and building blocks to ``spark.sql`` as temporary views."""
+        loaded = {f.name: getattr(self.tables, f.name, None) for f in fields(Tables)}
+        views = {
+            **{name: table for name, table in loaded.items() if table is not None},
+            "subscription_timeline": subscription_timeline(self.tables.subscriptions),
+            "calendar_months": self.calendar.months(self.spark),
+            "account_month_mrr": panel.account_month_panel(self.spans, (self.attribute,)),
+            "account_mrr_changes": panel.account_movements(self.spans),
+        }
+        for name, view in views.items():
+            view.createOrReplaceTempView(name)
+
     def export_csv(self, folder: str) -> None:
         """All registered metrics as CSV folders named after them."""
         for name in METRICS:

@@ -2,10 +2,10 @@
 
 import os
 
-import duckdb
 import pytest
 
 import __spark_entry__ as registered
+from benchmarks import dense_forms as dense
 from revspan.plans import testbed
 from tests.conftest import SF
 from tests.oracle_check import connect, duck_rows, spark_rows
@@ -55,3 +55,29 @@ def test_busy_accounts_are_thinned_before_the_shuffle_and_columns_pruned(spark):
     assert "row_number(), 1, Partial" in plan
     assert "o_orderpriority" not in plan  # the tier is not read for the waterfall
     assert "PushedFilters: [IsNotNull(o_orderdate)" in plan
+
+
+def test_rounding_cases_of_the_middle_scale(spark):
+    folder = SF.replace("sf0.001", "sf0.01")
+    if not os.path.isdir(folder):
+        pytest.skip("no middle scale here")
+    suite = testbed.suite(spark, folder).with_stored_spans()
+    rates = {str(r.month_start): r for r in suite.rates.collect()}
+    assert str(rates["1995-02-01"].gross_mrr_churn_rate_pct) == "5.51"
+    assert str(rates["1996-04-01"].nrr_pct) == "95.52"
+    cell = suite.by_attribute.where("month_start = '1999-05-01' and industry = 'AUTOMOBILE'").first()
+    assert str(cell.avg_mrr_per_account) == "245192.83" and cell.active_accounts == 162
+
+
+@pytest.mark.parametrize("form", [dense.panel_by_range_join, dense.panel_by_exploded_join])
+def test_dense_forms_agree(spark, form):
+    suite = testbed.suite(spark, SF)
+    tables = (suite.tables.accounts, suite.tables.subscriptions, suite.calendar)
+    columns = ["month_start", "account_id", "industry", "mrr", "plan_tier"]
+    panel = form(*tables)
+    assert spark_rows(panel.select(*columns)) == spark_rows(
+        registered.panel.account_month_panel(suite.spans).select(*columns))
+    assert spark_rows(dense.waterfall_by_lag(panel)) == spark_rows(suite.waterfall)
+    cells = ["cohort_month", "months_since_signup", "cohort_size", "active_accounts", "retention_pct"]
+    assert spark_rows(dense.retention_by_panel(panel, tables[1]).select(*cells)) == spark_rows(
+        suite.retention.select(*cells))
