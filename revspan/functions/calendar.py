@@ -39,11 +39,13 @@ class Calendar:
 
     first: Column
     last: Column
+    is_pinned: bool = False
 
     @staticmethod
     def between(first: date | str, last: date | str) -> Calendar:
         return Calendar(
-            month_of(F.lit(str(first)).cast("date")), month_of(F.lit(str(last)).cast("date"))
+            month_of(F.lit(str(first)).cast("date")), month_of(F.lit(str(last)).cast("date")),
+            is_pinned=True,
         )
 
     @staticmethod
@@ -56,6 +58,8 @@ class Calendar:
 
     def resolve(self, spark: SparkSession) -> Calendar:
         """Evaluate the bounds once (a one-row job) and pin them as literals."""
+        if self.is_pinned:
+            return self
         row = self.bounds(spark).first()
         if row.first_month is None:
             raise ValueError("the calendar has no months: its source has no dates")
