@@ -218,7 +218,6 @@ _SUITE_QUERIES: dict[str, Callable[[MetricSuite], DataFrame]] = {
     "fact_sheet": lambda s: snapshot.fact_sheet(s.facts, s.report, s.tier, s.attribute),
     "fact_provenance": _provenance,
     # Explorer
-    "month_domain": lambda s: explore.month_domain(s.waterfall),
     "segment_domain": lambda s: segments.segment_domain(s.churn),
     "explorer_requests": _requests,
     "waterfall_in_range": lambda s: explore.in_range(s.waterfall, "1997-03-01", "1998-06-01"),
@@ -282,6 +281,7 @@ def queries() -> dict[str, Query]:
     return {
         **{name: _on_suite(build) for name, build in _SUITE_QUERIES.items()},
         "calendar_months": _calendar_months,
+        "month_domain": lambda spark, d: explore.month_domain(_calendar_months(spark, d)),
         "csv_accounts": _csv_roundtrip(
             "accounts", lambda source: testbed.accounts(source, with_country=True)
         ),

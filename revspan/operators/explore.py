@@ -16,9 +16,10 @@ WHOLE_BUSINESS = "all"
 REQUEST = ["request_id", "dimension", "segment", "start_month", "end_month"]
 
 
-def month_domain(waterfall: DataFrame) -> DataFrame:
-    """The months a range filter offers, as text."""
-    return waterfall.select(F.date_format("month_start", "yyyy-MM").alias("month")).distinct()
+def month_domain(monthly: DataFrame) -> DataFrame:
+    """The months a range filter offers, as text. ``monthly`` is any table of the months: a
+    stored metric, or the calendar, which spares computing one."""
+    return monthly.select(F.date_format("month_start", "yyyy-MM").alias("month")).distinct()
 
 
 def in_range(table: DataFrame, start: Column | str, end: Column | str) -> DataFrame:

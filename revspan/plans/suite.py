@@ -52,6 +52,9 @@ class MetricSuite:
         )
 
     def with_stored_spans(self) -> MetricSuite:
+        """The same suite with its spans written to the shared folder, once."""
+        if self.stored_spans is not None:
+            return self
         pinned = self.calendar.resolve(self.spark)
         return replace(
             self, calendar=pinned,
@@ -127,8 +130,9 @@ class MetricSuite:
 
     def export_csv(self, folder: str) -> None:
         """All registered metrics as CSV folders named after them."""
+        suite = self.with_stored_spans()
         for name in METRICS:
-            write_csv(self.run(name), f"{folder}/{name}", single_file=True)
+            write_csv(suite.run(name), f"{folder}/{name}", single_file=True)
 
     def export_snapshots(self, folder: str) -> None:
         write_documents(self.snapshots, folder)

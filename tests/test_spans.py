@@ -202,3 +202,30 @@ def test_random_intervals_against_brute_force(spark, seed):
     got = {(r.month_start, r.industry): (r.active_accounts, r.total_mrr)
            for r in suite.by_attribute.collect()}
     assert got == by_industry
+
+
+def test_a_busy_account_leaves_one_row_per_month(spark):
+    rng = random.Random(9)
+    subs = [(f"s{i:05d}", "busy", (date(2023, 1, 1) + timedelta(days=rng.randrange(181))).isoformat(),
+             None, Decimal(i)) for i in range(5000)]
+    tables = make_tables(spark, [("busy", "X", "Pro", False)], subs)
+    suite = MetricSuite(tables, Calendar.between(*HALF_YEAR)).with_stored_spans()
+    assert suite.spans.count() <= 7  # six months and the opening row
+    assert suite.with_stored_spans() is suite
+    last = {s[2][:7]: s[4] for s in sorted(subs, key=lambda s: (s[2], s[0]))}
+    panel = {str(r.month_start)[:7]: r.mrr for r in account_month_panel(suite.spans).collect()}
+    assert panel == last
+
+
+def test_the_calendar_can_come_from_the_data(spark):
+    tables = make_tables(spark, [("a", "X", "Pro", False)],
+                         [("1", "a", "2023-02-10", None, 5), ("2", "a", "2023-04-10", None, 7)])
+    lazy = Calendar.covering(tables.subscriptions, "start_date")
+    assert [str(r.month_start) for r in lazy.months(spark).orderBy("month_start").collect()] == [
+        "2023-02-01", "2023-03-01", "2023-04-01"]
+    assert lazy.n_months(spark) == 3 and lazy.resolve(spark).is_pinned
+    rows = MetricSuite(tables, lazy).waterfall.orderBy("month_start").collect()
+    assert [r.ending_mrr for r in rows] == [5, 5, 7]
+    empty = Calendar.covering(tables.subscriptions.limit(0), "start_date")
+    with pytest.raises(ValueError):
+        empty.resolve(spark)
