@@ -21,6 +21,15 @@ from revspan.sources import tables as io  # noqa: E402
 from revspan.sources.schemas import TABLES  # noqa: E402
 from revspan.sources.shared import scratch_path  # noqa: E402
 
+try:  # the text operators may be left out
+    import corpus_pipeline
+    from revspan.llm import queries as text_queries
+
+    TEXT_QUERIES = {**text_queries.QUERIES, "pipeline": corpus_pipeline.run}
+    TEXT_ORACLES = text_queries.ORACLES
+except ImportError:
+    TEXT_QUERIES, TEXT_ORACLES = {}, {}
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -277,7 +286,7 @@ def entry(spark: SparkSession) -> DataFrame:
     return queries()["mrr_waterfall"](spark, "/root/testdata/sf0.001")
 
 
-def queries() -> dict[str, Query]:
+def core_queries() -> dict[str, Query]:
     return {
         **{name: _on_suite(build) for name, build in _SUITE_QUERIES.items()},
         "calendar_months": _calendar_months,
@@ -293,5 +302,9 @@ def queries() -> dict[str, Query]:
     }
 
 
+def queries() -> dict[str, Query]:
+    return core_queries() | TEXT_QUERIES
+
+
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    return ORACLES | TEXT_ORACLES

@@ -10,7 +10,7 @@ from revspan.plans import testbed
 from tests.conftest import SF
 from tests.oracle_check import connect, duck_rows, spark_rows
 
-QUERIES, ORACLES = registered.queries(), registered.oracle_sql()
+QUERIES, ORACLES = registered.core_queries(), registered.ORACLES
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
 
