@@ -22,7 +22,7 @@ from revspan.llm.common import checkpointed, held_out, learnable, spread
 ORDERS = (3, 4, 5, 6)
 BITS = 18
 SAMPLE = 8_000  # labelled texts that are learned from, at most
-FEATURES = 20_000  # n-grams kept, those that differ most surely between the classes
+FEATURES = 8_000  # n-grams kept, those that differ most surely between the classes
 LIMIT = 0.7  # scores from here on are predicted toxic
 _PARTS = 16
 
@@ -63,8 +63,11 @@ def _chosen_features(chosen: np.ndarray):
     return rows
 
 
-def _regress(found: list[np.ndarray], labels: np.ndarray, ratio: np.ndarray, steps: int = 150, ridge: float = 1e-3):
-    """Logistic regression on the scaled, length-normalised presence vectors, by Adam on whole passes."""
+def _regress(found: list[np.ndarray], labels: np.ndarray, ratio: np.ndarray, steps: int = 120, ridge: float = 1e-3):
+    """Logistic regression on the scaled presence vectors, by Adam on whole passes.
+
+    The rarer class weighs more, by the square root of how much rarer it is."""
+    heavy = np.where(labels > 0, ((1 - labels.mean()) / labels.mean()) ** 0.5, 1.0)
     columns = np.concatenate(found) if found else np.empty(0, np.int32)
     lengths = np.array([len(f) for f in found])
     row = np.repeat(np.arange(len(found)), lengths)
@@ -74,6 +77,7 @@ def _regress(found: list[np.ndarray], labels: np.ndarray, ratio: np.ndarray, ste
     for step in range(1, steps + 1):
         z = np.bincount(row, weights=w[columns] * scaled, minlength=len(found)) + b
         error = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels
+        error *= heavy
         slope = np.bincount(columns, weights=error[row] * scaled, minlength=len(w)) / len(found) + ridge * w
         slope = np.append(slope, error.mean())
         m, v = 0.9 * m + 0.1 * slope, 0.99 * v + 0.01 * slope**2
