@@ -1,7 +1,7 @@
 """Jaccard self-join on word shingles with adaptive multi-match prefixes.
 
-A document is the set of its shingles, held as 64-bit hashes; equal sets share one 128-bit digest and
-are one class from then on. With n shingles and t = ceil(threshold * n), two sets that link share at
+A document is the set of its shingles, held as 64-bit hashes; equal sets share one key (96 bits of a
+digest and the set's size) and are one class from then on. With n shingles and t = ceil(threshold * n), two sets that link share at
 least t of them, so in any common order of shingles their prefixes of length n - t + l share at
 least l (for different l: the smaller one). The order is rare first, by exact document counts.
 
@@ -10,9 +10,10 @@ least l (for different l: the smaller one). The order is rare first, by exact do
    order and can match nothing, so most documents end here with an empty prefix.
 2. Each class chooses the l with the least estimated cost: reading the posting lists of a longer
    prefix against verifying at most (postings read) / l candidates.
-3. Components need no link that only confirms them. Each class is first compared with one partner
-   per prefix shingle (the least digest there); then every pair in a posting list that is still in
-   different components, has fitting sizes and enough matches is verified. No pair is left out.
+3. Components need no link that only confirms them. Each class is first compared with one partner,
+   a class of few shingles of its own that it meets most often; then every pair in a posting list
+   that is still in different components, fits in size and has enough matches is verified. Pairs
+   are only passed over when a bound on their overlap rules the link out.
 """
 
 from __future__ import annotations
@@ -20,7 +21,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
@@ -59,97 +59,109 @@ def shingle_hashes(text: str | None, width: int, known: dict[bytes, int]) -> np.
     return np.unique(_mixed(h + np.uint64(size)))
 
 
+def class_key(tokens: np.ndarray) -> bytes | None:
+    """Names a set: 12 bytes of its digest, 4 of its size. An empty set has no name."""
+    return xxhash.xxh3_128_digest(tokens.tobytes())[:12] + len(tokens).to_bytes(4, "big") if len(tokens) else None
+
+
 def _sets(texts: list[str | None], width: int, known: dict[bytes, int]) -> Iterator[tuple[bytes | None, np.ndarray]]:
-    """Digest (None for an empty set) and hashes of each text's shingle set."""
+    """Key and hashes of each text's shingle set."""
     if len(known) > 1_000_000:
         known.clear()  # a cache only
     for text in texts:
         tokens = shingle_hashes(text, width, known)
-        yield (xxhash.xxh3_128_digest(tokens.tobytes()) if len(tokens) else None), tokens
+        yield class_key(tokens), tokens
 
 
-def _digest_rows(width: int):
-    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _key_rows(width: int):
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
         for batch in batches:
-            made = [(d, len(t)) for d, t in _sets(batch.column("text").to_pylist(), width, known)]
+            made = [(k, len(t)) for k, t in _sets(batch.column("text").to_pylist(), width, known)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([n for _, n in made], pa.int64()),
-                 pa.array([d for d, _ in made], pa.binary())],
-                names=["doc_id", "n_shingles", "digest"],
+                 pa.array([k for k, _ in made], pa.binary())],
+                names=["doc_id", "n_shingles", "key"],
             )
 
-    return digests
+    return keys
 
 
 def shingle_sets(docs: DataFrame, width: int = 5) -> DataFrame:
-    """doc_id, n_shingles, digest of the set (NULL when empty), one row per row of docs."""
+    """doc_id, n_shingles, key of the set (NULL when empty), one row per row of docs."""
     return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(
-        _digest_rows(width), "doc_id long, n_shingles long, digest binary")
+        _key_rows(width), "doc_id long, n_shingles long, key binary")
+
+
+_PACKED = "part int, keys binary, held binary, tokens binary, counts binary"
+
+
+def _pack(part: int, keys: np.ndarray, held: np.ndarray, tokens: np.ndarray, counts: np.ndarray | None) -> pa.RecordBatch:
+    """Classes and their shingles (held of them each, in order) as one row for one part."""
+    blobs = [keys.tobytes(), held.astype(np.uint32).tobytes(), tokens.tobytes(), b"" if counts is None else counts.tobytes()]
+    return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *[pa.array([b], pa.binary()) for b in blobs]],
+                                      names=["part", "keys", "held", "tokens", "counts"])
+
+
+def _unpacked(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, owners (places in keys) of the shingles, shingles, counts of all rows of one part."""
+    join = lambda c, kind: np.frombuffer(b"".join(group.column(c).to_pylist()), kind)
+    held = join("held", np.uint32)
+    owner = np.repeat(np.arange(len(held), dtype=np.int32), held)
+    return join("keys", "V16"), owner, join("tokens", np.uint64), join("counts", np.uint16)
 
 
 def _dealt(width: int, ranges: int):
-    """Per batch and hash range one row: the digests and counts of its classes, and their shingles."""
+    """Per batch and hash range one row: the classes of the batch and their shingles in the range."""
     edges = (np.arange(1, ranges, dtype=object) * 2**64 // ranges).astype(np.uint64)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
         for batch in batches:
-            digests, sets, seen = [], [], set()
-            for digest, tokens in _sets(batch.column("text").to_pylist(), width, known):
-                if digest is not None and digest not in seen:
-                    seen.add(digest)
-                    digests.append(digest)
-                    sets.append(tokens)
+            sets = dict(_sets(batch.column("text").to_pylist(), width, known))
+            sets.pop(None, None)
             if not sets:
                 continue
+            keys, sets = np.frombuffer(b"".join(sets), "V16"), list(sets.values())
             cuts = np.stack([np.concatenate([[0], np.searchsorted(t, edges), [len(t)]]) for t in sets])
-            sizes = np.array([len(t) for t in sets], np.uint32)
-            names = np.frombuffer(b"".join(digests), "V16")
             for r in range(ranges):
                 held = cuts[:, r + 1] - cuts[:, r]
                 who = np.flatnonzero(held)
-                if not len(who):
-                    continue
-                tokens = np.concatenate([sets[i][cuts[i, r]: cuts[i, r + 1]] for i in who])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r], pa.int32()), pa.array([names[who].tobytes()], pa.binary()),
-                     pa.array([sizes[who].tobytes()], pa.binary()),
-                     pa.array([held[who].astype(np.uint32).tobytes()], pa.binary()),
-                     pa.array([tokens.tobytes()], pa.binary())],
-                    names=["part", "digests", "sizes", "held", "tokens"],
-                )
+                if len(who):
+                    tokens = np.concatenate([sets[i][cuts[i, r]: cuts[i, r + 1]] for i in who])
+                    yield _pack(r, keys[who], held[who], tokens, None)
 
     return deal
 
 
-def _shared(group: pd.DataFrame) -> pd.DataFrame:
-    """Of one hash range: per class the shingles that other classes hold too, with their counts."""
-    digests = np.frombuffer(b"".join(group.digests), "V16")
-    sizes = np.frombuffer(b"".join(group.sizes), np.uint32)
-    held = np.frombuffer(b"".join(group.held), np.uint32).astype(np.int64)
-    tokens = np.frombuffer(b"".join(group.tokens), np.uint64)
-    first = np.unique(np.array([d.tobytes() for d in digests], object), return_index=True)[1]
-    once = np.zeros(len(digests), bool)
-    once[first] = True
-    owner = np.repeat(np.arange(len(digests)), held)
-    mine = once[owner]
-    owner, tokens = owner[mine], tokens[mine]
-    order = np.argsort(tokens, kind="stable")
-    ranked = tokens[order]
-    starts = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]])) if len(ranked) else np.empty(0, int)
-    counts = np.diff(np.append(starts, len(ranked)))
-    n_classes = np.empty(len(tokens), np.uint32)
-    n_classes[order] = np.repeat(counts, counts)
-    common = n_classes > 1
-    owner, tokens, n_classes = owner[common], tokens[common], n_classes[common]
-    cuts = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else np.empty(0, int)
-    ends = np.append(cuts[1:], len(owner))
-    return pd.DataFrame({
-        "digest": [digests[owner[a]].tobytes() for a in cuts], "n": [int(sizes[owner[a]]) for a in cuts],
-        "tokens": [tokens[a:b].tobytes() for a, b in zip(cuts, ends)],
-        "counts": [n_classes[a:b].tobytes() for a, b in zip(cuts, ends)],
-    })
+def _shared(parts: int):
+    """Of one hash range, the shingles that two classes or more hold, with counts, dealt out by class."""
+
+    def shared(group: pa.Table) -> pa.Table:
+        keys, owner, tokens, _ = _unpacked(group)
+        names, first = np.unique(keys.view("u8").reshape(-1, 2), axis=0, return_index=True)
+        once = np.zeros(len(keys), bool)
+        once[first] = True  # copies of a class count once
+        mine = once[owner]
+        owner, tokens = owner[mine], tokens[mine]
+        order = np.argsort(tokens, kind="stable")
+        ranked = tokens[order]
+        starts = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+        counts = np.diff(np.append(starts, len(ranked)))
+        n_classes = np.empty(len(tokens), np.uint16)
+        n_classes[order] = np.repeat(np.minimum(counts, 65535), counts)  # the same wherever the shingle is
+        common = n_classes > 1
+        owner, tokens, n_classes = owner[common], tokens[common], n_classes[common]
+        part = (keys.view("u8").reshape(-1, 2)[:, 0] % np.uint64(parts)).astype(np.int64)
+        rows = [_pack(0, keys[:0], np.empty(0), tokens[:0], n_classes[:0]).slice(0, 0)]
+        order = np.argsort(part[owner], kind="stable")
+        for at in np.split(order, np.flatnonzero(np.diff(part[owner][order])) + 1):
+            if len(at):
+                who, held = np.unique(owner[at], return_counts=True)  # at keeps the owners in order
+                rows.append(_pack(int(part[owner[at[0]]]), keys[who], held, tokens[at], n_classes[at]))
+        return pa.Table.from_batches(rows)
+
+    return shared
 
 
 def overlap_needed(n: int, percent: int) -> int:
@@ -167,40 +179,44 @@ def choose_matches(counts: np.ndarray, unshared: int, n: int, percent: int) -> i
     return int(np.argmin(postings + VERIFY_COST * n * postings / np.arange(1, most + 1))) + 1
 
 
+_CLASSES = "key binary, n long, shared long, matches int, rest long, prefix array<long>, tokens binary"
+
+
 def _prefixes(percent: int):
-    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for digest, n, tokens, counts in zip(*(batch.column(c).to_pylist() for c in ("digest", "n", "tokens", "counts"))):
-                tokens = np.frombuffer(b"".join(tokens), np.uint64)
-                counts = np.frombuffer(b"".join(counts), np.uint32)
-                base = n - overlap_needed(n, percent) - (n - len(tokens))
-                most = min(MAX_MATCHES, overlap_needed(n, percent))
-                if base + most <= 0:
-                    continue
-                order = np.lexsort((tokens, counts))
-                matches = choose_matches(counts[order], n - len(tokens), n, percent)
-                length = max(0, base + matches)
-                out.append((digest, n, matches, tokens[order[:length]].view(np.int64), np.sort(tokens).tobytes()))
-            digests, sizes, matches, prefixes, sets = zip(*out) if out else ((),) * 5
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(matches, pa.int32()),
-                 pa.array(prefixes, pa.list_(pa.int64())), pa.array(sets, pa.binary())],
-                names=["digest", "n", "matches", "prefix", "tokens"],
-            )
+    """Of one part, the classes whose prefix is not empty. rest: how many shingles follow the prefix."""
+
+    def choose(group: pa.Table) -> pa.Table:
+        keys, owner, tokens, counts = _unpacked(group)
+        names, which = np.unique(keys.view("u8").reshape(-1, 2), axis=0, return_inverse=True)
+        owner = which.ravel()[owner]
+        order = np.lexsort((tokens, counts, owner))
+        tokens, counts = tokens[order], counts[order]
+        ends = np.cumsum(np.bincount(owner, minlength=len(names)))
+        out: list[tuple] = []
+        for name, start, end in zip(names, np.concatenate([[0], ends[:-1]]), ends):
+            n, shared = int.from_bytes(name.tobytes()[12:], "big"), int(end - start)
+            needed = overlap_needed(n, percent)
+            if shared - needed + min(MAX_MATCHES, needed) <= 0 or shared < needed:
+                continue
+            matches = choose_matches(counts[start:end], n - shared, n, percent)
+            length = max(0, shared - needed + matches)
+            out.append((name.tobytes(), n, shared, matches, needed - matches,
+                        tokens[start: start + length].view(np.int64), np.sort(tokens[start:end]).tobytes()))
+        columns = zip(*out) if out else [()] * 7
+        kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
+        return pa.Table.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)],
+                                    names=["key", "n", "shared", "matches", "rest", "prefix", "tokens"])
 
     return choose
 
 
 def prefixes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """Classes that can link at all: digest, n, matches (their l), prefix, tokens (shared, packed)."""
-    ranges = shuffle_partitions(docs.sparkSession)
-    dealt = docs.select("text").mapInArrow(
-        _dealt(width, ranges), "part int, digests binary, sizes binary, held binary, tokens binary")
-    shared = dealt.groupBy("part").applyInPandas(_shared, "digest binary, n long, tokens binary, counts binary")
-    classes = shared.groupBy("digest").agg(
-        F.first("n").alias("n"), F.collect_list("tokens").alias("tokens"), F.collect_list("counts").alias("counts"))
-    return classes.mapInArrow(_prefixes(percent), "digest binary, n long, matches int, prefix array<long>, tokens binary")
+    """Classes that can link at all: key, n, shared (of n), matches (their l), rest, prefix, tokens (shared, packed)."""
+    parts = shuffle_partitions(docs.sparkSession)
+    ranges = max(1, parts // 2)  # wide ranges: a class's key is repeated in each range it has shingles in
+    dealt = docs.select("text").mapInArrow(_dealt(width, ranges), _PACKED)
+    shared = dealt.groupBy("part").applyInArrow(_shared(parts), _PACKED)
+    return shared.groupBy("part").applyInArrow(_prefixes(percent), _CLASSES)
 
 
 def _verified(percent: int):
@@ -217,39 +233,103 @@ def _verified(percent: int):
 
 
 def verified(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of digests whose sets link. Sets are compared whole, by shared shingles."""
-    side = lambda s: classes.select(F.col("digest").alias(s), F.col("n").alias(f"n{s}"), F.col("tokens").alias(f"t{s}"))
+    """The pairs (a, b) of classes whose sets link. Sets are compared whole, by shared shingles."""
+    side = lambda s: classes.select(F.col("key").alias(s), F.col("n").alias(f"n{s}"), F.col("tokens").alias(f"t{s}"))
     joined = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
     return joined.mapInArrow(_verified(percent), "a binary, b binary")
 
 
-def _fitting(pairs: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) from their matches, one row per shared prefix shingle: sizes fit, enough matches."""
-    return pairs.where(
-        (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-    ).groupBy("a", "b").agg(F.count("*").alias("found"), F.first("need").alias("need")).where("found >= need")
+LONG_LIST = 64  # posting lists from here on are compared in tiles instead of a join
+TILE = 512  # classes of one long list that meet another such block in one task
+
+_FACTS = ("key", "n", "shared", "matches", "rest")
+
+
+def _may_link(pairs: DataFrame, percent: int) -> DataFrame:
+    """(a, b, found) from rows of structs a, b, one per shingle that two prefixes share.
+
+    The overlap needed is at most the smaller count of shared shingles; it is at most the matches found
+    in the prefixes and all that follows the longer rest; and the matches reach the smaller l."""
+    needed = (F.col("a.n") + F.col("b.n")) * percent
+    scale = 100 + percent
+    return pairs.where(F.least("a.shared", "b.shared") * scale >= needed).groupBy(
+        F.col("a.key").alias("a_key"), F.col("b.key").alias("b_key")).agg(
+        F.count("*").alias("found"), F.first("a").alias("a"), F.first("b").alias("b")).where(
+        (F.col("found") >= F.least("a.matches", "b.matches"))
+        & ((F.col("found") + F.greatest("a.rest", "b.rest")) * scale >= needed)
+    ).select(F.col("a_key").alias("a"), F.col("b_key").alias("b"), "found")
+
+
+def _tile_pairs(percent: int):
+    """Of one tile of a long list, the pairs (a, b) in different components that no bound rules out."""
+    scale = 100 + percent
+
+    def pairs(tile: pa.Table) -> pa.Table:
+        facts = {c: tile.column(f"c_{c}").to_numpy().astype(np.int64) for c in _FACTS[1:]}
+        keys = np.array(tile.column("c_key").to_pylist(), object)
+        at = np.unique(tile.column("at").to_numpy(zero_copy_only=False), return_inverse=True)[1]
+        block, lo, hi = (tile.column(c).to_numpy() for c in ("block", "lo", "hi"))
+        left, right = np.flatnonzero(block == lo[0]), np.flatnonzero(block == hi[0])
+        prefix = tile.column("prefix").combine_chunks()
+        tokens = np.unique(prefix.flatten().to_numpy(), return_inverse=True)[1]
+        row = np.repeat(np.arange(len(keys)), np.diff(prefix.offsets.to_numpy()))
+        order = np.argsort(tokens, kind="stable")
+        tokens, row = tokens[order], row[order]
+        found = np.zeros((len(left), len(right)), np.float32)
+        for start in range(0, tokens[-1] + 1, 4096):
+            a, b = np.searchsorted(tokens, [start, start + 4096])
+            held = np.zeros((len(keys), 4096), np.float32)
+            held[row[a:b], tokens[a:b] - start] = 1
+            found += held[left] @ held[right].T
+        either = lambda f, c: f(facts[c][left][:, None], facts[c][right][None, :])
+        needed = either(np.add, "n") * percent
+        ok = (at[left][:, None] != at[right][None, :]) & (either(np.minimum, "shared") * scale >= needed)
+        ok &= (found >= either(np.minimum, "matches")) & ((found + either(np.maximum, "rest")) * scale >= needed)
+        x, y = np.nonzero(ok)
+        if lo[0] == hi[0]:
+            x, y = x[x < y], y[x < y]
+        x, y = keys[left[x]], keys[right[y]]
+        return pa.table({"a": pa.array(np.minimum(x, y), pa.binary()), "b": pa.array(np.maximum(x, y), pa.binary())})
+
+    return pairs
+
+
+def _in_tiles(long: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs from long lists (token, m, c, at): blocks of each list meet two by two."""
+    blocks = F.ceil(F.col("m") / TILE).cast("int")
+    whole = long.join(classes.select(F.col("key").alias("k"), "prefix"), F.col("c.key") == F.col("k"))
+    tiles = whole.withColumn("block", F.pmod(F.xxhash64("k"), blocks).cast("int")).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), blocks - 1))).select(
+        "token", "at", "prefix", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"),
+        *[F.col(f"c.{c}").alias(f"c_{c}") for c in _FACTS])
+    return tiles.groupBy("token", "lo", "hi").applyInArrow(_tile_pairs(percent), "a binary, b binary")
 
 
 def link_components(classes: DataFrame, percent: int) -> DataFrame:
-    """(node, component) over class digests; classes without links have no row."""
+    """(node, component) over class keys; classes without links have no row."""
     classes = checkpointed(classes)
-    postings = classes.select("digest", "n", "matches", F.explode("prefix").alias("token"))
-    pivots = postings.groupBy("token").agg(F.min(F.struct("digest", "n", "matches")).alias("p"))
-    stars = postings.join(pivots, "token").where(F.col("digest") > F.col("p.digest")).select(
-        F.col("p.digest").alias("a"), F.col("digest").alias("b"), F.col("p.n").alias("na"), F.col("n").alias("nb"),
-        F.least("matches", "p.matches").alias("need"))
-    links = checkpointed(verified(_fitting(stars, percent), classes, percent))
+    postings = classes.select(F.struct(*_FACTS).alias("c"), F.explode("prefix").alias("token"))
+    lists = postings.groupBy("token").agg(
+        F.min(F.struct((F.col("c.n") - F.col("c.shared")).alias("own"), "c")).alias("p"), F.count("*").alias("m")).where("m > 1")
+    met = postings.join(lists.select("token", F.col("p.c").alias("a")), "token").where("c.key <> a.key").select(
+        "a", F.col("c").alias("b"))
+    partner = _may_link(met, percent).groupBy("b").agg(F.max(F.struct("found", "a")).alias("p")).select("p.a", "b")
+    links = checkpointed(verified(partner, classes, percent))
     found = components(links)
     # What is still apart: lists that hold more than one component.
-    placed = postings.join(found, postings["digest"] == found["node"], "left").select(
-        "token", "digest", "n", "matches", F.coalesce("component", "digest").alias("component"))
-    apart = placed.join(placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where(
-        "lo <> hi").select("token"), "token", "left_semi")
-    left, right = (apart.select("token", F.col("digest").alias(s), F.col("n").alias(f"n{s}"), F.col("matches").alias(f"m{s}"),
-                                F.col("component").alias(f"c{s}")) for s in "ab")
-    rest = left.join(right, "token").where("a < b and ca <> cb").select(
-        "a", "b", "na", "nb", F.least("ma", "mb").alias("need"))
-    more = checkpointed(verified(_fitting(rest, percent), classes, percent))
+    placed = postings.join(found, F.col("c.key") == F.col("node"), "left").select(
+        "token", "c", F.coalesce("component", "c.key").alias("at"))
+    mixed = placed.groupBy("token").agg(F.min("at").alias("lo"), F.max("at").alias("hi"), F.count("*").alias("m")).where(
+        "lo <> hi").select("token", "m")
+    apart = placed.join(mixed, "token")
+    short = apart.where(F.col("m") < LONG_LIST)
+    rest = short.select("token", F.col("c").alias("a"), F.col("at").alias("at_a")).join(
+        short.select("token", F.col("c").alias("b"), F.col("at").alias("at_b")), "token").where(
+        "a.key < b.key and at_a <> at_b").select("a", "b")
+    # A pair that meets in a long list too is counted whole there, so each way may use its own counts.
+    pairs = _may_link(rest, percent).select("a", "b").unionByName(
+        _in_tiles(apart.where(F.col("m") >= LONG_LIST), classes, percent)).distinct()
+    more = checkpointed(verified(pairs, classes, percent))
     if more.isEmpty():
         return found
     return components(links.unionByName(more))
@@ -263,10 +343,10 @@ def ngram_jaccard(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFra
     one of white space only, has no shingles and links with nothing; a text of fewer than width words
     is one shingle. Rows with equal sets link whatever their doc_id; a NULL doc_id counts as larger
     than any other. Other columns are not read. An empty table gives no rows."""
-    sets = shingle_sets(docs, width)
+    sets = checkpointed(shingle_sets(docs, width))
     found = link_components(prefixes(docs, width, percent), percent)
-    named = sets.join(found, sets["digest"] == found["node"], "left").select(
-        "doc_id", "n_shingles", F.coalesce("component", "digest").alias("component"))
+    named = sets.join(found, F.col("key") == F.col("node"), "left").select(
+        "doc_id", "n_shingles", F.coalesce("component", "key").alias("component"))
     least = named.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("least"))
     return named.join(least, "component", "left").select(
         "doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
