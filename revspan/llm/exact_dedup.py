@@ -23,6 +23,8 @@ _STATE = {
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    # An idle store keeps 4 MB of disk; a run over all available files needs each store once.
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
 }
 
 
@@ -70,12 +72,15 @@ def read_state(spark: SparkSession, state: str) -> DataFrame:
         F.col("key")[key].alias("digest"), F.col("value")[keep].alias("keep"), F.col("value")[n].alias("n"))
 
 
-def _collisions(rows: DataFrame, hits: DataFrame) -> DataFrame:
-    """Digests of which some row differs from the content at the entry's locator."""
-    at = hits.select(F.col("digest"), F.col("keep.file").alias("file"), F.col("keep.place").alias("place"))
-    kept = rows.drop("digest").join(at, ["file", "place"]).select("digest", F.col("content").alias("original"))
-    return rows.select("digest", "content").join(kept, "digest").where("content <> original").select(
-        "digest").distinct()
+def _collisions(docs: DataFrame, rows: DataFrame, entries: DataFrame) -> DataFrame:
+    """Digests of which some row differs from the content at the entry's locator.
+
+    Only hits are compared: their texts are fetched by locator once, and meet by digest."""
+    is_kept = (F.col("file") == F.col("keep.file")) & (F.col("place") == F.col("keep.place"))
+    hits = rows.join(entries.where("n > 1"), "digest").select("digest", "file", "place", is_kept.alias("is_kept"))
+    texts = checkpointed(_located(docs).drop("doc_id").join(hits, ["file", "place"]).select("digest", "content", "is_kept"))
+    kept = texts.where("is_kept").select("digest", F.col("content").alias("original"))
+    return texts.where("not is_kept").join(kept, "digest").where("content <> original").select("digest").distinct()
 
 
 def exact_dedup(spark: SparkSession, path: str, state: str, digest=digest) -> DataFrame:
@@ -88,14 +93,13 @@ def exact_dedup(spark: SparkSession, path: str, state: str, digest=digest) -> Da
     docs = spark.read.parquet(path)
     update_state(spark, path, docs.select("doc_id", "text").schema, state, digest)
     entries = read_state(spark, state)
-    rows = _located(docs).withColumn("digest", digest(F.col("content")))
-    collided = checkpointed(_collisions(rows, entries.where("n > 1")))
+    rows = checkpointed(_located(docs).withColumn("digest", digest(F.col("content"))).drop("content"))
+    collided = checkpointed(_collisions(docs, rows, entries))
     if collided.isEmpty():
-        grouped = rows.select("doc_id", "file", "place", "digest").join(entries, "digest")
+        grouped = rows.join(entries, "digest")
     else:
-        whole = rows.join(entries, "digest")
-        sure = whole.join(collided, "digest", "left_anti").drop("content")
-        unsure = rows.join(collided, "digest", "left_semi")
+        sure = rows.join(collided, "digest", "left_anti").join(entries, "digest")
+        unsure = _located(docs).withColumn("digest", digest(F.col("content"))).join(collided, "digest", "left_semi")
         regrouped = unsure.groupBy("digest", "content").agg(
             F.max(F.struct("doc_id", "file", "place")).alias("keep"), F.count("*").alias("n"))
         grouped = sure.unionByName(unsure.join(regrouped, ["digest", "content"]).drop("content"))
