@@ -45,7 +45,8 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentencepiece_codec.token_digests(sentencepiece_codec.encode(table(spark, sf_dir, "documents"), _model()))
+    encoded = sentencepiece_codec.encode(table(spark, sf_dir, "documents"), _model(), digests=True)
+    return encoded.withColumnRenamed("ids", "ids_sha256")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

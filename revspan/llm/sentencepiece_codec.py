@@ -27,7 +27,9 @@ from pyspark.sql import DataFrame, functions as F
 MARK = "▁"  # stands for a space in pieces
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
 UNIGRAM, BPE = 1, 2
-CACHE = 300_000  # chunks that a worker remembers; more only means encoding some again
+CACHE = 120_000  # chunks that a worker remembers; beyond, it starts anew
+SLICE = 128  # texts whose new chunks are encoded in one batch
+THREADS = "2"  # of a batch, unless RAYON_NUM_THREADS says otherwise
 
 
 def _fields(message: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -108,6 +110,7 @@ class Codec:
 
     def __init__(self, raw: bytes):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
+        os.environ.setdefault("RAYON_NUM_THREADS", THREADS)
         from tokenizers import Tokenizer, decoders, models, normalizers
 
         self.raw, self.model = raw, parse_model(raw)
@@ -171,16 +174,16 @@ class Codec:
 
     def encode_texts(self, texts: list[str]) -> Iterator[tuple[np.ndarray, bool, bool]]:
         """Ids, whether they decode to the normalised text, whether the peer agrees, for each text."""
-        for start in range(0, len(texts), 256):
+        for start in range(0, len(texts), SLICE):
             if len(self.known) > CACHE:
                 self.known.clear()
                 self.not_round.clear()
                 self.not_par.clear()
-            part = [self.chunks.findall(self.normalise(t)) for t in texts[start: start + 256]]
+            part = [self.chunks.findall(self.normalise(t)) for t in texts[start: start + SLICE]]
             new = list(set().union(*part).difference(self.known)) if part else []
             if new:
                 self.learn(new)
-            for text, chunks in zip(texts[start: start + 256], part):
+            for text, chunks in zip(texts[start: start + SLICE], part):
                 ids = np.frombuffer(b"".join(map(self.known.__getitem__, chunks)), "<i4")
                 yield ids, self.not_round.isdisjoint(chunks), self.not_par.isdisjoint(chunks)
 
@@ -200,33 +203,40 @@ def load_model(path: str) -> bytes:
         return file.read()
 
 
-def _encoded(raw: bytes):
+def _encoded(raw: bytes, digests: bool):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(raw)
         for batch in batches:
-            made = list(codec.encode_texts([t or "" for t in batch.column("text").to_pylist()]))
-            ids = np.concatenate([i for i, _, _ in made]) if made else np.empty(0, "<i4")
-            ends = np.concatenate([[0], np.cumsum([len(i) for i, _, _ in made])]).astype(np.int32)
-            n_bytes = np.concatenate([[0], np.cumsum(codec.is_byte[ids])])
+            made, hashes = [], []
+            for ids, back, same in codec.encode_texts([t or "" for t in batch.column("text").to_pylist()]):
+                made.append((len(ids), int(codec.is_byte[ids].sum()), back, same))
+                hashes.append(hashlib.sha256(ids.tobytes()).hexdigest() if digests else ids)
+            if digests:
+                tokens = pa.array(hashes, pa.string())
+            else:
+                ends = np.concatenate([[0], np.cumsum([n for n, *_ in made])]).astype(np.int32)
+                tokens = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*hashes, np.empty(0, "<i4")])))
+            facts = zip(*made) if made else [()] * 4
+            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.bool_())
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.ListArray.from_arrays(pa.array(ends), pa.array(ids)),
-                 pa.array(np.diff(ends).astype(np.int64)), pa.array(np.diff(n_bytes[ends]).astype(np.int64)),
-                 pa.array([r for _, r, _ in made], pa.bool_()), pa.array([p for _, _, p in made], pa.bool_())],
+                [*batch.columns[:-1], tokens, *[pa.array(list(f), k) for f, k in zip(facts, kinds)]],
                 names=[*batch.schema.names[:-1], "ids", "n_tokens", "n_byte_tokens", "round_trip", "parity"])
 
     return encode
 
 
-def encode(docs: DataFrame, model: bytes, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def encode(docs: DataFrame, model: bytes, keep: tuple[str, ...] = ("doc_id",), digests: bool = False) -> DataFrame:
     """The columns keep, then ids, n_tokens, n_byte_tokens, round_trip, parity, per row of docs.
 
     A NULL text counts as empty and has no ids. round_trip: the ids decode to the normalised text;
-    parity: the sentencepiece library encodes every chunk alike. Repeated rows each give a row. An
-    empty table gives no rows."""
+    parity: the sentencepiece library encodes every chunk alike. With digests, ids is their SHA-256 (as
+    little-endian 32-bit numbers) in lowercase hex. Repeated rows each give a row. An empty table
+    gives no rows."""
     kept = docs.select(*keep)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
+    kind = "string" if digests else "array<int>"
     return docs.select(*keep, F.col("text")).mapInArrow(
-        _encoded(model), f"{fields}, ids array<int>, n_tokens long, n_byte_tokens long, round_trip boolean, parity boolean")
+        _encoded(model, digests), f"{fields}, ids {kind}, n_tokens long, n_byte_tokens long, round_trip boolean, parity boolean")
 
 
 def _decoded(raw: bytes):
@@ -241,19 +251,3 @@ def _decoded(raw: bytes):
 def decode(encoded: DataFrame, model: bytes) -> DataFrame:
     """doc_id and text for rows of doc_id and ids; NULL ids give an empty text."""
     return encoded.select(F.col("doc_id").cast("long"), "ids").mapInArrow(_decoded(model), "doc_id long, text string")
-
-
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids, out = batch.column("ids"), []
-        values, ends = ids.values.to_numpy(), ids.offsets.to_numpy()
-        for a, b in zip(ends[:-1], ends[1:]):
-            out.append(hashlib.sha256(values[a:b].astype("<i4").tobytes()).hexdigest())
-        names = ["doc_id", "n_tokens", "n_byte_tokens", "round_trip", "parity"]
-        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(out, pa.string())], names=[*names, "ids_sha256"])
-
-
-def token_digests(encoded: DataFrame) -> DataFrame:
-    """The rows of encode with ids_sha256 (of the ids as little-endian 32-bit numbers) instead of ids."""
-    return encoded.mapInArrow(
-        _digests, "doc_id long, n_tokens long, n_byte_tokens long, round_trip boolean, parity boolean, ids_sha256 string")
