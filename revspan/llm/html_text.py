@@ -184,7 +184,7 @@ def densities(tree: _Tree) -> tuple[list[float], list[float]]:
         if chars[i] and not tree.dropped[i]:
             c, t, lc, lt = chars[i], max(tags[i], 1), max(links[i], 1), max(link_tags[i], 1)
             base = math.log(c / max(c - links[i], 1) * links[i] + body * c + math.e)
-            density[i] = max(0.0, c / t * math.log(max(c / lc * t / lt, 1.0)) / max(math.log(base + 1), 1e-9))
+            density[i] = (c / t * math.log1p(c / lc * t / lt) / math.log(base + 1))
         if i:
             total[tree.parent[i]] += density[i]
     return density, total

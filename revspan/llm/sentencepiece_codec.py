@@ -29,6 +29,7 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
 UNIGRAM, BPE = 1, 2
 CACHE = 120_000  # chunks that a worker remembers; beyond, it starts anew
 SLICE = 128  # texts whose new chunks are encoded in one batch
+ROWS = 1_000  # texts whose ids are held before they are handed on
 THREADS = "2"  # of a batch, unless RAYON_NUM_THREADS says otherwise
 
 
@@ -206,7 +207,7 @@ def load_model(path: str) -> bytes:
 def _encoded(raw: bytes, digests: bool):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(raw)
-        for batch in batches:
+        for batch in (whole.slice(i, ROWS) for whole in batches for i in range(0, whole.num_rows, ROWS)):
             made, hashes = [], []
             for ids, back, same in codec.encode_texts([t or "" for t in batch.column("text").to_pylist()]):
                 made.append((len(ids), int(codec.is_byte[ids].sum()), back, same))

@@ -21,10 +21,11 @@ from revspan.llm.common import checkpointed, held_out, learnable, spread
 
 ORDERS = (3, 4, 5, 6)
 BITS = 18
-SAMPLE = 8_000  # labelled texts that are learned from, at most
-FEATURES = 8_000  # n-grams kept, those that differ most surely between the classes
+SAMPLE = 6_000  # labelled texts that are learned from, at most
+FEATURES = 5_000  # n-grams kept, those that differ most surely between the classes
+PER_TEXT = 8  # n-grams kept for each text that is learned from, at most
 LIMIT = 0.7  # scores from here on are predicted toxic
-_PARTS = 16
+_PARTS = 8
 
 
 @dataclass(frozen=True)
@@ -68,18 +69,20 @@ def _regress(found: list[np.ndarray], labels: np.ndarray, ratio: np.ndarray, ste
 
     The rarer class weighs more, by the square root of how much rarer it is."""
     heavy = np.where(labels > 0, ((1 - labels.mean()) / labels.mean()) ** 0.5, 1.0)
-    columns = np.concatenate(found) if found else np.empty(0, np.int32)
-    lengths = np.array([len(f) for f in found])
-    row = np.repeat(np.arange(len(found)), lengths)
+    blocks = [found[i: i + 500] for i in range(0, len(found), 500)]  # bounds what is in memory at once
     w, b = np.zeros(len(ratio)), np.log((labels.mean() + 1e-6) / (1 - labels.mean() + 1e-6))
-    scaled = ratio[columns]
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for step in range(1, steps + 1):
-        z = np.bincount(row, weights=w[columns] * scaled, minlength=len(found)) + b
-        error = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels
-        error *= heavy
-        slope = np.bincount(columns, weights=error[row] * scaled, minlength=len(w)) / len(found) + ridge * w
-        slope = np.append(slope, error.mean())
+        slope, weighed = np.append(ridge * w, 0.0), w * ratio
+        for i, block in enumerate(blocks):
+            at = slice(500 * i, 500 * i + len(block))
+            lengths = np.array([len(f) for f in block])
+            columns = np.concatenate(block)
+            ends = np.concatenate([[0], np.cumsum(weighed[columns])])
+            z = np.diff(ends[np.concatenate([[0], np.cumsum(lengths)])]) + b
+            error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[at]) * heavy[at]
+            slope[:-1] += np.bincount(columns, np.repeat(error, lengths), len(w)) * ratio / len(found)
+            slope[-1] += error.sum() / len(found)
         m, v = 0.9 * m + 0.1 * slope, 0.99 * v + 0.01 * slope**2
         move = 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         w, b = w - move[:-1], b - move[-1]
@@ -105,7 +108,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> To
     pooled = (counts.sum(axis=0) + 1) / (clean + toxic + 2)
     surety = np.abs(share[1] - share[0]) / np.sqrt(pooled * (1 - pooled) * (1 / clean + 1 / toxic))
     surety[counts.sum(axis=0) < 3] = 0
-    picked = np.sort(np.argsort(-surety, kind="stable")[:FEATURES])
+    picked = np.sort(np.argsort(-surety, kind="stable")[:min(FEATURES, PER_TEXT * int(clean + toxic))])
     rows = learned.mapInArrow(_chosen_features(picked), "label int, found binary").collect()  # bounded by sample
     found = [np.frombuffer(r.found, np.int32) for r in rows]
     w, bias = _regress(found, np.array([r.label for r in rows], float), ratio[picked])

@@ -1,0 +1,426 @@
+"""The text operators on small hand-made tables, against brute force and DuckDB."""
+
+import hashlib
+import itertools
+import os
+import random
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from revspan.llm import (
+    embedding_dedup, exact_dedup, html_text, langid, line_dedup, mixing, ngram_join, pii, queries, sentencepiece_codec, toxicity,
+)
+from revspan.llm.common import fold
+from revspan.llm.components import components
+from tests.conftest import SF
+from tests.oracle_check import connect, duck_rows, spark_rows
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+LONG = "wort " * 50_000
+
+
+def make_docs(spark, rows):
+    """(doc_id, text[, lang, source]) rows as a documents table."""
+    return spark.createDataFrame(
+        [(r[0], r[1], r[2] if len(r) > 2 else None, r[3] if len(r) > 3 else None, None if r[1] is None else len(r[1])) for r in rows], DOCS)
+
+
+ODD = [(None, None), (None, "a b"), (1, ""), (2, LONG), (3, "x\n\ny"), (4, None), (5, "same text here"), (5, "same text here"), (6, "ÄÖ\tß é")]
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    return spark.createDataFrame([(1, 1, 0), (2, 0, 1), (None, None, None)], "doc_id long, quality int, toxic int")
+
+
+@pytest.fixture(scope="module")
+def model():
+    return queries._model()
+
+
+@pytest.mark.parametrize("rows", [ODD, []])
+def test_odd_rows_each_give_a_row(spark, labels, model, rows):
+    docs = make_docs(spark, rows).withColumn("key", F.lit(1)).withColumn("doc", F.lit("x")).withColumn("pos", F.lit(2))
+    outputs = [
+        pii.personal_data(docs), toxicity.toxicity(docs, labels), langid.language_id(docs), line_dedup.line_dedup(docs),
+        ngram_join.ngram_jaccard(docs), sentencepiece_codec.encode(docs, model), mixing.temperature_mix(docs, max_passes=2.0),
+    ]
+    for out in outputs:
+        assert out.count() == len(rows)
+
+
+# Personal data
+
+def base_spans(text):
+    """The base spans straight from the patterns' wording."""
+    out = []
+    for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", text):
+        out.append(("email", *m.span()))
+    for m in re.finditer(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", text):
+        if all(int(p) <= 255 for p in m[0].split(".")):
+            out.append(("ip", *m.span()))
+    for m in re.finditer(r"[0-9](?:[ -]?[0-9])+", text):
+        d = [int(c) for c in m[0] if c.isdigit()][::-1]
+        if 16 <= len(d) <= 19 and sum(d[::2], sum(sum(divmod(2 * x, 10)) for x in d[1::2])) % 10 == 0:
+            out.append(("card", *m.span()))
+    for m in re.finditer(r"\+[0-9][ ().0-9-]+[0-9]", text):
+        if 8 <= sum(c.isdigit() for c in m[0]) <= 15:
+            out.append(("phone", *m.span()))
+    return out
+
+
+def test_base_spans_match_the_patterns(spark):
+    rng = random.Random(1)
+    pieces = ["a@b.c", "a@b@c.de", "x.y%z@h-1.org.", "_q@r.s", "1.2.3.4.5.6.7.8", "256.1.1.1", "001.002.3.255", "4111 1111-1111 1111",
+              "4111111111111112", "+1 (555) 123-4567", "+12", "++49 30 1234567 ", "@", ".", "1", " ", "é", "word", "\n", "-", "+", "4" * 25]
+    texts = ["".join(rng.choices(pieces, k=rng.randint(0, 12))) for _ in range(400)] + ["9" * 20_000, "a" * 5_000 + "@", "+" * 3000]
+    got = {r.doc_id: r for r in pii.personal_data(make_docs(spark, list(enumerate(texts)))).collect()}
+    for i, text in enumerate(texts):
+        spans = base_spans(text)
+        assert [got[i][f"n_{k}"] for k in ("email", "ip", "card", "phone")] == [sum(s[0] == k for s in spans) for k in ("email", "ip", "card", "phone")]
+        written = [f"{k}:{a}:{b}" for k, a, b in spans]
+        assert got[i].base_sha256 == hashlib.sha256(",".join(written).encode()).hexdigest()
+        assert set(written) <= set(got[i].spans.split(","))
+
+
+def test_reliabilities_are_recovered():
+    rng = np.random.default_rng(3)
+    truth = rng.random(20_000) < 0.3
+    right = np.array([0.95, 0.9, 0.8, 0.7, 0.6, 0.9])
+    votes = np.where(rng.random((len(truth), 6)) < right, truth[:, None], ~truth[:, None]) * 2
+    patterns, counts = np.unique(votes, axis=0, return_counts=True)
+    posterior, emit, share = pii.estimate_reliability(patterns, counts.astype(float))
+    assert abs(share - 0.3) < 0.03 and np.abs(emit[1, :, 2] - right).max() < 0.05
+    guess = {tuple(p): q > 0.5 for p, q in zip(patterns, posterior)}
+    assert np.mean([guess[tuple(v)] == t for v, t in zip(votes, truth)]) > 0.95
+
+
+def test_the_method_adds_spans(spark):
+    texts = [f"please phone ({200 + i}) 555-{1000 + i} or token = \"abcdEF0123456789abcd{i}\" today" for i in range(30)]
+    texts += [f"call us: +1 555 010 {1000 + i} now" for i in range(30)]
+    got = pii.personal_data(make_docs(spark, list(enumerate(texts)))).where("doc_id < 30").collect()
+    assert all("phone:" in r.spans and "secret:" in r.spans and r.n_phone == 0 for r in got)
+
+
+# Toxicity and language: held-out accuracy on the given tables
+
+needs_data = pytest.mark.skipif(not os.path.isdir(SF.replace("0.001", "0.01")), reason="no test tables here")
+
+
+@needs_data
+def test_toxicity_and_language_on_held_out_documents(spark):
+    folder = SF.replace("0.001", "0.01")
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    scored = queries.op2_toxicity(spark, folder).join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").where("held_out").collect()
+    clean = [r.predicted for r in scored if r.toxic == 0]
+    ranked = sorted(scored, key=lambda r: r.score)
+    above = sum(a.score < b.score for a in ranked for b in ranked if a.toxic < b.toxic)
+    assert sum(clean) == 0 and above / (len(clean) * (len(scored) - len(clean))) > 0.9
+    rows = queries.op4_language_id(spark, folder).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
+    assert np.mean([r.lang == r.lang_pred for r in rows]) > 0.97
+
+
+def test_scores_follow_the_text_alone(spark):
+    rng = random.Random(5)
+    words = [f"w{rng.randrange(200)}" for _ in range(4000)]
+    rows = [(i, " ".join(rng.choices(words, k=60)) + (" you utter scumbag" if i % 4 == 0 else "")) for i in range(240)]
+    docs = make_docs(spark, rows + [(1000, rows[0][1]), (None, rows[0][1])])
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(240)], "doc_id long, quality int, toxic int")
+    got = toxicity.toxicity(docs, labels).collect()
+    by = {r.doc_id: r for r in got}
+    assert by[0].score == by[1000].score == by[None].score and not by[None].held_out
+    assert all(r.predicted == int(r.doc_id % 4 == 0) for r in got if r.doc_id is not None and r.doc_id < 240)
+    folds = {r.doc_id: r.f for r in docs.select("doc_id", fold(F.col("doc_id")).alias("f")).collect()}
+    assert all(r.held_out == (folds[r.doc_id] == 1) for r in got)
+    assert toxicity.without_toxic(docs, labels).columns == docs.columns
+
+
+def test_languages_without_letters_or_training(spark):
+    got = {r.doc_id: r for r in langid.language_id(make_docs(spark, [(1, "12 !"), (2, None), (3, "abc")])).collect()}
+    assert [(got[i].lang_pred, got[i].score) for i in (1, 2, 3)] == [("und", 0.0)] * 3
+
+
+# Pages
+
+def test_main_text_leaves_out_what_is_not_the_article():
+    body = "".join(f"<p>Sentence {i} of the long article text, and more &amp; more.</p>" for i in range(8))
+    page = f"""<html><head><title>T</title><script>var t="</p>";</script></head><body class="has-sidebar">
+      <header>Site head</header><nav><a href=/>Home</a></nav><div class="cookie-notice">We use cookies</div>
+      <article><h1>The title</h1><p><b>Unclosed<br>bold {body}<div class=ad>Buy</div>
+      <form><input>Send</form></article><aside>Side</aside><section id=comments>A comment</section><footer>(c)</footer>"""
+    expected = "The title Unclosed bold " + " ".join(f"Sentence {i} of the long article text, and more & more." for i in range(8))
+    assert html_text.main_text(page) == expected
+    for odd in (None, "", "<", "<p", "a<b", "<!--", "<p>\x00", "<script>", "</p></p>", "&#0;&bogus;", "<div " * 50):
+        html_text.main_text(odd)
+    assert html_text.main_text("<p>only text") == "only text"
+    assert html_text.main_text("<div>" * 3000 + "deep") == "deep"
+
+
+def test_pages_rows(spark):
+    pages = spark.createDataFrame([(1, "u", None, 9), (None, None, "<p>x</p>", 9), (1, "u", None, 9)], "page_id long, url string, html string, text int")
+    assert sorted((r.page_id or 0, r.text, r.n_chars) for r in html_text.extract_pages(pages).collect()) == [(0, "x", 1), (1, "", 0), (1, "", 0)]
+    assert html_text.extract_pages(pages.limit(0)).count() == 0
+
+
+# Exact duplicates
+
+@pytest.mark.parametrize("digest", [exact_dedup.digest, lambda c: F.substring(F.sha2(c, 256), 1, 1)])
+def test_exact_groups_even_when_digests_collide(spark, tmp_path, digest):
+    rng = random.Random(2)
+    rows = [(i, rng.choice(["Abc", "aBC", "Ä", "ä", "", None, "x" * 9000] + [f"t{j}" for j in range(30)])) for i in range(300)] + [(None, "abc")]
+    make_docs(spark, rows).write.parquet(str(tmp_path / "docs"))
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    groups = {}
+    for i, text in rows:
+        groups.setdefault((text or "").translate(lower), []).append(-1 if i is None else i)
+    got = exact_dedup.exact_dedup(spark, str(tmp_path / "docs"), str(tmp_path / "state"), digest).collect()
+    seen = {-1 if r.doc_id is None else r.doc_id: (r.keep_id, r.group_size, r.kept) for r in got}
+    assert len(got) == 301 and seen == {i: (max(g), len(g), i == max(g)) for g in groups.values() for i in g}
+
+
+def test_state_goes_on_where_it_stopped(spark, tmp_path):
+    path, state = str(tmp_path / "docs"), str(tmp_path / "state")
+    make_docs(spark, [(1, "a"), (2, "b")]).coalesce(1).write.parquet(path)
+    assert {r.group_size for r in exact_dedup.exact_dedup(spark, path, state).collect()} == {1}
+    make_docs(spark, [(3, "A")]).coalesce(1).write.mode("append").parquet(path)
+    got = {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup.exact_dedup(spark, path, state).collect()}
+    assert got == {1: (3, 2), 2: (2, 1), 3: (3, 2)}
+
+
+# Lines
+
+def brute_lines(rows, min_docs):
+    held = {}
+    for n, (i, text) in enumerate(rows):
+        for key in set(line_dedup.line_keys(text)):
+            held.setdefault(key, set()).add((i, text))
+    out = []
+    for i, text in rows:
+        lines = (text or "").split("\n")
+        kept = [ln for ln, k in zip(lines, line_dedup.line_keys(text)) if not k or len(held[k]) < min_docs]
+        out.append((-1 if i is None else i, len(lines), len(lines) - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest()))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("parts", [1, 7, 40])
+def test_lines_against_brute_force(spark, parts):
+    rng = random.Random(parts)
+    pool = ["Common line", "  common LINE\t", "", " ", "zwölf Ä"] + [f"line {j}" for j in range(60)]
+    rows = [(i, "\n".join(rng.choices(pool, k=rng.randint(1, 12)))) for i in range(200)] + [(None, None), (500, ""), (501, "common line")]
+    docs = make_docs(spark, rows)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)  # a common line then runs over several partitions
+        got = line_dedup.line_digests(line_dedup.line_dedup(docs, 10)).collect()
+        rewritten = line_dedup.without_repeated_lines(docs, 10)
+        texts = {r.doc_id: r.text for r in rewritten.collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    expected = brute_lines(rows, 10)
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_lines, r.n_dropped, r.kept_sha256) for r in got) == expected
+    assert rewritten.columns == docs.columns and texts[None] is None
+    assert all(hashlib.sha256(texts[i].encode()).hexdigest() == h for i, _, _, h in expected if i >= 0)
+
+
+# Shingles
+
+def brute_components(rows, percent):
+    sets = []
+    for _, text in rows:
+        words = (text or "").encode().lower().split()
+        sets.append({tuple(words[k: k + 5]) for k in range(max(1, len(words) - 4))} if words else set())
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        both = len(sets[i] & sets[j])
+        if both and 100 * both >= percent * len(sets[i] | sets[j]):
+            root[find(i)] = find(j)
+    least = {}
+    for i, (doc, _) in enumerate(rows):
+        least[find(i)] = min(doc, least.get(find(i), doc))
+    return sorted((doc, len(s), least[find(i)]) for i, ((doc, _), s) in enumerate(zip(rows, sets)))
+
+
+@pytest.mark.parametrize("long_list", [3, 64])
+def test_shingle_components_against_brute_force(spark, monkeypatch, long_list):
+    monkeypatch.setattr(ngram_join, "LONG_LIST", long_list)
+    monkeypatch.setattr(ngram_join, "TILE", 5)
+    rng = random.Random(long_list)
+    bases = [[f"w{rng.randrange(300)}" for _ in range(rng.choice([6, 30, 80]))] for _ in range(12)]
+    rows = []
+    for i in range(260):
+        words = list(rng.choice(bases))
+        for _ in range(rng.choice([0, 0, 1, 2, 3, 5])):
+            words[rng.randrange(len(words))] = f"v{rng.randrange(1000)}"
+        rows.append((i, " ".join(words).upper() if i % 7 == 0 else "\t".join(words)))
+    rows += [(300, None), (301, ""), (302, " \n"), (303, "one two"), (304, "One  two"), (305, LONG), (306, LONG + "x")]
+    got = ngram_join.ngram_jaccard(make_docs(spark, rows)).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(rows, 80)
+
+
+def test_components_of_a_long_path(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 400), (7, 7)], "a long, b long")
+    got = {r.node: r.component for r in components(edges).collect()}
+    assert got == {**{i: 0 for i in range(201)}, 400: 400, 500: 400}
+
+
+# Embeddings
+
+def test_embeddings_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "BUCKET", 8)
+    monkeypatch.setattr(embedding_dedup, "TILE", 16)
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(400):
+        if i % 3:
+            v = rng.standard_normal(24)
+        else:
+            v = np.ones(24) + rng.standard_normal(24) * rng.choice([0.1, 0.14, 0.18])
+        rows.append((i, [float(x) for x in v.astype(np.float32)], int(i % 2)))
+    rows += [(400, None, 0), (401, [0.0] * 24, 0), (402, [float("nan")] * 24, 0), (403, [1.0, None], 0), (404, rows[0][1], None),
+             (405, [2 * x for x in rows[0][1]], 0), (406, [], 0), (407, [1e-30] * 24, 1)]
+    good = [(i, np.array(v) / np.linalg.norm(np.array(v) / np.abs(v).max()) / np.abs(v).max(), lab) for i, v, lab in rows
+            if v and lab is not None and None not in v and np.isfinite(v).all() and np.any(v)]
+    near = {i: {j for j, w, m in good if i != j and lab == m and v @ w >= 0.98} for i, v, lab in good}
+    frame = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<float>, label int, id string")
+    got = {r.vec_id: r for r in embedding_dedup.embedding_near_duplicates(frame).collect()}
+    assert len(got) == len(rows)
+    links = sum(r.n_links for r in got.values())
+    assert links >= 0.99 * sum(map(len, near.values())) and all(got[i].n_links <= len(near.get(i, ())) for i in got)
+    assert all(got[i].n_links == 0 and got[i].component_id == i and got[i].kept for i in (400, 401, 402, 403, 404, 406))
+    assert embedding_dedup.embedding_near_duplicates(frame.limit(0)).count() == 0
+
+
+def test_estimates_are_unbiased_and_bounded():
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((400, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = x + rng.standard_normal(x.shape) * 0.02
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    code, factor = embedding_dedup.binary_codes(x)
+    turned = y @ embedding_dedup.rotation(64, 0).T
+    error = (code * turned).sum(axis=1) / 8 / factor - (x * y).sum(axis=1)
+    assert abs(error.mean()) < 0.02
+    assert np.diag(embedding_dedup.may_link(code, factor, turned, 0.98))[(x * y).sum(axis=1) >= 0.98].all()
+
+
+# Mixing
+
+def test_exponents_and_weights(spark):
+    sizes = {"a": 1000, "b": 100, None: 10}
+    tokens = spark.createDataFrame([(s, 10) for s, n in sizes.items() for _ in range(n // 10)], "source string, n_tokens long")
+    shares = mixing.source_shares(tokens)
+    p = np.array([1000, 100, 10]) / 1110
+    t = mixing.exponent_for_entropy(shares, 0.9)
+    w = p**t / (p**t).sum()
+    assert abs(-(w * np.log(w)).sum() - 0.9) < 1e-9
+    t = mixing.exponent_for_repeats(shares, 3.0)
+    assert abs((100 ** (1 - t)) - 3.0) < 1e-9
+    rows = {r.source: r for r in mixing.weights(shares, t).collect()}
+    assert abs(rows["a"].passes - 1) < 1e-9 and abs(rows[None].passes - 3) < 1e-9
+    assert abs(sum(r.weight for r in rows.values()) - 1) < 1e-9
+
+
+def test_budgets_are_spent_on_whole_passes(spark):
+    rng = random.Random(8)
+    rows = [(i, " ".join(["w"] * rng.randint(1, 9)), "en", rng.choice("aaaaaaab")) for i in range(400)] + [(900, "", "en", "a"), (901, "x y", "en", None)]
+    docs = make_docs(spark, rows)
+    mixed = mixing.temperature_mix(docs, max_passes=2.5)
+    assert set(docs.columns) <= set(mixed.columns)
+    got = mixed.collect()
+    assert {r.doc_id for r in got} == {r[0] for r in rows}  # every document at least once
+    for source in ("a", "b", None):
+        own = sorted((r for r in got if r.source == source), key=lambda r: (r.before, r.n_tokens))
+        size = sum(len((r[1]).split()) for r in rows if r[3] == source)
+        budget = own[-1].before / own[-1].progress if own[-1].progress else size
+        assert all(a.before + a.n_tokens <= b.before for a, b in zip(own, own[1:]) if b.n_tokens)
+        assert budget - 9 <= sum(r.n_tokens for r in own) <= budget + 1e-3
+        assert [r["pass"] for r in own] == sorted(r["pass"] for r in own)
+    first = [r.doc_id for r in sorted(got, key=lambda r: r.progress) if r.source == "a" and r["pass"] == 0]
+    assert first != sorted(first) and len(set(first)) == len(first)
+
+
+def test_a_smaller_budget_takes_part_of_a_source(spark):
+    docs = make_docs(spark, [(i, "w w w w", "en", "ab"[i % 2]) for i in range(200)])
+    got = mixing.temperature_mix(docs, target_entropy=10.0, budget=200.0).collect()
+    assert {s: sum(r.n_tokens for r in got if r.source == s) for s in "ab"} == {"a": 100, "b": 100}
+
+
+# Tokens
+
+def test_tokens_agree_with_the_library_and_come_back(spark, model):
+    import sentencepiece
+
+    texts = ["Hello world", " lead", "trail ", "a  b   c", "tab\tnew\nline", "▁mark ▁▁ x", "漢字 🎉 ẞ", "", "x" * 3000, "<s> </s> <unk>", "é" * 50]
+    peer = sentencepiece.SentencePieceProcessor(model_proto=model)
+    encoded = sentencepiece_codec.encode(make_docs(spark, list(enumerate(texts))), model)
+    got = {r.doc_id: r for r in encoded.collect()}
+    for i, text in enumerate(texts):
+        assert list(got[i].ids) == peer.encode(text), text
+        assert got[i].round_trip and got[i].parity and got[i].n_tokens == len(got[i].ids)
+    back = {r.doc_id: r.text for r in sentencepiece_codec.decode(encoded, model).collect()}
+    assert all(back[i] == t.replace("▁", " ") for i, t in enumerate(texts))
+
+
+def field(number, value):
+    """One field of a protobuf message: a varint, or bytes with their length."""
+    def varint(n):
+        return bytes([n & 127 | 128]) + varint(n >> 7) if n > 127 else bytes([n])
+
+    return varint(number << 3) + varint(value) if isinstance(value, int) else varint(number << 3 | 2) + varint(len(value)) + value
+
+
+def test_unigram_models_are_built_too():
+    import struct
+
+    import sentencepiece
+
+    raw = b""
+    pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)] + [(f"<0x{i:02X}>", 0.0, 6) for i in range(256)]
+    pieces += [("▁", -3.0, 1), ("▁ab", -2.0, 1), ("a", -4.0, 1), ("b", -4.5, 1), ("bc", -3.5, 1), ("c", -5.0, 1)]
+    for piece, score, kind in pieces:
+        raw += field(1, field(1, piece.encode()) + b"\x15" + struct.pack("<f", score) + field(3, kind))
+    raw += field(2, field(3, 1) + field(35, 1)) + field(3, field(1, b"identity") + field(4, 0))
+    codec, peer = sentencepiece_codec.Codec(raw), sentencepiece.SentencePieceProcessor(model_proto=raw)
+    for text in ("abc", "ab abc", "cab é", "a  b"):
+        (ids, back, same), = codec.encode_texts([text])
+        assert list(ids) == peer.encode(text) and back and same
+
+
+# Queries and pipeline
+
+@needs_data
+@pytest.mark.parametrize("name", queries.ORACLES)
+def test_oracles(spark, name):
+    assert spark_rows(queries.QUERIES[name](spark, SF)) == duck_rows(connect(SF), queries.ORACLES[name])
+
+
+@needs_data
+def test_pipeline_stages_against_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    kept = []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF).cache()
+        assert out.columns == docs.columns and dict(out.dtypes) == dict(docs.dtypes)
+        kept.append((name, docs, out))
+        docs = out
+    (_, before, clean), (_, _, lines), (_, _, single), (_, _, mixed) = kept
+    scores = {r.doc_id: r.predicted for r in queries.op2_toxicity(spark, SF).collect()}
+    assert {r.doc_id for r in clean.collect()} == {i for i, p in scores.items() if not p}
+    rows = [(r.doc_id, r.text) for r in clean.collect()]
+    hashes = {i: h for i, _, _, h in brute_lines(rows, 10)}
+    assert all(hashlib.sha256(r.text.encode()).hexdigest() == hashes[r.doc_id] and r.n_chars == len(r.text) for r in lines.collect())
+    groups = brute_components([(r.doc_id, r.text) for r in lines.collect()], 80)
+    assert {r.doc_id for r in single.collect()} == {c for _, _, c in groups}
+    assert {r.doc_id for r in mixed.collect()} == {r.doc_id for r in single.collect()}
+    tokens = corpus_pipeline.run(spark, SF)
+    assert tokens.count() == mixed.count() and tokens.where("not round_trip or not parity").count() == 0
