@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from revspan.llm import line_dedup, mixing, ngram_join, queries, sentencepiece_codec, toxicity
-from revspan.llm.common import checkpointed, table
+from revspan.llm.common import shared_folder, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,14 +53,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of sf_dir, each written to the shared folder and read again."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
-    folder = f"{shared.rstrip('/')}/pipeline-{uuid.uuid4().hex}" if shared else None
     for name, stage in STAGES[:-1]:
-        kept = stage(spark, docs, sf_dir)
-        if folder is None:  # a session without a shared folder, as in tests
-            docs = checkpointed(kept)
-        else:
-            kept.write.parquet(f"{folder}/{name}")
-            docs = spark.read.parquet(f"{folder}/{name}")
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
     return STAGES[-1][1](spark, docs, sf_dir)

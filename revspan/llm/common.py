@@ -7,14 +7,22 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage by writing to the shared folder the cluster names in spark.checkpoint.dir.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in spark.checkpoint.dir, made the checkpoint folder if none is set.
 
     Only a session without that setting (a test on one machine) gets a folder of its own."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
+    context = spark.sparkContext
+    made = context._jsc.sc().getCheckpointDir()
+    named = context.getConf().get("spark.checkpoint.dir")
+    if made.isEmpty():
+        named = named or tempfile.mkdtemp(prefix="checkpoints-")
+        context.setCheckpointDir(named)
+    return (named or made.get()).rstrip("/")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage by writing to the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

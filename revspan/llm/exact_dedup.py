@@ -15,7 +15,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
-from revspan.llm.common import checkpointed, shuffle_partitions
+from revspan.llm.common import checkpointed, shared_folder, shuffle_partitions
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -110,9 +110,5 @@ def exact_dedup(spark: SparkSession, path: str, state: str, digest=digest) -> Da
 
 
 def state_folder(spark: SparkSession) -> str:
-    """A new folder for a stream's state in the shared checkpoint folder."""
-    context = spark.sparkContext
-    shared = context.getConf().get("spark.checkpoint.dir")
-    if shared is None:
-        raise ValueError("a stream's state needs spark.checkpoint.dir, or a folder of its own")
-    return f"{shared.rstrip('/')}/exact-dedup-{uuid.uuid4().hex}"
+    """A new folder for a stream's state in the shared folder."""
+    return f"{shared_folder(spark)}/exact-dedup-{uuid.uuid4().hex}"
