@@ -43,8 +43,19 @@ def _report(df: DataFrame) -> DataFrame:
     ])
 
 
-def _on_suite(build: Callable[[MetricSuite], DataFrame]) -> Query:
-    return lambda spark, sf_dir: _report(build(testbed.suite(spark, sf_dir)))
+#: Queries over accounts, subscriptions and events alone; for them no calendar is looked up.
+_WITHOUT_CALENDAR = frozenset((
+    "subscription_timeline", "cohort_assignment", "cohort_sizes", "logo_churn_by_tier",
+    "logo_churn_by_industry", "segment_contingency", "chi_square_segments", "z_test_segments",
+    "segment_extremes", "segment_domain", "segment_churn_series", "segment_comparison",
+    "duplicate_keys", "reused_keys", "overlap_rate", "signup_gap", "orphans", "constraints",
+    "coverage", "churn_reconciliation",
+))
+
+
+def _on_suite(name: str, build: Callable[[MetricSuite], DataFrame]) -> Query:
+    resolved = name not in _WITHOUT_CALENDAR
+    return lambda spark, sf_dir: _report(build(testbed.suite(spark, sf_dir, resolved)))
 
 
 def _spans_once(build: Callable[[MetricSuite], DataFrame]) -> Callable[[MetricSuite], DataFrame]:
@@ -55,7 +66,8 @@ def _spans_once(build: Callable[[MetricSuite], DataFrame]) -> Callable[[MetricSu
 
 def _timeline(s: MetricSuite) -> DataFrame:
     return timeline.subscription_timeline(s.tables.subscriptions.select(
-        "subscription_id", "account_id", "start_date", "end_date", "plan_tier", "mrr_amount"
+        "subscription_id", "account_id", "start_date", "end_date", "plan_tier", "mrr_amount",
+        "upgrade_flag", "downgrade_flag", "churn_flag",
     ))
 
 
@@ -92,7 +104,7 @@ def _round_growth(kpis: DataFrame) -> DataFrame:
 
 
 def _heatmap(s: MetricSuite) -> DataFrame:
-    return cohorts.cohort_heatmap(s.retention, s.calendar.n_months(s.spark))
+    return cohorts.cohort_heatmap(s.retention)
 
 
 def _flat_snapshot(documents: DataFrame) -> DataFrame:
@@ -168,7 +180,8 @@ def _constraints(s: MetricSuite) -> DataFrame:
     t = s.tables
     checked = {
         "accounts": t.accounts, "subscriptions": t.subscriptions,
-        "support_tickets": t.support_tickets,
+        "support_tickets": t.support_tickets, "churn_events": t.churn_events,
+        "feature_usage": io.with_surrogate_key(t.feature_usage, "usage_pk"),
     }
     return audits.stack([
         audits.constraint_profile(df, TABLES[name].primary_key, TABLES[name].not_null, name)
@@ -288,7 +301,7 @@ def entry(spark: SparkSession) -> DataFrame:
 
 def core_queries() -> dict[str, Query]:
     return {
-        **{name: _on_suite(build) for name, build in _SUITE_QUERIES.items()},
+        **{name: _on_suite(name, build) for name, build in _SUITE_QUERIES.items()},
         "calendar_months": _calendar_months,
         "month_domain": lambda spark, d: explore.month_domain(_calendar_months(spark, d)),
         "csv_accounts": _csv_roundtrip(

@@ -1,7 +1,8 @@
 """DuckDB SQL for every registered query.
 
-Written from the metric definitions on a dense account x month grid with integer cents, so
-that it shares neither plans nor arithmetic with the Spark operators it checks.
+Written from what the metrics mean, with integer cents: at a month end an account shows its
+last-started subscription unless that one has ended, and is compared with itself a month ago.
+It shares neither plans nor arithmetic with the Spark operators it checks.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ subs AS (
          CAST(o_orderdate AS DATE) AS start_date,
          CASE WHEN o_orderstatus = 'F' THEN s.last_day END AS end_date,
          o_orderpriority AS plan_tier, o_orderstatus = 'P' AS is_trial,
+         o_orderpriority = '1-URGENT' AS upgrade_flag, o_orderpriority = '5-LOW' AS downgrade_flag,
          CASE WHEN o_orderstatus = 'P' THEN 0
               ELSE CAST(CAST(o_totalprice AS DECIMAL(12,2)) * 100 AS HUGEINT) END AS cents
   FROM orders LEFT JOIN last_ship s ON l_orderkey = o_orderkey)"""
@@ -36,35 +38,39 @@ cal AS (
           date_trunc('month', (SELECT max(start_date) FROM subs)), INTERVAL 1 MONTH)) AS m))"""
 
 TIMELINE = """,
-ordered AS (
-  SELECT *, lead(start_date) OVER (PARTITION BY account_id ORDER BY start_date, subscription_id)
-            AS next_start_date FROM subs),
+careers AS (
+  SELECT account_id, list(start_date ORDER BY start_date, subscription_id) AS days,
+         list(subscription_id ORDER BY start_date, subscription_id) AS ids
+  FROM subs GROUP BY account_id),
 timeline AS (
-  SELECT *, CASE WHEN end_date IS NULL THEN next_start_date - 1
-                 WHEN next_start_date IS NULL THEN end_date
-                 ELSE least(end_date, next_start_date - 1) END AS effective_end_date
-  FROM ordered)"""
+  SELECT subs.*, days[list_position(ids, subscription_id) + 1] AS next_start_date,
+         least(end_date, days[list_position(ids, subscription_id) + 1] - 1) AS effective_end_date
+  FROM subs JOIN careers USING (account_id))"""
 
 PANEL = ACCTS + CAL + TIMELINE + """,
+newest AS (
+  SELECT account_id, month_start, month_end,
+         last(subscription_id ORDER BY start_date, subscription_id) AS subscription_id
+  FROM subs JOIN cal ON start_date <= month_end GROUP BY ALL),
+shown AS (
+  SELECT n.account_id, n.month_start, cents, plan_tier
+  FROM newest n JOIN subs USING (subscription_id)
+  WHERE coalesce(end_date, month_end) >= month_end),
 panel AS (
-  SELECT month_start, a.account_id, a.industry, CAST(coalesce(sum(t.cents), 0) AS HUGEINT) AS cents,
-         max(t.plan_tier) AS plan_tier, count(t.subscription_id) AS n_matches
-  FROM accts a CROSS JOIN cal
-  LEFT JOIN timeline t ON t.account_id = a.account_id AND t.start_date <= month_end
-       AND (t.effective_end_date IS NULL OR t.effective_end_date >= month_end)
-  GROUP BY month_start, a.account_id, a.industry)"""
+  SELECT cal.month_start, a.account_id, a.industry, CAST(coalesce(s.cents, 0) AS HUGEINT) AS cents,
+         s.plan_tier, CAST(s.account_id IS NOT NULL AS BIGINT) AS n_matches
+  FROM cal CROSS JOIN accts a
+  LEFT JOIN shown s ON (s.account_id, s.month_start) = (a.account_id, cal.month_start))"""
 
 MOVES = PANEL + """,
-with_prior AS (
-  SELECT month_start, account_id, cents AS cur,
-         coalesce(lag(cents) OVER (PARTITION BY account_id ORDER BY month_start), 0) AS prior
-  FROM panel),
 moves AS (
-  SELECT *, cur - prior AS delta,
-         CASE WHEN prior = 0 AND cur > 0 THEN 'new' WHEN prior > 0 AND cur = 0 THEN 'churned'
-              WHEN cur > prior THEN 'expansion' WHEN cur < prior THEN 'contraction'
-              ELSE 'unchanged' END AS kind
-  FROM with_prior)"""
+  SELECT p.month_start, p.account_id, p.cents AS cur, coalesce(q.cents, 0) AS prior,
+         p.cents - coalesce(q.cents, 0) AS delta,
+         ['churned', 'contraction', 'unchanged', 'expansion', 'new'][
+           3 + sign(p.cents - coalesce(q.cents, 0))
+             * if((p.cents = 0) <> (coalesce(q.cents, 0) = 0), 2, 1)] AS kind
+  FROM panel p LEFT JOIN panel q
+    ON q.account_id = p.account_id AND q.month_start + INTERVAL 1 MONTH = p.month_start)"""
 
 
 def scaled(numerator: str, denominator: str, factor: int) -> str:
@@ -89,7 +95,7 @@ def big(expr: str, name: str) -> str:
 
 
 def _flow(kind: str) -> str:
-    return f"CAST(sum(CASE WHEN kind = '{kind}' THEN delta ELSE 0 END) AS HUGEINT)"
+    return f"CAST(coalesce(sum(delta) FILTER (kind = '{kind}'), 0) AS HUGEINT)"
 
 
 WATERFALL = MOVES + f""",
@@ -116,11 +122,11 @@ RATE_COLUMNS = ", ".join([
 
 CHURN = f""",
 churn AS (
-  SELECT dimension, segment, count(*) AS n, sum(CASE WHEN churn_flag THEN 1 ELSE 0 END) AS x,
-         {scaled('sum(CASE WHEN churn_flag THEN 1 ELSE 0 END)', 'count(*)', 1000)} AS rate
-  FROM (SELECT 'plan_tier' AS dimension, plan_tier AS segment, churn_flag FROM accts
-        UNION ALL SELECT 'industry', industry, churn_flag FROM accts)
-  GROUP BY dimension, segment)"""
+  SELECT d.dimension, d.segment, count(*) AS n, count(*) FILTER (churn_flag) AS x,
+         {scaled('count(*) FILTER (churn_flag)', 'count(*)', 1000)} AS rate
+  FROM (SELECT churn_flag, unnest([{{'dimension': 'plan_tier', 'segment': plan_tier}},
+                                   {{'dimension': 'industry', 'segment': industry}}]) AS d FROM accts)
+  GROUP BY ALL)"""
 
 
 def tail(statistic: str, dof: str) -> str:
@@ -165,19 +171,18 @@ ztest AS (SELECT *, {tail('(z * z)', '1')} AS p FROM z_raw)"""
 
 COHORT = """,
 cohorts AS (
-  SELECT account_id, CAST(date_trunc('month', min(start_date)) AS DATE) AS cohort_month
-  FROM subs GROUP BY 1),
-sizes AS (SELECT cohort_month, count(*) AS cohort_size FROM cohorts GROUP BY 1)"""
+  SELECT DISTINCT account_id, CAST(date_trunc('month', first_value(start_date) OVER (
+           PARTITION BY account_id ORDER BY start_date)) AS DATE) AS cohort_month FROM subs),
+sizes AS (SELECT cohort_month, count(*) AS cohort_size FROM cohorts GROUP BY ALL)"""
 
 RETENTION = PANEL + COHORT + f""",
+present AS (
+  SELECT cohort_month, datediff('month', cohort_month, month_start) AS months_since_signup,
+         count(*) FILTER (cents <> 0) AS active
+  FROM panel JOIN cohorts USING (account_id) GROUP BY ALL),
 retention AS (
-  SELECT c.cohort_month, CAST((year(month_start) - year(c.cohort_month)) * 12
-           + month(month_start) - month(c.cohort_month) AS BIGINT) AS months_since_signup,
-         any_value(cohort_size) AS cohort_size, count(*) FILTER (cents > 0) AS active,
-         {scaled('count(*) FILTER (cents > 0)', 'any_value(cohort_size)', 1000)} AS pct
-  FROM cohorts c JOIN panel p ON p.account_id = c.account_id AND month_start >= c.cohort_month
-  JOIN sizes s ON s.cohort_month = c.cohort_month
-  GROUP BY 1, 2)"""
+  SELECT cohort_month, months_since_signup, cohort_size, active, {scaled('active', 'cohort_size', 1000)} AS pct
+  FROM present JOIN sizes USING (cohort_month) WHERE months_since_signup >= 0)"""
 
 SEG_MONTHLY = """,
 seg_monthly AS (
@@ -325,7 +330,9 @@ DECLARED_ACCOUNTS = """
 ORACLES: dict[str, str] = {
     "subscription_timeline": f"""WITH {SUBS}{TIMELINE}
         SELECT subscription_id, account_id, start_date, end_date, plan_tier,
-               {money('cents', 'mrr_amount')}, next_start_date, effective_end_date FROM timeline""",
+               {money('cents', 'mrr_amount')}, upgrade_flag, downgrade_flag,
+               coalesce(end_date >= start_date, false) AS churn_flag, next_start_date, effective_end_date
+        FROM timeline""",
     "calendar_months": f"WITH {SUBS}{CAL} SELECT month_start, month_end FROM cal",
     "account_month_panel": f"""WITH {PANEL} SELECT month_start, account_id,
         {money('cents', 'mrr')}, plan_tier, industry FROM panel""",
@@ -503,7 +510,21 @@ ORACLES: dict[str, str] = {
         UNION ALL SELECT 'support_tickets', count(*), 'account_id', count(*) - count(user_id), NULL
         FROM events
         UNION ALL SELECT 'support_tickets', count(*), 'submitted_at', count(*) - count(ts), NULL
-        FROM events""",
+        FROM events
+        UNION ALL SELECT 'feature_usage', count(*), 'usage_pk', 0, 0 FROM events
+        UNION ALL SELECT 'feature_usage', count(*), 'usage_id', count(*) - count(event_id), NULL
+        FROM events
+        UNION ALL SELECT 'feature_usage', count(*), 'subscription_id', count(*) - count(user_id), NULL
+        FROM events
+        UNION ALL SELECT 'feature_usage', count(*), 'usage_date', count(*) - count(ts), NULL
+        FROM events
+        UNION ALL SELECT 'churn_events', count(*), 'churn_event_id', count(*) - count(subscription_id),
+               count(subscription_id) - count(DISTINCT subscription_id)
+        FROM subs WHERE end_date IS NOT NULL
+        UNION ALL SELECT 'churn_events', count(*), 'account_id', count(*) - count(account_id), NULL
+        FROM subs WHERE end_date IS NOT NULL
+        UNION ALL SELECT 'churn_events', count(*), 'churn_date', 0, NULL
+        FROM subs WHERE end_date IS NOT NULL""",
     "coverage": f"""WITH {ACCTS}
         SELECT 'accounts' AS table_name, count(*) AS n_rows, min(signup_date) AS first_day,
                max(signup_date) AS last_day FROM accts

@@ -12,7 +12,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from revspan.functions.calendar import Calendar, last_month_covered, month_of, months_from_to
-from revspan.functions.money import NARROW
 
 
 def stack(frames: Sequence[DataFrame]) -> DataFrame:
@@ -58,7 +57,7 @@ def signup_gap(accounts: DataFrame, subscriptions: DataFrame) -> DataFrame:
     return accounts.join(first, "account_id").agg(
         F.count("*").alias("n_accounts"),
         F.count_if(gap > 0).alias("n_with_gap"),
-        F.round(F.avg(gap.cast(NARROW)), 1).alias("avg_gap_days"),
+        F.round(F.avg(gap.cast("decimal(18,2)")), 1).alias("avg_gap_days"),
         F.max(gap).alias("max_gap_days"),
     )
 

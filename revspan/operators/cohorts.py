@@ -72,15 +72,14 @@ def cohort_retention(spans: DataFrame, calendar: Calendar) -> DataFrame:
     )
 
 
-def cohort_heatmap(retention: DataFrame, horizon: int) -> DataFrame:
-    """One row per cohort, columns m0 .. m{horizon - 1}; absent cells are NULL.
-
-    ``horizon`` is the number of months since signup to show. Naming the columns up front
-    saves the pivot a job that would look for them.
-    """
+def cohort_heatmap(retention: DataFrame) -> DataFrame:
+    """One row per cohort, columns m0, m1, ... up to the last month any cohort reaches; absent
+    cells are NULL. A one-row aggregate finds the width: cohorts may start before the calendar."""
+    last = retention.agg(F.max("months_since_signup")).first()[0]
+    months = range(0 if last is None else last + 1)
     wide = (
         retention.groupBy(F.date_format("cohort_month", "yyyy-MM").alias("cohort"))
-        .pivot("months_since_signup", list(range(horizon)))
+        .pivot("months_since_signup", list(months) or [0])
         .agg(F.first("retention_pct"))
     )
-    return wide.select("cohort", *[F.col(str(i)).alias(f"m{i}") for i in range(horizon)])
+    return wide.select("cohort", *[F.col(str(i)).alias(f"m{i}") for i in months])

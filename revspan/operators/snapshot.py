@@ -152,7 +152,8 @@ def fact_sheet(facts: DataFrame, report: DataFrame,
         return F.concat(
             F.lit("p = "), shown(plain_number(test.p_value)), F.lit(" ("),
             F.when(test.significant, "statistically significant")
-            .otherwise("NOT statistically significant"), F.lit(")"),
+            .when(~test.significant, "NOT statistically significant")
+            .otherwise("not testable"), F.lit(")"),
         )
 
     chi_square, ztest = reports[tier].chi_square, reports[industry].ztest
@@ -182,7 +183,7 @@ def fact_sheet(facts: DataFrame, report: DataFrame,
         ("tier_test", [
             "Plan tier chi-square test: ", verdict(chi_square),
             F.when(chi_square.significant, "; the tiers differ")
-            .otherwise("; the tiers are essentially tied"),
+            .when(~chi_square.significant, "; the tiers are essentially tied").otherwise(""),
         ]),
         ("industry_churn", ["Churn by industry: ", listing(industry)]),
         ("industry_highest", ["Highest-churn industry: ", extreme(industry, "highest")]),

@@ -183,10 +183,13 @@ def calendar(source: Source) -> Calendar:
     return Calendar.covering(days, "day")
 
 
-def suite(spark: SparkSession, sf_dir: str) -> MetricSuite:
-    """Its calendar is read off the orders once, so that no metric scans them for it again."""
+def suite(spark: SparkSession, sf_dir: str, resolved: bool = True) -> MetricSuite:
+    """Its calendar is read off the orders once, so that no metric scans them for it again.
+
+    With ``resolved=False`` nothing is read: for results that need no calendar."""
     source = Source(spark, sf_dir)
-    return MetricSuite(MappedTables(source), calendar(source).resolve(spark))
+    months = calendar(source)
+    return MetricSuite(MappedTables(source), months.resolve(spark) if resolved else months)
 
 
 def as_declared(table: DataFrame, name: str) -> DataFrame:

@@ -23,10 +23,10 @@ def read_table_csv(
     only for tables that declare free text; deliver those as many files.
     """
     multiline = spec.has_free_text if multiline is None else multiline
-    # With this NULL marker the reader keeps "" apart from an empty field.
+    # A marker that no text holds: with it the reader keeps "" apart from an empty field.
     return (
         spark.read.schema(spec.schema)
-        .options(**_QUOTING, nullValue="\\N", multiLine=multiline, mode="FAILFAST")
+        .options(**_QUOTING, nullValue="\x01", multiLine=multiline, mode="FAILFAST")
         .csv(path)
     )
 

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from revspan import Calendar, MetricSuite
+from revspan.functions import money
 from revspan.operators.cohorts import cohort_assignment, cohort_heatmap, cohort_sizes
 from revspan.operators.panel import account_month_panel, account_movements
 from revspan.operators.timeline import subscription_timeline
@@ -132,8 +133,34 @@ def test_retention_can_rise_again_and_pivots(spark):
     suite = MetricSuite(tables, Calendar.between("2023-01-01", "2023-03-01"))
     rows = suite.retention.orderBy("months_since_signup").collect()
     assert [float(r.retention_pct) for r in rows] == [100.0, 50.0, 100.0]
-    wide = cohort_heatmap(suite.retention, 4).first()
-    assert (wide.cohort, float(wide.m1), wide.m3) == ("2023-01", 50.0, None)
+    wide = cohort_heatmap(suite.retention)
+    assert wide.columns == ["cohort", "m0", "m1", "m2"]
+    assert (wide.first().cohort, float(wide.first().m1)) == ("2023-01", 50.0)
+
+
+def test_the_heatmap_holds_cohorts_from_before_the_calendar(spark):
+    tables = make_tables(spark, [("a", "X", "Pro", False)], [("1", "a", "2022-10-05", None, 10)])
+    suite = MetricSuite(tables, Calendar.between("2023-01-01", "2023-03-01"))
+    row = cohort_heatmap(suite.retention).first()
+    assert [row[f"m{i}"] is not None for i in range(6)] == [False] * 3 + [True] * 3
+
+
+@pytest.mark.parametrize("ansi", ["true", "false"])
+def test_rates_of_totals_beyond_ten_to_the_sixteenth(spark, ansi):
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    try:
+        spark.conf.set("spark.sql.ansi.enabled", ansi)
+        row = spark.sql("SELECT CAST('-300000000000000000.05' AS DECIMAL(38,2)) AS n, CAST('700000000000000000.00' AS DECIMAL(38,2)) AS d, 3L AS k").select(
+            money.percent(F.col("n"), F.col("d"), 2).alias("pct"), money.mean_amount(F.col("d"), F.col("k")).alias("mean"),
+            money.percent(F.col("n"), F.col("d") - F.col("d"), 2).alias("none")).first()
+        assert (str(row.pct), str(row.mean), row.none) == ("-42.86", "233333333333333333.33", None)
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)
+
+
+def test_numbers_are_never_shown_with_an_exponent(spark):
+    values = spark.createDataFrame([(0.0003,), (12345678.9,), (5.0,), (17.58,), (None,)], "v double")
+    assert [r.t for r in values.select(money.plain_number(F.col("v")).alias("t")).collect()] == ["0.0003", "12345678.9", "5.0", "17.58", None]
 
 
 def random_subscriptions(rng, n_accounts, n_rows):
