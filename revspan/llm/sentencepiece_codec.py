@@ -27,7 +27,8 @@ from pyspark.sql import DataFrame, functions as F
 MARK = "▁"  # stands for a space in pieces
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
 UNIGRAM, BPE = 1, 2
-CACHE = 120_000  # chunks that a worker remembers; beyond, it starts anew
+CACHE = 120_000  # chunks that a worker remembers; beyond, it starts anew and takes over what it meets again
+RUN = 64  # new chunks that are encoded and verified as one text
 SLICE = 128  # texts whose new chunks are encoded in one batch
 ROWS = 1_000  # texts whose ids are held before they are handed on
 THREADS = "2"  # of a batch, unless RAYON_NUM_THREADS says otherwise
@@ -129,7 +130,10 @@ class Codec:
         self.is_byte = np.array([k == BYTE for k in m.kinds])
         apart = not any(MARK in p.lstrip(MARK) for p, k in zip(m.pieces, m.kinds) if k in (NORMAL, USER, UNUSED))
         self.chunks = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+") if apart else re.compile("(?s).+")
+        self.in_runs = apart and m.model_type == BPE
+        self.at_marker = np.array([p.startswith(MARK) for p in m.pieces])
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}  # what was known until the last new start
         self.not_round: set[str] = set()
         self.not_par: set[str] = set()
         self._peer = None
@@ -150,41 +154,68 @@ class Codec:
         text = normalised.replace(MARK, " ")
         return text[1:] if self.model.dummy_prefix and text.startswith(" ") else text
 
-    def _peer_ids(self, chunks: list[str]) -> list[list[int]]:
+    def _peer_ids(self, texts: list[str]) -> list[list[int]]:
         if self._peer is None:
             import sentencepiece
 
             self._peer = sentencepiece.SentencePieceProcessor(model_proto=self.raw)
         skip = int(self.model.dummy_prefix)
-        return self._peer.encode([c[skip:].replace(MARK, " ") for c in chunks], num_threads=1)
+        return self._peer.encode([t[skip:].replace(MARK, " ") for t in texts], num_threads=1)
+
+    def _come_back(self, texts: list[str], ids: list[list[int]]) -> list[bool]:
+        return [b == t.replace(MARK, " ") for t, b in zip(texts, self.tokenizer.decode_batch(ids, skip_special_tokens=False))]
+
+    def _as_peer(self, texts: list[str], ids: list[list[int]]) -> list[bool]:
+        if self.model.single_spaces or self.charsmap:
+            return [True] * len(texts)
+        return [own == theirs for own, theirs in zip(ids, self._peer_ids(texts))]
 
     def learn(self, chunks: list[str]) -> None:
-        """Encode chunks in one batch; note those that do not come back or that the peer encodes otherwise."""
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
-        self.known.update((c, np.array(i, "<i4").tobytes()) for c, i in zip(chunks, ids))
-        for c, back in zip(chunks, self.tokenizer.decode_batch(ids, skip_special_tokens=False)):
-            if back != c.replace(MARK, " "):
-                self.not_round.add(c)
+        """Encode chunks; note those that do not come back or that the peer encodes otherwise.
+
+        Merges stay within a chunk, so plain ones (a marker, then none) are encoded and verified in runs and
+        cut apart where a piece starts with the marker. Runs that differ anywhere go chunk by chunk."""
+        plain = [c for c in chunks if c[0] == MARK and len(c) > 1 and MARK not in c[1:]] if self.in_runs else []
+        alone = list(set(chunks).difference(plain))
+        runs = [plain[i: i + RUN] for i in range(0, len(plain), RUN)]
+        texts = ["".join(r) for r in runs]
+        ids = self._ids(texts)
+        for run, own, back, same in zip(runs, ids, self._come_back(texts, ids), self._as_peer(texts, ids)):
+            packed = np.array(own, "<i4")
+            cuts = np.flatnonzero(self.at_marker[packed]).tolist()
+            if back and same and len(cuts) == len(run):
+                self.known.update((c, packed[a:b].tobytes()) for c, a, b in zip(run, cuts, [*cuts[1:], len(own)]))
+            else:
+                alone += run
+        ids = self._ids(alone)
+        self.known.update((c, np.array(i, "<i4").tobytes()) for c, i in zip(alone, ids))
+        self.not_round.update(c for c, back in zip(alone, self._come_back(alone, ids)) if not back)
         # The peer puts its own marker first; a lone marker has no text it could be given.
-        same = [(c, i) for c, i in zip(chunks, ids) if c != MARK and (c[0] == MARK) == self.model.dummy_prefix]
-        if not self.model.single_spaces and not self.charsmap:
-            for (c, own), theirs in zip(same, self._peer_ids([c for c, _ in same])):
-                if own != theirs:
-                    self.not_par.add(c)
-        self.not_par -= {MARK}
+        same = [(c, i) for c, i in zip(alone, ids) if c != MARK and (c[0] == MARK) == self.model.dummy_prefix]
+        alone, ids = [c for c, _ in same], [i for _, i in same]
+        self.not_par.update(c for c, equal in zip(alone, self._as_peer(alone, ids)) if not equal)
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _recall(self, chunks: set[str]) -> None:
+        """See that chunks are known: most are; some were before the last new start; the rest is learned."""
+        missing = chunks.difference(self.known)
+        if len(self.known) + len(missing) > CACHE:
+            self.before, self.known, missing = self.known, {}, chunks
+            self.not_round &= self.before.keys()
+            self.not_par &= self.before.keys()
+        new = [c for c in missing if c not in self.before]
+        self.known.update((c, self.before[c]) for c in missing if c in self.before)
+        if new:
+            self.learn(new)
 
     def encode_texts(self, texts: list[str]) -> Iterator[tuple[np.ndarray, bool, bool]]:
         """Ids, whether they decode to the normalised text, whether the peer agrees, for each text."""
         for start in range(0, len(texts), SLICE):
-            if len(self.known) > CACHE:
-                self.known.clear()
-                self.not_round.clear()
-                self.not_par.clear()
             part = [self.chunks.findall(self.normalise(t)) for t in texts[start: start + SLICE]]
-            new = list(set().union(*part).difference(self.known)) if part else []
-            if new:
-                self.learn(new)
-            for text, chunks in zip(texts[start: start + SLICE], part):
+            self._recall(set().union(*part))
+            for chunks in part:
                 ids = np.frombuffer(b"".join(map(self.known.__getitem__, chunks)), "<i4")
                 yield ids, self.not_round.isdisjoint(chunks), self.not_par.isdisjoint(chunks)
 
