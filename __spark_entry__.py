@@ -231,9 +231,7 @@ _SUITE_QUERIES: dict[str, Callable[[MetricSuite], DataFrame]] = {
         "month_start", "ending_mrr", "prior_month_ending_mrr", "mrr_change_dollars",
         "mom_mrr_growth_pct",
     ),
-    "latest_month_facts": lambda s: snapshot.latest_facts(s.facts).drop(
-        "prior_month_ending_mrr", "n_months", "mrr_change_dollars", "mom_mrr_growth_pct"
-    ),
+    "latest_month_facts": lambda s: snapshot.latest_facts(s.facts),
     "period_mean_rates": lambda s: snapshot.period_mean_rates(s.monthly),
     "metrics_snapshot": lambda s: _flat_snapshot(s.snapshots),
     "snapshot_json_roundtrip": _snapshot_json,
@@ -246,9 +244,7 @@ _SUITE_QUERIES: dict[str, Callable[[MetricSuite], DataFrame]] = {
     "segment_in_range": lambda s: explore.segment_in_range(
         s.by_attribute, "industry", "BUILDING", "1997-03-01", "1998-06-01"
     ).drop("avg_mrr_per_account"),
-    "measurable_rates": lambda s: waterfall.measurable_months(s.rates).drop(
-        "starting_mrr", "expansion_mrr", "contraction_mrr", "churned_mrr"
-    ),
+    "measurable_rates": lambda s: waterfall.measurable_months(s.rates),
     "range_kpis_all": lambda s: _round_growth(
         explore.range_kpis(_requests(s), s.monthly, s.calendar)
     ).drop("dimension", "segment"),

@@ -379,7 +379,9 @@ ORACLES: dict[str, str] = {
         {money('prior_ending', 'prior_month_ending_mrr')}, {money('change', 'mrr_change_dollars')},
         {shown('growth', 100)} AS mom_mrr_growth_pct FROM mom""",
     "latest_month_facts": f"""WITH {FACTS} SELECT month_start, {WATERFALL_COLUMNS}, {RATE_COLUMNS},
-        {MEAN_COLUMNS} FROM mom ORDER BY month_start DESC LIMIT 1""",
+        {MEAN_COLUMNS}, {money('prior_ending', 'prior_month_ending_mrr')}, n_months,
+        {money('change', 'mrr_change_dollars')}, {shown('growth', 100)} AS mom_mrr_growth_pct
+        FROM mom ORDER BY month_start DESC LIMIT 1""",
     "period_mean_rates": f"""WITH {WATERFALL}, m AS (SELECT {_mean('gross')} AS avg_gross,
         {_mean('net')} AS avg_net, {_mean('nrr')} AS avg_nrr FROM rates)
         SELECT {MEAN_COLUMNS} FROM m""",
@@ -398,8 +400,9 @@ ORACLES: dict[str, str] = {
         active AS active_accounts, {money('total', 'total_mrr')} FROM seg_monthly
         WHERE dimension = 'industry' AND segment = 'BUILDING'
           AND month_start BETWEEN DATE '1997-03-01' AND DATE '1998-06-01'""",
-    "measurable_rates": f"""WITH {WATERFALL} SELECT month_start, {RATE_COLUMNS} FROM rates
-        WHERE gross IS NOT NULL""",
+    "measurable_rates": f"""WITH {WATERFALL} SELECT month_start, {money('starting', 'starting_mrr')},
+        {money('exp', 'expansion_mrr')}, {money('contr', 'contraction_mrr')},
+        {money('churned', 'churned_mrr')}, {RATE_COLUMNS} FROM rates WHERE gross IS NOT NULL""",
     "range_kpis_all": f"""WITH {WATERFALL}{CHURN}{REQUESTS}, k AS (
           SELECT request_id, start_month, end_month, max_by(ending, month_start) AS e,
                  min_by(starting, month_start) AS s, {_mean('gross')} AS g, {_mean('net')} AS n
