@@ -30,6 +30,7 @@ from revspan.llm.components import components
 
 MAX_MATCHES = 8  # the largest l that a class may choose; any choice is exact
 VERIFY_COST = 0.05  # verifying one shingle of a candidate, in postings read
+SLICES = np.uint64(8)  # a hash range is counted in so many slices, one after another
 
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)  # odd, fixed
 
@@ -66,7 +67,7 @@ def class_key(tokens: np.ndarray) -> bytes | None:
 
 def _sets(texts: list[str | None], width: int, known: dict[bytes, int]) -> Iterator[tuple[bytes | None, np.ndarray]]:
     """Key and hashes of each text's shingle set."""
-    if len(known) > 1_000_000:
+    if len(known) > 200_000:
         known.clear()  # a cache only
     for text in texts:
         tokens = shingle_hashes(text, width, known)
@@ -103,9 +104,14 @@ def _pack(part: int, keys: np.ndarray, held: np.ndarray, tokens: np.ndarray, cou
                                       names=["part", "keys", "held", "tokens", "counts"])
 
 
+def _blobs(group: pa.Table, name: str, kind: str | type) -> list[np.ndarray]:
+    """A packed column row by row, without copying."""
+    return [np.frombuffer(value.as_buffer(), kind) for value in group.column(name)]
+
+
 def _unpacked(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Keys, owners (places in keys) of the shingles, shingles, counts of all rows of one part."""
-    join = lambda c, kind: np.frombuffer(b"".join(group.column(c).to_pylist()), kind)
+    join = lambda c, kind: np.concatenate([np.empty(0, kind), *_blobs(group, c, kind)])
     held = join("held", np.uint32)
     owner = np.repeat(np.arange(len(held), dtype=np.int32), held)
     return join("keys", "V16"), owner, join("tokens", np.uint64), join("counts", np.uint16)
@@ -134,32 +140,50 @@ def _dealt(width: int, ranges: int):
     return deal
 
 
+def _held_by_many(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the shingles occur twice or more, and how often each occurs (65,535 stands for more)."""
+    order = np.argsort(tokens, kind="stable")
+    ranked = tokens[order]
+    starts = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+    counts = np.diff(np.append(starts, len(ranked)))
+    n_classes = np.empty(len(tokens), np.uint16)
+    n_classes[order] = np.repeat(np.minimum(counts, 65535), counts)  # the same wherever the shingle is
+    return n_classes > 1, n_classes
+
+
 def _shared(parts: int):
-    """Of one hash range, the shingles that two classes or more hold, with counts, dealt out by class."""
+    """Of one hash range, the shingles that two classes or more hold, with counts, dealt out by class.
+
+    The range is gone through slice by slice, so that a task holds it once and works on an eighth of it."""
 
     def shared(group: pa.Table) -> pa.Table:
-        keys, owner, tokens, _ = _unpacked(group)
-        names, first = np.unique(keys.view("u8").reshape(-1, 2), axis=0, return_index=True)
+        keys = np.concatenate(_blobs(group, "keys", "V16"))
+        first = np.unique(keys.view("u8").reshape(-1, 2), axis=0, return_index=True)[1]
         once = np.zeros(len(keys), bool)
         once[first] = True  # copies of a class count once
-        mine = once[owner]
-        owner, tokens = owner[mine], tokens[mine]
-        order = np.argsort(tokens, kind="stable")
-        ranked = tokens[order]
-        starts = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
-        counts = np.diff(np.append(starts, len(ranked)))
-        n_classes = np.empty(len(tokens), np.uint16)
-        n_classes[order] = np.repeat(np.minimum(counts, 65535), counts)  # the same wherever the shingle is
-        common = n_classes > 1
-        owner, tokens, n_classes = owner[common], tokens[common], n_classes[common]
+        rows = list(zip(_blobs(group, "tokens", np.uint64), _blobs(group, "held", np.uint32)))
+        ends = np.cumsum([len(held) for _, held in rows])
+        found = []
+        for number in range(SLICES):
+            picked, owners = [], []
+            for (tokens, held), end in zip(rows, ends):
+                owner = np.repeat(np.arange(end - len(held), end, dtype=np.int32), held)
+                at = np.flatnonzero((tokens % SLICES == number) & once[owner])
+                picked.append(tokens[at])
+                owners.append(owner[at])
+            tokens, owner = np.concatenate(picked), np.concatenate(owners)
+            if len(tokens):
+                common, n_classes = _held_by_many(tokens)
+                found.append((owner[common], tokens[common], n_classes[common]))
+        owner, tokens, n_classes = (np.concatenate(c) for c in zip(*found))
         part = (keys.view("u8").reshape(-1, 2)[:, 0] % np.uint64(parts)).astype(np.int64)
-        rows = [_pack(0, keys[:0], np.empty(0), tokens[:0], n_classes[:0]).slice(0, 0)]
-        order = np.argsort(part[owner], kind="stable")
+        packed = [_pack(0, keys[:0], np.empty(0), tokens[:0], n_classes[:0]).slice(0, 0)]
+        order = np.lexsort((owner, part[owner]))
         for at in np.split(order, np.flatnonzero(np.diff(part[owner][order])) + 1):
             if len(at):
                 who, held = np.unique(owner[at], return_counts=True)  # at keeps the owners in order
-                rows.append(_pack(int(part[owner[at[0]]]), keys[who], held, tokens[at], n_classes[at]))
-        return pa.Table.from_batches(rows)
+                packed.append(_pack(int(part[owner[at[0]]]), keys[who], held, tokens[at], n_classes[at]))
+        return pa.Table.from_batches(packed)
 
     return shared
 
