@@ -242,8 +242,8 @@ _SUITE_QUERIES: dict[str, Callable[[MetricSuite], DataFrame]] = {
     "explorer_requests": _requests,
     "waterfall_in_range": lambda s: explore.in_range(s.waterfall, "1997-03-01", "1998-06-01"),
     "segment_in_range": lambda s: explore.segment_in_range(
-        s.by_attribute, "industry", "BUILDING", "1997-03-01", "1998-06-01"
-    ).drop("avg_mrr_per_account"),
+        s.of_segment("BUILDING").by_attribute, "industry", "BUILDING", "1997-03-01", "1998-06-01"
+    ),
     "measurable_rates": lambda s: waterfall.measurable_months(s.rates),
     "range_kpis_all": lambda s: _round_growth(
         explore.range_kpis(_requests(s), s.monthly, s.calendar)

@@ -396,10 +396,12 @@ ORACLES: dict[str, str] = {
     "explorer_requests": f"WITH {ACCTS}{CAL}{CHURN}{REQUESTS} SELECT * FROM requests",
     "waterfall_in_range": f"""WITH {WATERFALL} SELECT month_start, {WATERFALL_COLUMNS} FROM wf
         WHERE month_start BETWEEN DATE '1997-03-01' AND DATE '1998-06-01'""",
-    "segment_in_range": f"""WITH {PANEL}{SEG_MONTHLY} SELECT month_start, segment AS industry,
-        active AS active_accounts, {money('total', 'total_mrr')} FROM seg_monthly
-        WHERE dimension = 'industry' AND segment = 'BUILDING'
-          AND month_start BETWEEN DATE '1997-03-01' AND DATE '1998-06-01'""",
+    "segment_in_range": f"""WITH {PANEL} SELECT month_start, industry,
+        count(*) FILTER (cents > 0) AS active_accounts, {money('sum(cents)', 'total_mrr')},
+        {shown(scaled('CAST(sum(cents) FILTER (cents > 0) AS HUGEINT)',
+                      'count(*) FILTER (cents > 0)', 1), 100)} AS avg_mrr_per_account
+        FROM panel WHERE industry = 'BUILDING'
+          AND month_start BETWEEN DATE '1997-03-01' AND DATE '1998-06-01' GROUP BY 1, 2""",
     "measurable_rates": f"""WITH {WATERFALL} SELECT month_start, {money('starting', 'starting_mrr')},
         {money('exp', 'expansion_mrr')}, {money('contr', 'contraction_mrr')},
         {money('churned', 'churned_mrr')}, {RATE_COLUMNS} FROM rates WHERE gross IS NOT NULL""",

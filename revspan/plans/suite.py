@@ -6,7 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, fields, replace
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from revspan.functions.calendar import Calendar
 from revspan.operators import cohorts, panel, segments, snapshot, waterfall
@@ -61,6 +61,15 @@ class MetricSuite:
             stored_spans=stored(replace(self, calendar=pinned).spans, "spans"),
         )
 
+    def of_segment(self, value: str) -> MetricSuite:
+        """The suite of the accounts whose attribute has this value: other accounts and their
+        subscriptions are left out before anything is ordered."""
+        accounts = self.tables.accounts.where(F.col(self.attribute) == value)
+        subscriptions = self.tables.subscriptions.join(
+            accounts.select("account_id"), "account_id", "left_semi"
+        )
+        return replace(self, tables=Tables(accounts, subscriptions), stored_spans=None)
+
     @cached_property
     def waterfall(self) -> DataFrame:
         return waterfall.mrr_waterfall(self.spans, self.calendar)
