@@ -139,6 +139,30 @@ def _metric_csv(s: MetricSuite) -> DataFrame:
     return io.read_metric_csv(s.spark, path, s.waterfall.schema)
 
 
+#: Of each exported metric, the column that is summed when it has been read back.
+_EXPORTED = {
+    "mrr_waterfall": "ending_mrr", "gross_net_churn_and_nrr": "nrr_pct",
+    "cohort_retention": "retention_pct", "segment_plan_tier_churn": "churn_rate_pct",
+    "segment_monthly_mrr": "avg_mrr_per_account", "segment_industry_churn": "churn_rate_pct",
+    "segment_monthly_industry_mrr": "avg_mrr_per_account",
+}
+
+
+def _metric_exports(s: MetricSuite) -> DataFrame:
+    """All exported metrics, scanned back: rows, measured rows and the measure's total of each."""
+    path = scratch_path(s.spark, "metrics")
+    s.export_csv(path)
+    return audits.stack([
+        io.read_metric_csv(s.spark, f"{path}/{name}", s.run(name).schema).select(
+            F.lit(name).alias("metric"), F.col(measure).cast("decimal(38,2)").alias("measure")
+        ).groupBy("metric").agg(
+            F.count("*").alias("n_rows"), F.count("measure").alias("n_measured"),
+            F.sum("measure").alias("total"),
+        )
+        for name, measure in _EXPORTED.items()
+    ])
+
+
 def _csv_roundtrip(name: str, mapped: Callable[[testbed.Source], DataFrame]) -> Query:
     """A mapped table delivered as CSV and scanned back against its declared schema."""
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -287,6 +311,7 @@ _SUITE_QUERIES: dict[str, Callable[[MetricSuite], DataFrame]] = {
     )),
     # Sinks and scans
     "metric_csv_roundtrip": _metric_csv,
+    "metric_exports": _metric_exports,
 }
 
 

@@ -603,3 +603,16 @@ ORACLES: dict[str, str] = {
 }
 ORACLES["mrr_waterfall_from_movements"] = ORACLES["mrr_waterfall"]
 ORACLES["metric_csv_roundtrip"] = ORACLES["mrr_waterfall"]
+ORACLES["metric_exports"] = " UNION ALL ".join(
+    f"""SELECT '{metric}' AS metric, count(*) AS n_rows, count({measure}) AS n_measured,
+        CAST(sum(CAST({measure} AS DECIMAL(38,2))) AS DOUBLE) AS total FROM ({ORACLES[query]})"""
+    for metric, query, measure in (
+        ("mrr_waterfall", "mrr_waterfall", "ending_mrr"),
+        ("gross_net_churn_and_nrr", "gross_net_churn_nrr", "nrr_pct"),
+        ("cohort_retention", "cohort_retention", "retention_pct"),
+        ("segment_plan_tier_churn", "logo_churn_by_tier", "churn_rate_pct"),
+        ("segment_monthly_mrr", "monthly_mrr_by_tier", "avg_mrr_per_account"),
+        ("segment_industry_churn", "logo_churn_by_industry", "churn_rate_pct"),
+        ("segment_monthly_industry_mrr", "monthly_mrr_by_industry", "avg_mrr_per_account"),
+    )
+)
