@@ -2,12 +2,16 @@
 
 Each hashed n-gram has the log ratio of its smoothed frequencies in toxic and clean texts. A text is the
 vector of the ratios of the n-grams it has, and a logistic regression on such vectors gives the
-score. Ratios and regression are fitted on a repeatable sample of at most SAMPLE labelled texts; every
-whole text is scored.
+score. Ratios and regression are fitted on a repeatable sample of at most SAMPLE labelled texts.
+
+Every whole text is scored, in passages of PASSAGE characters that overlap by half; its score is that
+of its most toxic passage. So the score does not grow with the length, and one toxic passage
+is found in a text of any length.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,22 +20,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from revspan.llm.char_ngrams import present
+from revspan.llm.char_ngrams import CHUNK, ngram_buckets, present
 from revspan.llm.common import checkpointed, held_out, learnable, spread
 
 ORDERS = (3, 4, 5, 6)
-BITS = 18
+BITS = 22
 SAMPLE = 6_000  # labelled texts that are learned from, at most
 FEATURES = 5_000  # n-grams kept, those that differ most surely between the classes
 PER_TEXT = 8  # n-grams kept for each text that is learned from, at most
+PASSAGE = 4_000  # characters that are scored together
 LIMIT = 0.7  # scores from here on are predicted toxic
 _PARTS = 8
 
 
 @dataclass(frozen=True)
 class ToxicityModel:
-    """weights holds for each n-gram bucket the regression weight times the log-count ratio."""
+    """weights holds for each of the buckets kept the regression weight times the log-count ratio."""
 
+    buckets: np.ndarray
     weights: np.ndarray
     bias: float
 
@@ -44,15 +50,20 @@ def _class_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             counts[label][present(text, ORDERS, BITS, stamp)] += 1
             texts[label] += 1
     if texts.any():
-        yield pa.RecordBatch.from_arrays([pa.array([counts.tobytes()], pa.binary()), pa.array([texts.tobytes()], pa.binary())],
+        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(counts.tobytes(), 1)], pa.binary()), pa.array([texts.tobytes()], pa.binary())],
                                          names=["counts", "texts"])
 
 
-def _chosen_features(chosen: np.ndarray):
+def _numbers(chosen: np.ndarray) -> np.ndarray:
+    """For each bucket its place among the chosen, or -1."""
     number = np.full(1 << BITS, -1, np.int32)
     number[chosen] = np.arange(len(chosen))
+    return number
 
+
+def _chosen_features(chosen: np.ndarray):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = _numbers(chosen)
         stamp = np.empty(1 << BITS, np.int32)
         for batch in batches:
             out = []
@@ -99,29 +110,45 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> To
     learned = checkpointed(docs.select("doc_id", F.col("text")).join(F.broadcast(chosen), "doc_id").select(
         F.coalesce("text", F.lit("")).alias("text"), F.col("label").cast("int")).repartition(_PARTS))
     parts = learned.mapInArrow(_class_counts, "counts binary, texts binary").collect()  # _PARTS rows
-    counts = sum((np.frombuffer(p.counts, np.int32).reshape(2, -1).astype(np.float64) for p in parts), np.zeros((2, 1 << BITS)))
-    clean, toxic = sum((np.frombuffer(p.texts, np.int64) for p in parts), np.zeros(2))
+    counts, (clean, toxic) = np.zeros((2, 1 << BITS), np.int32), sum((np.frombuffer(p.texts, np.int64) for p in parts), np.zeros(2))
+    for p in parts:
+        counts += np.frombuffer(zlib.decompress(p.counts), np.int32).reshape(2, -1)
     if not clean or not toxic:
-        return ToxicityModel(np.zeros(1 << BITS, np.float32), 20.0 if toxic else -20.0)
+        return ToxicityModel(np.empty(0, np.int64), np.empty(0), 20.0 if toxic else -20.0)
+    often = np.flatnonzero(counts.sum(axis=0) >= 3)
+    counts = counts[:, often].astype(np.float64)
     share = (counts + 0.5) / (np.array([[clean], [toxic]]) + 1.0)
     ratio = np.log(share[1] / share[0])
     pooled = (counts.sum(axis=0) + 1) / (clean + toxic + 2)
     surety = np.abs(share[1] - share[0]) / np.sqrt(pooled * (1 - pooled) * (1 / clean + 1 / toxic))
-    surety[counts.sum(axis=0) < 3] = 0
-    picked = np.sort(np.argsort(-surety, kind="stable")[:min(FEATURES, PER_TEXT * int(clean + toxic))])
+    best = np.sort(np.argsort(-surety, kind="stable")[:min(FEATURES, PER_TEXT * int(clean + toxic))])
+    picked, ratio = often[best], ratio[best]
     rows = learned.mapInArrow(_chosen_features(picked), "label int, found binary").collect()  # bounded by sample
     found = [np.frombuffer(r.found, np.int32) for r in rows]
-    w, bias = _regress(found, np.array([r.label for r in rows], float), ratio[picked])
-    weights = np.zeros(1 << BITS, np.float32)
-    weights[picked] = w * ratio[picked]
-    return ToxicityModel(weights, bias)
+    w, bias = _regress(found, np.array([r.label for r in rows], float), ratio)
+    return ToxicityModel(picked, w * ratio, bias)
+
+
+def passage_sums(text: str | None, number: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """For each passage of a text the weights of the distinct kept n-grams that begin in it."""
+    half, kept, last, found = PASSAGE // 2, max(len(weights), 1), 0, [np.empty((2, 0), np.int64)]
+    for i, buckets in enumerate(ngram_buckets(text, ORDERS, BITS)):
+        start, places = CHUNK * (i // len(ORDERS)), number[buckets]
+        at = np.flatnonzero(places >= 0)
+        last = max(last, (start + len(buckets) - 1) // half)
+        found.append(np.stack([(start + at) // half, places[at]]))
+    halves, places = np.concatenate(found, axis=1)
+    passages = max(last, 1)  # passage k is halves k and k + 1
+    pairs = np.concatenate([np.minimum(halves, passages - 1), np.maximum(halves - 1, 0)]) * kept + np.tile(places, 2)
+    pairs = np.unique(pairs)
+    return np.bincount(pairs // kept, weights[pairs % kept], passages)
 
 
 def _scored(model: ToxicityModel):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stamp = np.empty(1 << BITS, np.int32)
+        number = _numbers(model.buckets)
         for batch in batches:
-            z = np.array([model.weights[present(t, ORDERS, BITS, stamp)].sum(dtype=np.float64)
+            z = np.array([passage_sums(t, number, model.weights).max()
                           for t in batch.column("text").to_pylist()], np.float64) + model.bias
             scores = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], names=[*batch.schema.names, "__score"])

@@ -139,6 +139,42 @@ def test_scores_follow_the_text_alone(spark):
     assert toxicity.without_toxic(docs, labels).columns == docs.columns
 
 
+def test_very_long_texts_are_scored_by_what_they_say(spark):
+    rng = random.Random(11)
+
+    def prose(n):
+        return " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(n))
+
+    rows = [(i, prose(80) + (" you utter scumbag " + prose(40) if i % 4 == 0 else "")) for i in range(400)]
+    long = {1000 + k: prose(n) for k, n in enumerate((20_000, 60_000, 200_000))}  # up to 1.3 million characters
+    rows += list(long.items())
+    rows += [(i + 100, f"{t[:half]} you utter scumbag {t[half:]}") for i, t in long.items() for half in [len(t) // 2]]
+    rows += [(i + 200, " ".join(f"{t[k: k + 900]} you utter scumbag" for k in range(0, len(t), 900))) for i, t in long.items()]
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(400)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.predicted for r in toxicity.toxicity(make_docs(spark, rows), labels).where("doc_id >= 1000").collect()}
+    assert got == {i + kind: int(kind > 0) for i in long for kind in (0, 100, 200)}
+
+
+def test_passages_cover_the_whole_text(monkeypatch):
+    monkeypatch.setattr(toxicity, "PASSAGE", 40)
+    rng = random.Random(12)
+    stamp = np.empty(1 << toxicity.BITS, np.int32)
+    for size in (0, 2, 5, 39, 40, 41, 60, 61, 79, 333, 2000):
+        text = "".join(rng.choices("ab c", k=size))
+        buckets = np.unique(toxicity.present(text, toxicity.ORDERS, toxicity.BITS, stamp))[::2]
+        weights = np.array([rng.random() - 0.4 for _ in buckets])
+        number = toxicity._numbers(buckets)
+        passages = max((max(size - 2, 1) - 1) // 20, 1)
+        expected = []
+        for k in range(passages):
+            held = set()
+            for n in toxicity.ORDERS:
+                for i in range(20 * k, min(20 * k + 40, size - n + 1)):
+                    held |= {int(b) for b in toxicity.present(text[i: i + n], (n,), toxicity.BITS, stamp)}
+            expected.append(sum(weights[number[b]] for b in held if number[b] >= 0))
+        assert np.allclose(toxicity.passage_sums(text, number, weights), expected)
+
+
 def test_languages_without_letters_or_training(spark):
     got = {r.doc_id: r for r in langid.language_id(make_docs(spark, [(1, "12 !"), (2, None), (3, "abc")])).collect()}
     assert [(got[i].lang_pred, got[i].score) for i in (1, 2, 3)] == [("und", 0.0)] * 3
