@@ -2,15 +2,14 @@
 
 A unit vector o is rotated by a fixed random orthogonal matrix P and stored as the signs of P o, with
 the factor f = <o', o>, where o' is the code as a unit vector. For another unit vector q, <o', q> / f is
-an unbiased estimate of <o, q>; its error stays within EPSILON * sqrt((1 - f^2) / f^2 / (d - 1)) but
-for a vanishing share of pairs. Pairs whose upper bound is below the threshold are done with; the
-others are computed again in double precision, and only that decides a link.
-
-Pairs are looked for in buckets: groups of code bits (from further rotations when d bits do not
-suffice), more bits the more vectors the largest label has, and as many tables as keep the chance that a pair
-at the threshold shares no bucket under MISS. Buckets of any size are compared whole, in square
-tiles of bounded size. A pair counts in the first table where it meets, so links are counted where
-they are found and no pair leaves its task.
+an unbiased estimate of <o, q>. The angle of o and q is at least the difference of their angles to o',
+so f <o', q> + sqrt((1 - f^2)(1 - <o', q>^2)) bounds <o, q> from above, for every pair. Pairs whose
+bound is below the threshold are done with; the others are computed again in double precision, and
+only that decides a link.
+
+All pairs of a label meet: a label of up to BUCKET vectors in one task, a larger one in square tiles
+of two blocks of about TILE vectors. A pair meets in one tile only, so links are counted where they
+are found and no pair leaves its task.
 """
 
 from __future__ import annotations
@@ -27,10 +26,8 @@ from pyspark.sql.types import StructType
 from revspan.llm.common import checkpointed
 from revspan.llm.components import components
 
-EPSILON = 6.0  # the bound's half-width in standard deviations
-MISS = 0.002  # chance that a pair at the threshold shares no bucket
-BUCKET = 48  # vectors that a bucket is meant to hold
-TILE = 256  # vectors of one bucket that meet another such block in one task
+BUCKET = 1_024  # vectors of a label that are compared in one task
+TILE = 512  # vectors of a larger label that meet another such block in one task
 
 
 def rotation(d: int, seed: int) -> np.ndarray:
@@ -39,24 +36,6 @@ def rotation(d: int, seed: int) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
-def bucket_plan(n: int, threshold: float) -> tuple[int, int]:
-    """Bits per bucket key and number of tables when the largest label has n vectors."""
-    bits = max(0, math.ceil(math.log2(max(n, 1) / BUCKET)))
-    same = (1 - math.acos(threshold) / math.pi) ** bits
-    return bits, 1 if bits == 0 else math.ceil(math.log(MISS) / math.log1p(-same))
-
-
-def bucket_keys(units: np.ndarray, bits: int, tables: int) -> np.ndarray:
-    """For each unit vector and table, the bucket's key: bits of the rotated code."""
-    d = units.shape[1]
-    if not bits:
-        return np.zeros((len(units), tables), np.int64)
-    rounds = -(-bits * tables // d)
-    signs = np.concatenate([units @ rotation(d, seed).T >= 0 for seed in range(rounds)], axis=1)
-    weights = 1 << np.arange(min(bits, 62), dtype=np.int64)
-    return np.stack([signs[:, t * bits: t * bits + len(weights)] @ weights for t in range(tables)], axis=1)
-
-
 def binary_codes(units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Signs of the rotated vectors (+1, -1) and their correction factors."""
     turned = units @ rotation(units.shape[1], 0).T
@@ -65,14 +44,14 @@ def binary_codes(units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def may_link(code: np.ndarray, factor: np.ndarray, units: np.ndarray, threshold: float) -> np.ndarray:
-    """Pairs (coded row, rotated query row) whose estimate's upper bound reaches the threshold."""
+    """Pairs (coded row, rotated query row) whose cosine's upper bound reaches the threshold."""
     d = units.shape[1]
-    estimate = (code @ units.T) / math.sqrt(d) / factor[:, None]
-    error = EPSILON * np.sqrt(np.maximum(0, 1 - factor**2) / factor**2 / max(d - 1, 1))
-    return estimate + error[:, None] >= threshold - 1e-9
+    near = (code @ units.T) / math.sqrt(d)
+    off = np.sqrt(np.maximum(0, 1 - factor**2))[:, None] * np.sqrt(np.maximum(0, 1 - near**2))
+    return factor[:, None] * near + off >= threshold - 1e-9
 
 
-def _unit_rows(vectors: list) -> tuple[np.ndarray, list[int]]:
+def _unit_rows(vectors: list) -> tuple[list[np.ndarray], list[int]]:
     """Unit vectors in double precision and the places they come from; unusable ones are left out."""
     places, rows = [], []
     for i, v in enumerate(vectors):
@@ -86,35 +65,23 @@ def _unit_rows(vectors: list) -> tuple[np.ndarray, list[int]]:
     return rows, places
 
 
-def _keyed(bits: int, tables: int):
-    """Rows (label, table, key, id, all keys, vector) of usable vectors, one per table."""
-
-    def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows, places = _unit_rows(list(batch.embedding))
-            batch = batch.iloc[places].reset_index(drop=True)
-            for (label, d), at in batch.groupby(["label", batch.embedding.map(len)]).indices.items():
-                units = np.stack([rows[i] for i in at])
-                keys = bucket_keys(units, bits, tables)
-                packed = [k.tobytes() for k in keys]
-                blobs = [u.tobytes() for u in units]
-                for t in range(tables):
-                    yield pd.DataFrame({
-                        "label": label, "dim": int(d), "tab": t, "key": keys[:, t], "id": batch.id.to_numpy()[at],
-                        "keys": packed, "unit": blobs,
-                    })
-
-    return keyed
+def _usable(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows (label, dim, id, unit vector) of usable vectors."""
+    for batch in batches:
+        rows, places = _unit_rows(list(batch.embedding))
+        batch = batch.iloc[places]
+        yield pd.DataFrame({
+            "label": batch.label, "dim": pd.Series([len(u) for u in rows], batch.index, "int32"), "id": batch.id,
+            "unit": pd.Series([u.tobytes() for u in rows], batch.index, object)})
 
 
 def _compare(threshold: float):
-    """One tile of a bucket: direct links per vector and the links that span its components."""
+    """One tile of a label: direct links per vector and the links that span its components."""
 
     def compare(tile: pd.DataFrame) -> pd.DataFrame:
         tile = tile.sort_values("id")
-        table, diagonal = int(tile.tab.iloc[0]), tile.lo.iloc[0] == tile.hi.iloc[0]
+        diagonal = tile.lo.iloc[0] == tile.hi.iloc[0]
         units = np.stack([np.frombuffer(u) for u in tile.unit])
-        keys = np.stack([np.frombuffer(k, np.int64) for k in tile["keys"]])
         ids, block = tile.id.to_numpy(), tile.block.to_numpy()
         rows = np.arange(len(ids)) if diagonal else np.flatnonzero(block == tile.lo.iloc[0])
         cols = rows if diagonal else np.flatnonzero(block == tile.hi.iloc[0])
@@ -124,13 +91,11 @@ def _compare(threshold: float):
             maybe &= np.tri(len(rows), k=-1, dtype=bool)
         a, b = np.nonzero(maybe)
         a, b = rows[a], cols[b]
-        exact = np.einsum("ij,ij->i", units[a], units[b]) >= threshold
+        step = max(1, (1 << 22) // units.shape[1])  # bounds what is in memory at once
+        exact = np.concatenate([np.empty(0, bool), *[
+            np.einsum("ij,ij->i", units[a[i: i + step]], units[b[i: i + step]]) >= threshold for i in range(0, len(a), step)]])
         a, b = a[exact], b[exact]
-        if table:
-            new = ~(keys[a, :table] == keys[b, :table]).any(axis=1)
-        else:
-            new = np.ones(len(a), bool)
-        links = np.bincount(a[new], minlength=len(ids)) + np.bincount(b[new], minlength=len(ids))
+        links = np.bincount(a, minlength=len(ids)) + np.bincount(b, minlength=len(ids))
         root = np.arange(len(ids))  # smallest member first: ids are sorted
 
         def find(i: int) -> int:
@@ -152,16 +117,15 @@ def _compare(threshold: float):
 
 def embedding_links(vectors: DataFrame, threshold: float) -> DataFrame:
     """(id, links, least) pieces from all tiles of vectors (id, label, embedding); checkpointed."""
-    largest = vectors.groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
-    keyed = vectors.mapInPandas(
-        _keyed(*bucket_plan(largest or 0, threshold)),
-        StructType().add("label", vectors.schema["label"].dataType).add("dim", "integer").add("tab", "integer")
-        .add("key", "long").add("id", vectors.schema["id"].dataType).add("keys", "binary").add("unit", "binary"))
-    cell = ["label", "dim", "tab", "key"]
-    counts = keyed.groupBy(*cell).agg(F.count("*").alias("size"))
-    blocks = F.greatest(F.ceil(F.col("size") / TILE), F.lit(1)).cast("int")
-    dealt = keyed.join(counts, cell).withColumn("blocks", blocks).where("size > 1").withColumn(
-        "block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    units = vectors.mapInPandas(
+        _usable,
+        StructType().add("label", vectors.schema["label"].dataType).add("dim", "integer")
+        .add("id", vectors.schema["id"].dataType).add("unit", "binary"))
+    cell = ["label", "dim"]
+    counts = units.groupBy(*cell).agg(F.count("*").alias("size"))
+    blocks = F.when(F.col("size") <= BUCKET, 1).otherwise(F.ceil(F.col("size") / TILE)).cast("int")
+    dealt = units.join(counts, cell).withColumn("blocks", blocks).where("size > 1").withColumn(
+        "block", F.pmod(F.xxhash64("id", "unit"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     tiled = dealt.withColumn("other", other).withColumn("lo", F.least("block", "other")).withColumn(
         "hi", F.greatest("block", "other"))

@@ -336,6 +336,22 @@ def test_embeddings_against_brute_force(spark, monkeypatch):
     assert embedding_dedup.embedding_near_duplicates(frame.limit(0)).count() == 0
 
 
+def test_no_link_at_the_threshold_is_lost(spark):
+    rng = np.random.default_rng(14)
+    a = rng.standard_normal((1500, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    side = rng.standard_normal(a.shape)
+    side -= (side * a).sum(axis=1, keepdims=True) * a
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    b = 0.9805 * a + np.sqrt(1 - 0.9805**2) * side
+    rows = [(2 * i + k, v[i].tolist(), 0 if i < 1400 else i) for i in range(1500) for k, v in enumerate((a, b))]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = embedding_dedup.embedding_near_duplicates(frame).collect()
+    assert len(got) == 3000 and all(r.n_links == 1 and r.component_id == r.vec_id // 2 * 2 for r in got)
+    turned = b @ embedding_dedup.rotation(64, 0).T
+    assert embedding_dedup.may_link(*embedding_dedup.binary_codes(a), turned, 0.98).sum() < 1600  # the bound still rules out
+
+
 def test_estimates_are_unbiased_and_bounded():
     rng = np.random.default_rng(6)
     x = rng.standard_normal((400, 64))
