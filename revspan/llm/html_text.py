@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 
 #: Fixed values of HTML.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style noscript template textarea title iframe svg math object select".split())
+_RAW = frozenset("script style textarea title iframe".split())
 _BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead "
@@ -30,21 +30,32 @@ _HEAD = frozenset("base link meta title style script noscript template head".spl
 #: An open element (key) ends when one of these starts, unless a scope that holds it began since.
 _ENDS_BEFORE = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"),
                 "th": ("td", "th"), "option": ("option",)}
-_SCOPE = frozenset("ul ol dl table td th div article section main aside nav header footer form blockquote body html".split())
+_SCOPE = frozenset("ul ol dl table td th div article section main aside nav header footer form blockquote body html "
+                   "foreignobject".split())
+_FOREIGN = ("svg", "math", "select")  # a block that starts in one of these ends it
 
-#: Element kinds and role words that are never article text.
-_NOT_TEXT = frozenset("nav footer aside form button input menu dialog head".split()) | _RAW
+#: Element kinds that are never article text.
+_NOT_TEXT = frozenset("nav footer aside form button input menu dialog head noscript template svg select".split()) | _RAW
+#: Role words: outside article and main as a part of a class or role; an id must consist of such and layout words.
 _ROLES = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertis\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|"
     r"newsletter|subscri\w*|paywall|sidebar|side|menu|nav|navbar|navigation|breadcrumbs?|footer|masthead|toolbar|comments?|disqus|"
     r"replies|share|sharing|social|related|recommend\w*|widget|pagination|pager|skip|search|complementary|contentinfo|navigation)"
     r"(?=$|[\s_-])", re.I)
+_LAYOUT = frozenset("site page top bottom left right primary secondary global main wrapper container box bar block area list links".split())
+#: Inside article and main: classes that as a whole token, and roles, that cannot be the article's own words.
+_SURE = frozenset(
+    "ad ads advert adverts advertisement advertising sponsored promo cookie-notice cookie-banner cookie-consent gdpr newsletter "
+    "newsletter-signup paywall popup modal sidebar nav navbar navigation breadcrumb breadcrumbs footer masthead toolbar comments "
+    "disqus share-buttons share-links social-share social-links sharing related-posts related-articles related-links pagination "
+    "pager skip-link".split())
+_SURE_ROLES = frozenset("navigation complementary contentinfo search banner dialog alertdialog menu menubar toolbar".split())
 _HEADER = re.compile(r"(?:^|[\s_-])(?:header|banner|topbar)(?=$|[\s_-])", re.I)
 _WHOLE = frozenset("html body main article".split())
 
 _TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*+)>")
-_MARK = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?=$|[\s=])|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_NOT_SHOWN = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
 _RAW_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in _RAW}
 
 
@@ -69,14 +80,21 @@ def _unwanted(tag: str, attributes: str, inside_article: bool) -> bool:
         return False
     if tag == "header" and not inside_article:
         return True
-    if attributes:
-        if _HIDDEN.search(attributes):
-            return True
-        for found in _MARK.finditer(attributes):
-            words = found[1] or found[2] or found[3] or ""
-            if _ROLES.search(words) or not inside_article and _HEADER.search(words):
-                return True
-    return False
+    given = {}
+    for found in _ATTRIBUTE.finditer(attributes):
+        given.setdefault(found[1].lower(), found[2] or found[3] or found[4] or "")  # of repeated names the first counts
+    if "hidden" in given or given.get("aria-hidden", "").strip().lower() == "true" or _NOT_SHOWN.search(given.get("style", "")):
+        return True
+    classes, role, name = given.get("class", ""), given.get("role", ""), given.get("id", "")
+    if inside_article:
+        return not _SURE.isdisjoint(classes.lower().split()) or not _SURE_ROLES.isdisjoint(role.lower().split())
+    return any(_ROLES.search(words) or _HEADER.search(words) for words in (classes, role)) or _is_role(name)
+
+
+def _is_role(name: str) -> bool:
+    """Whether an id names a part of the page: ids made from headings have other words too."""
+    other = [w for w in re.split(r"[\s_-]+", name.lower()) if w and w not in _LAYOUT]
+    return bool(other) and all(_ROLES.search(w) or _HEADER.search(w) for w in other)
 
 
 def parse(page: str) -> _Tree:
@@ -139,8 +157,10 @@ def parse(page: str) -> _Tree:
             continue
         if tag in ("html", "body") and seen.get(tag):
             continue
-        if seen.get("head") and tag not in _HEAD:
+        if seen.get("head") and tag not in _HEAD and (tag == "body" or not (seen.get("noscript") or seen.get("template"))):
             close(("head",))
+        if tag in _BLOCK and any(seen.get(t) for t in _FOREIGN):
+            close(_FOREIGN)
         if tag in _BLOCK and seen.get("p"):
             close(("p",))
         if tag in _ENDS_BEFORE:

@@ -196,6 +196,39 @@ def test_main_text_leaves_out_what_is_not_the_article():
     assert html_text.main_text("<div>" * 3000 + "deep") == "deep"
 
 
+ARTICLE = "".join(f"<p>Sentence {i} of the long article text, and more.</p>" for i in range(8))
+SENTENCES = " ".join(f"Sentence {i} of the long article text, and more." for i in range(8))
+
+
+@pytest.mark.parametrize("start", [
+    '<section id="related-work">', '<section id="search-strategy">', '<div class="notice">', '<div class="alert alert-info">',
+    '<section title="the hidden cost of x">', '<div data-note="display:none or aria-hidden=true">', '<section id=comments-on-x>'])
+def test_the_article_s_own_words_do_not_drop_it(start):
+    assert html_text.main_text(f'<body><article>{ARTICLE}{start}<p>Own words stay here.</p></article>') == SENTENCES + " Own words stay here."
+    assert html_text.main_text(f'<body><article><h2 id="side-effects">Side effects</h2>{ARTICLE}</article>') == "Side effects " + SENTENCES
+
+
+@pytest.mark.parametrize("part", [
+    '<div hidden>no</div>', '<div HIDDEN="">no</div>', "<p aria-hidden='true'>no</p>", '<p style="color:red; display : none">no</p>',
+    '<div class="big ad">no</div>', '<div role=navigation>no</div>', '<noscript><p>no</p></noscript>', '<svg><text>no</text></svg>',
+    '<select><option>no<option>no</select>', '<textarea></p>no</textarea>', '<template><p>no</p></template>'])
+def test_what_is_not_shown_or_not_the_article_s_goes(part):
+    assert html_text.main_text(f"<body><article>{ARTICLE}{part}</article>") == SENTENCES
+    assert html_text.main_text(f"<head>{part if part.startswith(('<noscript', '<template')) else ''}</head><body>{ARTICLE}") == SENTENCES
+
+
+def test_ids_outside_an_article():
+    page = f'<body><div><h2 id="side-effects">Side effects of this</h2>{ARTICLE}</div><div id="site-footer">no</div><div id=comments>no</div>'
+    assert html_text.main_text(page) == "Side effects of this " + SENTENCES
+
+
+@pytest.mark.parametrize("start, kept", [("<select><option>a", ""), ("<svg><g><path>", ""), ("<math><mi>x", "x "), ("<object data=a>", "")])
+def test_unclosed_and_kept_elements(start, kept):
+    assert html_text.main_text(f"<body><article>{start}{ARTICLE}</article>") == kept + SENTENCES
+    assert html_text.main_text(f"<body><article><p>See <math><mi>x</mi></math> and <object>a picture</object>.</p>{ARTICLE}</article>") == (
+        "See x and a picture. " + SENTENCES)
+
+
 def test_pages_rows(spark):
     pages = spark.createDataFrame([(1, "u", None, 9), (None, None, "<p>x</p>", 9), (1, "u", None, 9)], "page_id long, url string, html string, text int")
     assert sorted((r.page_id or 0, r.text, r.n_chars) for r in html_text.extract_pages(pages).collect()) == [(0, "x", 1), (1, "", 0), (1, "", 0)]
