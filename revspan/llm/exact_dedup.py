@@ -17,6 +17,7 @@ from pyspark.sql.types import StructType
 
 from revspan.llm.common import checkpointed, shared_folder, shuffle_partitions
 
+MAX_AGE = "36500d"  # the file source ignores new files that are older than the newest by more (7 days by default)
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 _STATE = {
@@ -56,7 +57,7 @@ def update_state(spark: SparkSession, path: str, schema: StructType, state: str,
     session = spark.newSession()
     for key, value in {**_STATE, "spark.sql.shuffle.partitions": str(shuffle_partitions(spark))}.items():
         session.conf.set(key, value)
-    rows = _located(session.readStream.schema(schema).parquet(f"{path}*"))
+    rows = _located(session.readStream.schema(schema).option("maxFileAge", MAX_AGE).parquet(f"{path}*"))
     entries = rows.groupBy(digest(F.col("content")).alias("digest")).agg(
         F.max(F.struct("doc_id", "file", "place")).alias("keep"), F.count("*").alias("n"))
     query = entries.writeStream.format("noop").outputMode("update").trigger(availableNow=True).option(

@@ -260,6 +260,19 @@ def test_state_goes_on_where_it_stopped(spark, tmp_path):
     assert got == {1: (3, 2), 2: (2, 1), 3: (3, 2)}
 
 
+def test_a_restart_reads_old_files_too(spark, tmp_path):
+    path, state = str(tmp_path / "docs"), str(tmp_path / "state")
+    make_docs(spark, [(1, "a"), (2, "b")]).coalesce(1).write.parquet(path)
+    exact_dedup.exact_dedup(spark, path, state).collect()
+    seen = set(os.listdir(path))
+    make_docs(spark, [(3, "A"), (4, "c")]).coalesce(1).write.mode("append").parquet(path)
+    (new,) = [f for f in set(os.listdir(path)) - seen if f.endswith(".parquet")]
+    month_ago = os.path.getmtime(f"{path}/{new}") - 30 * 86_400
+    os.utime(f"{path}/{new}", (month_ago, month_ago))
+    got = {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup.exact_dedup(spark, path, state).collect()}
+    assert got == {1: (3, 2), 2: (2, 1), 3: (3, 2), 4: (4, 1)}
+
+
 # Lines
 
 def brute_lines(rows, min_docs):
