@@ -127,6 +127,7 @@ class Codec:
         self.tokenizer = Tokenizer(inner)
         self.tokenizer.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()])
         self.charsmap = normalizers.Precompiled(m.charsmap) if m.charsmap else None
+        self.by_text = m.single_spaces or self.charsmap is not None  # chunks cannot be given to the peer, whole texts can
         self.is_byte = np.array([k == BYTE for k in m.kinds])
         apart = not any(MARK in p.lstrip(MARK) for p, k in zip(m.pieces, m.kinds) if k in (NORMAL, USER, UNUSED))
         self.chunks = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+") if apart else re.compile("(?s).+")
@@ -159,16 +160,16 @@ class Codec:
             import sentencepiece
 
             self._peer = sentencepiece.SentencePieceProcessor(model_proto=self.raw)
-        skip = int(self.model.dummy_prefix)
-        return self._peer.encode([t[skip:].replace(MARK, " ") for t in texts], num_threads=1)
+        return self._peer.encode(texts, num_threads=1)
 
     def _come_back(self, texts: list[str], ids: list[list[int]]) -> list[bool]:
         return [b == t.replace(MARK, " ") for t, b in zip(texts, self.tokenizer.decode_batch(ids, skip_special_tokens=False))]
 
     def _as_peer(self, texts: list[str], ids: list[list[int]]) -> list[bool]:
-        if self.model.single_spaces or self.charsmap:
+        if self.by_text:
             return [True] * len(texts)
-        return [own == theirs for own, theirs in zip(ids, self._peer_ids(texts))]
+        skip = int(self.model.dummy_prefix)
+        return [own == theirs for own, theirs in zip(ids, self._peer_ids([t[skip:].replace(MARK, " ") for t in texts]))]
 
     def learn(self, chunks: list[str]) -> None:
         """Encode chunks; note those that do not come back or that the peer encodes otherwise.
@@ -215,9 +216,11 @@ class Codec:
         for start in range(0, len(texts), SLICE):
             part = [self.chunks.findall(self.normalise(t)) for t in texts[start: start + SLICE]]
             self._recall(set().union(*part))
-            for chunks in part:
+            theirs = self._peer_ids(texts[start: start + SLICE]) if self.by_text else part
+            for chunks, peer in zip(part, theirs):
                 ids = np.frombuffer(b"".join(map(self.known.__getitem__, chunks)), "<i4")
-                yield ids, self.not_round.isdisjoint(chunks), self.not_par.isdisjoint(chunks)
+                yield ids, self.not_round.isdisjoint(chunks), (
+                    ids.tolist() == peer if self.by_text else self.not_par.isdisjoint(chunks))
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         """Texts of lists of ids, decoded in one multithreaded batch."""
@@ -261,7 +264,8 @@ def encode(docs: DataFrame, model: bytes, keep: tuple[str, ...] = ("doc_id",), d
     """The columns keep, then ids, n_tokens, n_byte_tokens, round_trip, parity, per row of docs.
 
     A NULL text counts as empty and has no ids. round_trip: the ids decode to the normalised text;
-    parity: the sentencepiece library encodes every chunk alike. With digests, ids is their SHA-256 (as
+    parity: the sentencepiece library encodes every chunk alike, or the whole text where the model has a
+    character map or strips spaces. With digests, ids is their SHA-256 (as
     little-endian 32-bit numbers) in lowercase hex. Repeated rows each give a row. An empty table
     gives no rows."""
     kept = docs.select(*keep)

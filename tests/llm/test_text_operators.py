@@ -494,6 +494,22 @@ def test_unigram_models_are_built_too():
         assert list(ids) == peer.encode(text) and back and same
 
 
+def test_parity_is_compared_where_spaces_are_stripped():
+    import struct
+
+    import sentencepiece
+
+    raw = b""
+    for piece, score, kind in [("<unk>", 0.0, 2), ("▁", -3.0, 1), ("▁ab", -2.0, 1), ("a", -4.0, 1), ("b", -4.5, 1), ("c", -5.0, 1)]:
+        raw += field(1, field(1, piece.encode()) + b"\x15" + struct.pack("<f", score) + field(3, kind))
+    raw += field(2, field(3, 1)) + field(3, field(1, b"identity") + field(4, 1))
+    codec, peer = sentencepiece_codec.Codec(raw), sentencepiece.SentencePieceProcessor(model_proto=raw)
+    texts = ["abc", " ab  abc ", "", "  ", "cab"]
+    assert [(list(ids), same) for ids, _, same in codec.encode_texts(texts)] == [(peer.encode(t), True) for t in texts]
+    codec.normalise = lambda text: "▁c"
+    assert [same for _, _, same in codec.encode_texts(["abc", "c"])] == [False, True]
+
+
 # Queries and pipeline
 
 @needs_data
