@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from revspan.llm import line_dedup, mixing, ngram_join, queries, sentencepiece_codec, toxicity
@@ -30,13 +31,25 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mixture takes them: every one once, small sources up to twice."""
-    return mixing.temperature_mix(docs, max_passes=queries.MAX_PASSES).select(*docs.columns)
+    """Documents as often as the mixture takes them: every one once, small sources up to twice.
+
+    In order of progress, from part to part too; ties lie by hash, so that equal progress can be split."""
+    mixed = mixing.temperature_mix(docs, max_passes=queries.MAX_PASSES)
+    return mixed.orderBy("progress", F.xxhash64("doc_id", "source"), "doc_id").select(*docs.columns)
+
+
+def in_written_order(docs: DataFrame) -> DataFrame:
+    """Rows by part and place in it where docs is read from files: a scan deals parts out by size."""
+    try:
+        placed = docs.select("*", F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__place"))
+    except AnalysisException:  # not read from files
+        return docs
+    return placed.orderBy("__file", "__place").select(*docs.columns)
 
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id and source with the token ids of the text, and what was verified of them."""
-    return sentencepiece_codec.encode(docs, queries._model(), ("doc_id", "source"))
+    """doc_id and source with the token ids of the text, and what was verified of them, in the order of the mixture."""
+    return sentencepiece_codec.encode(in_written_order(docs), queries._model(), ("doc_id", "source"))
 
 
 STAGES = [

@@ -538,3 +538,23 @@ def test_pipeline_stages_against_brute_force(spark):
     assert {r.doc_id for r in mixed.collect()} == {r.doc_id for r in single.collect()}
     tokens = corpus_pipeline.run(spark, SF)
     assert tokens.count() == mixed.count() and tokens.where("not round_trip or not parity").count() == 0
+
+
+def test_the_mixed_order_reaches_the_tokens(spark, tmp_path):
+    rng = random.Random(21)
+    docs = make_docs(spark, [(i, "w " * rng.randint(1, 400), "en", rng.choice("aaaab")) for i in range(600)])
+    mixed = mixing.temperature_mix(docs, max_passes=queries.MAX_PASSES).collect()
+    progress = {}
+    for r in mixed:
+        progress.setdefault(r.doc_id, []).append(r.progress)
+    written = corpus_pipeline.mix_sources(spark, docs, SF)
+    written.write.parquet(str(tmp_path / "mixed"))
+    again = spark.read.parquet(str(tmp_path / "mixed"))
+    tokens = corpus_pipeline.to_tokens(spark, again, SF)
+    for out in (written, tokens):
+        ids = [r.doc_id for r in out.collect()]
+        assert len(ids) == len(mixed) and len(set(ids)) == 600
+        place = {i: iter(sorted(p)) for i, p in progress.items()}
+        met = [next(place[i]) for i in ids]
+        assert met == sorted(met)
+    assert corpus_pipeline.to_tokens(spark, docs, SF).count() == 600  # rows that were not read from files
