@@ -8,7 +8,6 @@ of each language, MOST_TEXTS in all; every whole text is predicted.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
@@ -36,7 +35,6 @@ FAMILIES = {
     "iranian": ("fa", "ku", "ps", "tg"), "indic": ("hi", "ur", "bn", "pa", "gu", "mr", "ne", "si"),
     "dravidian": ("ta", "te", "kn", "ml"), "austronesian": ("id", "ms", "tl", "jv", "mg"),
 }
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def family_of(language: str) -> str:
@@ -136,6 +134,11 @@ def predict(model: LanguageModel, x: np.ndarray) -> tuple[list[str], np.ndarray]
     return list(names), score
 
 
+def has_letter(text: str | None) -> bool:
+    """Whether a character is a letter (Unicode's L, as in the fit); numerals such as ½ or Ⅷ are none."""
+    return any(map(str.isalpha, text or ""))
+
+
 def _predicted(model: LanguageModel):
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -143,7 +146,7 @@ def _predicted(model: LanguageModel):
             texts = batch.column("text").to_pylist()
             for start in range(0, len(texts), 512):
                 part = texts[start: start + 512]
-                known = [bool(t and _LETTER.search(t)) and bool(model.families) for t in part]
+                known = [has_letter(t) and bool(model.families) for t in part]
                 x = np.stack([vector(t) if k else np.zeros(1 << BITS, np.float32) for t, k in zip(part, known)])
                 names, sure = predict(model, x) if model.families else ([UNKNOWN] * len(part), np.zeros(len(part)))
                 langs += [name if k else UNKNOWN for name, k in zip(names, known)]
