@@ -175,6 +175,15 @@ def test_passages_cover_the_whole_text(monkeypatch):
         assert np.allclose(toxicity.passage_sums(text, number, weights), expected)
 
 
+@pytest.mark.parametrize("text", ["½ ²", "Ⅷ ①", "12 _ .", "٣", "😀"])
+def test_numerals_and_signs_are_no_letters(text):
+    assert not langid.has_letter(text)
+
+
+def test_letters_of_all_scripts():
+    assert all(langid.has_letter(t) for t in ("1ß", "中", "ª", "١ا", "ǅ"))
+
+
 def test_languages_without_letters_or_training(spark):
     got = {r.doc_id: r for r in langid.language_id(make_docs(spark, [(1, "12 !"), (2, None), (3, "abc")])).collect()}
     assert [(got[i].lang_pred, got[i].score) for i in (1, 2, 3)] == [("und", 0.0)] * 3
@@ -229,6 +238,76 @@ def test_unclosed_and_kept_elements(start, kept):
         "See x and a picture. " + SENTENCES)
 
 
+@pytest.mark.parametrize("page", [
+    '<div class="wrap has-sidebar"><article>%s</article></div>', '<div class="no-sidebar"><main>%s</main></div>',
+    '<div class="content sidebar-right">%s</div>', '<div class="post category-social-media">%s</div>',
+    '<div class="search-engine-optimization">%s</div>', '<div class="sidebar-right"><div>%s</div></div>',
+    '<form id="aspnetForm"><div>%s</div></form>', '<form><article>%s</article></form>', '<article class="post sponsored">%s</article>',
+    '<div class="content-sidebar-wrap"><main class="content">%s</main><div class="sidebar">no no</div></div>',
+    '<div role="main">%s</div><div class="menu">no</div>', '<div class="comments-wrapper"><main>%s</main></div>'])
+def test_names_on_wrappers_drop_no_article(page):
+    assert html_text.main_text("<body>" + page % ARTICLE) == SENTENCES
+
+
+@pytest.mark.parametrize("page", [
+    '<div class="post-header"><h1>Head line</h1></div><div>%s</div>', '<article><div class="post-header"><h1>Head line</h1></div>%s</article>',
+    '<main><header><h1>Head line</h1></header>%s</main>'])
+def test_headlines_stay(page):
+    assert html_text.main_text("<body>" + page % ARTICLE) == "Head line " + SENTENCES
+
+
+@pytest.mark.parametrize("comments", [
+    '<section id="comments">%s</section>', '<section class="comments-section">%s</section>', '<div id="disqus_thread">%s</div>',
+    '<div id="comments" class="comments-area">%s</div>', '<article class="comment">%s</article>', '<ol class="commentlist">%s</ol>',
+    '<section id=comments><article>%s</article></section>', '<div class="fb-comments">%s</div>'])
+@pytest.mark.parametrize("page", ["<article>%s</article>", "<main>%s</main>", "<main><article>%s</article></main>", "<div>%s</div>"])
+def test_reader_comments_go_everywhere(page, comments):
+    written = comments % ("<p>I am a reader and this is my long opinion on the article text, and more.</p>" * 5)
+    assert html_text.main_text("<body>" + page % (ARTICLE + written)) == SENTENCES
+    assert html_text.main_text("<body>" + page % ARTICLE + written) == SENTENCES
+
+
+@pytest.mark.parametrize("name", ["cookie-bar", "ad-slot", "share", "notice", "related", "adSlot", "related-posts", "share-buttons"])
+def test_what_names_tell_inside_main(name):
+    part = f'<div class="{name}"><p>no no no, not this one here.</p></div>'
+    assert html_text.main_text(f"<body><main>{ARTICLE}{part}</main>") == SENTENCES
+    assert html_text.main_text(f"<body><article>{ARTICLE}{part}</article>") == SENTENCES + (
+        " no no no, not this one here." if name == "notice" else "")
+
+
+def test_each_piece_of_text_is_decoded_alone():
+    assert html_text.main_text("<body><p>a &<b>lt;</b> b &amp;amp; c</p>") == "a &lt; b &amp; c"
+
+
+def _page(rng, sentences):
+    """A page in a random template, and its article text."""
+    noise = lambda: " ".join(rng.choice(["buy", "now", "home", "news", "more", "click"]) for _ in range(rng.randrange(2, 7)))
+    blocks = [" ".join(rng.choice(sentences) for _ in range(rng.randrange(2, 6))) for _ in range(rng.randrange(4, 9))]
+    head = noise()
+    own = f"<h1>{head}</h1>" + "".join(f"<p>{b}</p>" for b in blocks)
+    inner = rng.choice(["", '<div class="ad-box">%s</div>', '<aside>%s</aside>', '<ul class="share-links"><li>%s</ul>']).replace("%s", noise())
+    at = rng.randrange(len(own.split("</p>")) - 1)
+    parts = own.split("</p>")
+    own = "</p>".join(parts[:at] + [inner + parts[at]] + parts[at + 1:]) if at else own
+    wrapper = rng.choice(['<article class="post">%s</article>', '<main id="main">%s</main>', '<div class="content has-sidebar">%s</div>',
+                          '<div class="wrap no-sidebar"><article>%s</article></div>', '<div id="page"><div class="entry-content">%s</div></div>'])
+    around = [f'<nav><a href=/>{noise()}</a></nav>', f'<div class="site-header"><a href=/>{noise()}</a></div>',
+              f'<div id="cookie-notice">{noise()}</div>', f'<header><b>{noise()}</b></header>']
+    after = [f'<div class="sidebar"><p>{noise()}</p></div>', f'<section id="comments"><p>{noise()}. {noise()}.</p></section>',
+             f'<footer>{noise()}</footer>', f'<div class="newsletter-form"><form>{noise()}</form></div>']
+    page = "".join(rng.sample(around, rng.randrange(4))) + wrapper.replace("%s", own) + "".join(rng.sample(after, rng.randrange(4)))
+    return f"<!DOCTYPE html><html><head><title>{head}</title></head><body>{page}</body></html>", " ".join([head, *blocks])
+
+
+def test_held_out_pages_of_varied_templates(spark):
+    rng = random.Random(11)
+    sentences = [" ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9))) for _ in range(9)) + "." for _ in range(50)]
+    written = [_page(rng, sentences) for _ in range(300)]
+    pages = spark.createDataFrame([(i, "u", page) for i, (page, _) in enumerate(written)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_text.extract_pages(pages).collect()}
+    assert [i for i, (_, text) in enumerate(written) if got[i] != text] == []
+
+
 def test_pages_rows(spark):
     pages = spark.createDataFrame([(1, "u", None, 9), (None, None, "<p>x</p>", 9), (1, "u", None, 9)], "page_id long, url string, html string, text int")
     assert sorted((r.page_id or 0, r.text, r.n_chars) for r in html_text.extract_pages(pages).collect()) == [(0, "x", 1), (1, "", 0), (1, "", 0)]
@@ -260,6 +339,34 @@ def test_state_goes_on_where_it_stopped(spark, tmp_path):
     assert got == {1: (3, 2), 2: (2, 1), 3: (3, 2)}
 
 
+@pytest.mark.parametrize("single", [False, True])
+def test_siblings_and_the_state_are_no_input(spark, tmp_path, single):
+    rows = make_docs(spark, [(1, "Text"), (2, "other"), (3, None)]).withColumn("digest", F.lit(1)).withColumn("keep", F.lit(2))
+    path = f"{tmp_path}/docs.parquet"
+    rows.coalesce(1).write.parquet(f"{tmp_path}/written" if single else path)
+    if single:
+        (written,) = [f for f in os.listdir(f"{tmp_path}/written") if f.endswith(".parquet")]
+        os.rename(f"{tmp_path}/written/{written}", path)
+    make_docs(spark, [(9, "text")]).write.parquet(f"{path}_backup")
+    make_docs(spark, [(8, "text")]).write.parquet(f"{tmp_path}/docsxparquet")
+    for state in (f"{path}-state", f"{tmp_path}/docs-state" if single else f"{path}/state"):
+        got = {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(spark, path, state).collect()}
+        assert got == {(1, 1, 1, True), (2, 2, 1, True), (3, 3, 1, True)}
+
+
+def test_an_empty_table_of_documents(spark, tmp_path):
+    make_docs(spark, []).write.parquet(f"{tmp_path}/docs")
+    assert exact_dedup.exact_dedup(spark, f"{tmp_path}/docs", f"{tmp_path}/state").count() == 0
+
+
+def test_hits_pass_the_filter_and_few_others_do(spark):
+    rows = spark.range(200_000).select(F.lit("f").alias("file"), F.col("id").alias("place"), F.lit("text").alias("content"))
+    hits = rows.where("place % 100 = 7").drop("content")
+    near = exact_dedup._near(rows, hits)
+    assert near.where("place % 100 = 7").count() == 2_000 and near.count() < 40_000
+    assert near.columns == rows.columns
+
+
 def test_a_restart_reads_old_files_too(spark, tmp_path):
     path, state = str(tmp_path / "docs"), str(tmp_path / "state")
     make_docs(spark, [(1, "a"), (2, "b")]).coalesce(1).write.parquet(path)
