@@ -62,13 +62,20 @@ panel AS (
   FROM cal CROSS JOIN accts a
   LEFT JOIN shown s ON (s.account_id, s.month_start) = (a.account_id, cal.month_start))"""
 
-MOVES = PANEL + """,
+def movement(prior: str, current: str) -> str:
+    """Kind of a change: a positive amount out of nothing is new, one that turns to nothing has churned; all else goes by
+    its sign, negative amounts too."""
+    return f"""CASE WHEN {current} = {prior} THEN 'unchanged'
+              WHEN {prior} = 0 AND {current} > 0 THEN 'new'
+              WHEN {current} = 0 AND {prior} > 0 THEN 'churned'
+              WHEN {current} - {prior} > 0 THEN 'expansion' ELSE 'contraction' END"""
+
+
+MOVES = PANEL + f""",
 moves AS (
   SELECT p.month_start, p.account_id, p.cents AS cur, coalesce(q.cents, 0) AS prior,
          p.cents - coalesce(q.cents, 0) AS delta,
-         ['churned', 'contraction', 'unchanged', 'expansion', 'new'][
-           3 + sign(p.cents - coalesce(q.cents, 0))
-             * if((p.cents = 0) <> (coalesce(q.cents, 0) = 0), 2, 1)] AS kind
+         {movement('coalesce(q.cents, 0)', 'p.cents')} AS kind
   FROM panel p LEFT JOIN panel q
     ON q.account_id = p.account_id AND q.month_start + INTERVAL 1 MONTH = p.month_start)"""
 
@@ -616,3 +623,21 @@ ORACLES["metric_exports"] = " UNION ALL ".join(
         ("segment_monthly_industry_mrr", "monthly_mrr_by_industry", "avg_mrr_per_account"),
     )
 )
+ORACLES["sql_metrics"] = ORACLES["metric_exports"]
+ORACLES["sql_metric_in_range"] = ORACLES["waterfall_in_range"]
+
+
+def _as_loaded(sql: str, until: str = "9999-01-01") -> str:
+    """The same over the subscriptions that started before a day, with ids as text, as the CSV files hold them."""
+    return sql.replace("SELECT o_orderkey AS subscription_id", "SELECT CAST(o_orderkey AS VARCHAR) AS subscription_id", 1).replace(
+        "ON l_orderkey = o_orderkey)", f"ON l_orderkey = o_orderkey WHERE o_orderdate < DATE '{until}')", 1)
+
+
+ORACLES["refresh_versions"] = " UNION ALL ".join(
+    f"""SELECT CAST({version} AS BIGINT) AS version, 'accounts' AS table_name, count(*) AS n_rows, 0.0 AS total FROM customer
+        UNION ALL SELECT {version}, 'subscriptions', * FROM (
+          {_as_loaded(f"WITH {SUBS} SELECT count(*), {shown('CAST(sum(cents) AS HUGEINT)', 100)} FROM subs", until)})
+        UNION ALL SELECT {version}, 'mrr_waterfall', * FROM (
+          {_as_loaded(f"WITH {WATERFALL} SELECT count(*), {shown('CAST(sum(ending) AS HUGEINT)', 100)} FROM wf", until)})"""
+    for version, until in ((1, "1997-01-01"), (2, "9999-01-01"))
+)

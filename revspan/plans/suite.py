@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, fields, replace
+from datetime import date
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -12,7 +13,9 @@ from revspan.functions.calendar import Calendar
 from revspan.operators import cohorts, panel, segments, snapshot, waterfall
 from revspan.operators.spans import account_spans
 from revspan.operators.timeline import subscription_timeline
-from revspan.sources.shared import stored
+from revspan.plans.named_sql import create_functions, run_sql
+from revspan.sources.shared import shared_folder, stored
+from revspan.sources.span_cache import cached_spans
 from revspan.sources.tables import write_csv, write_documents
 
 
@@ -61,6 +64,17 @@ class MetricSuite:
             stored_spans=stored(replace(self, calendar=pinned).spans, "spans"),
         )
 
+    def with_cached_spans(self, folder: str | None = None) -> MetricSuite:
+        """The same suite with its spans from ``folder`` (by default in the shared folder): written there
+        only if no session has done so for the same source files and calendar."""
+        if self.stored_spans is not None:
+            return self
+        pinned = self.calendar.resolve(self.spark)
+        folder = folder or f"{shared_folder(self.spark).rstrip('/')}/revspan-spans"
+        found = cached_spans(
+            self.tables.accounts, self.tables.subscriptions, pinned, self.attribute, folder)
+        return replace(self, calendar=pinned, stored_spans=found)
+
     def of_segment(self, value: str) -> MetricSuite:
         """The suite of the accounts whose attribute has this value: other accounts and their
         subscriptions are left out before anything is ordered."""
@@ -136,6 +150,12 @@ class MetricSuite:
         }
         for name, view in views.items():
             view.createOrReplaceTempView(name)
+        create_functions(self.spark)
+
+    def run_sql(self, name: str, **months: date) -> DataFrame:
+        """One metric by name from its SQL over the views; first_month and last_month bound it."""
+        self.create_views()
+        return run_sql(self.spark, name, **months)
 
     def export_csv(self, folder: str) -> None:
         """All registered metrics as CSV folders named after them."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,8 +15,8 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
-    if spark.sparkContext.master.startswith("local"):
-        return tempfile.mkdtemp(prefix="revspan-")
+    if re.match(r"local(\[|$)", spark.sparkContext.master):
+        return f"{tempfile.gettempdir()}/revspan-{spark.sparkContext.applicationId}"
     raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
 
 
