@@ -18,11 +18,12 @@ from revspan.operators import (  # noqa: E402
     audits, charts, cohorts, explore, hypothesis, panel, segments, snapshot, timeline, waterfall,
 )
 from revspan.plans import testbed  # noqa: E402
+from revspan.plans.audited import store_with_audits  # noqa: E402
 from revspan.plans.named_sql import SQL_METRICS, run_sql  # noqa: E402
 from revspan.sources import tables as io  # noqa: E402
 from revspan.sources.refresh import Warehouse  # noqa: E402
 from revspan.sources.schemas import TABLES  # noqa: E402
-from revspan.sources.shared import scratch_path  # noqa: E402
+from revspan.sources.shared import scratch_path, stored  # noqa: E402
 
 try:  # the text operators may be left out
     import corpus_pipeline
@@ -209,6 +210,35 @@ def _refresh_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     ]))
 
 
+def _dense_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "feature_usage")
+    usage = testbed.feature_usage(testbed.Source(spark, sf_dir))
+    io.write_csv(testbed.as_declared(usage, "feature_usage"), path)
+    loaded = io.load_table(spark, path, TABLES["feature_usage"], f"{path}-table")
+    return _report(loaded.select("usage_pk", "usage_date", "subscription_id", "usage_id"))
+
+
+def _kpis_from_store(s: MetricSuite) -> DataFrame:
+    """The segment tiles of 1997, by month partitions of the stored segment table."""
+    path = scratch_path(s.spark, "segment_monthly")
+    io.write_by_month(s.segment_monthly, path)
+    of_1997 = (F.col("start_month") == "1997-01-01") & (F.col("end_month") == "1997-12-01")
+    requests = stored(_requests(s).where(of_1997), "requests")
+    return _round_growth(explore.segment_kpis_from_store(
+        requests, s.spark.read.parquet(path), s.churn, s.monthly, s.calendar))
+
+
+def _summary_documents(s: MetricSuite) -> DataFrame:
+    """One document per month, written and read back."""
+    path = scratch_path(s.spark, "summaries")
+    documents = snapshot.summary_documents(
+        snapshot.numbered_facts(s.facts, s.report, s.tier, s.attribute), "revspan")
+    io.write_documents(documents, path)
+    return io.read_documents(s.spark, path, documents.schema).select(
+        "source_month", "generator", F.col("generated_at").isNotNull().alias("is_dated"),
+        F.size("lines").alias("n_lines"), F.array_join("lines.fact_id", ",").alias("fact_ids"), "summary")
+
+
 def _csv_roundtrip(name: str, mapped: Callable[[testbed.Source], DataFrame]) -> Query:
     """A mapped table delivered as CSV and scanned back against its declared schema."""
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -284,6 +314,7 @@ _SUITE_QUERIES: dict[str, Callable[[MetricSuite], DataFrame]] = {
         panel.account_movements(s.spans)
     ),
     "gross_net_churn_nrr": lambda s: s.run("gross_net_churn_and_nrr"),
+    "new_mrr_split": lambda s: waterfall.new_mrr_split(s.spans, s.calendar),
     "cohort_assignment": lambda s: cohorts.cohort_assignment(s.tables.subscriptions),
     "cohort_sizes": lambda s: cohorts.cohort_sizes(s.tables.subscriptions),
     "cohort_retention": lambda s: s.run("cohort_retention"),
@@ -309,6 +340,7 @@ _SUITE_QUERIES: dict[str, Callable[[MetricSuite], DataFrame]] = {
     "snapshot_json_roundtrip": _snapshot_json,
     "fact_sheet": lambda s: snapshot.fact_sheet(s.facts, s.report, s.tier, s.attribute),
     "fact_provenance": _provenance,
+    "summary_documents": _summary_documents,
     # Explorer
     "segment_domain": lambda s: segments.segment_domain(s.churn),
     "explorer_requests": _requests,
@@ -323,6 +355,7 @@ _SUITE_QUERIES: dict[str, Callable[[MetricSuite], DataFrame]] = {
     "range_kpis_segment": _spans_once(lambda s: _round_growth(explore.segment_range_kpis(
         _requests(s), s.segment_monthly, s.churn, s.monthly, s.calendar
     ))),
+    "range_kpis_from_store": _spans_once(_kpis_from_store),
     "trend_series": _spans_once(lambda s: explore.trend_series(
         _requests(s), s.segment_monthly, s.monthly, s.calendar
     )),
@@ -357,6 +390,7 @@ _SUITE_QUERIES: dict[str, Callable[[MetricSuite], DataFrame]] = {
     "segment_tieout": _spans_once(lambda s: audits.segment_tieout(
         s.segment_monthly, s.waterfall, (s.tier, s.attribute)
     )),
+    "audits_in_one_pass": lambda s: store_with_audits(s)[1],
     # Sinks and scans
     "metric_csv_roundtrip": _metric_csv,
     "metric_exports": _metric_exports,
@@ -381,6 +415,7 @@ def core_queries() -> dict[str, Query]:
         "csv_support_tickets": _csv_roundtrip("support_tickets", testbed.support_tickets),
         "csv_churn_events": _csv_roundtrip("churn_events", testbed.churn_events),
         "usage_surrogate_key": _surrogate_key,
+        "usage_dense_key": _dense_key,
         "refresh_versions": _refresh_versions,
     }
 

@@ -257,7 +257,7 @@ SELECT month_start AS latest_month, {money('ending', 'ending_mrr')},
 FROM mom, chi c, ztest z WHERE c.dimension = 'plan_tier' AND z.dimension = 'industry'"""
 
 
-def _fact_sheet() -> str:
+def _facts_in_order() -> dict[str, str]:
     def dollars(cents: str) -> str:
         return f"coalesce('$' || format('{{:,}}', CAST({scaled(cents, '100', 1)} AS BIGINT)), 'n/a')"
 
@@ -314,11 +314,22 @@ def _fact_sheet() -> str:
             "FROM ztest WHERE dimension = 'industry')"
         ),
     }
+    return lines
+
+
+def _fact_sheet() -> str:
     parts = [f"SELECT month_start AS source_month, '{k}' AS fact_id, {v} AS fact FROM mom"
-             for k, v in lines.items()]
+             for k, v in _facts_in_order().items()]
     return f"WITH {FACTS}{TESTS}\n" + "\nUNION ALL\n".join(parts)
 
 
+def _summaries() -> str:
+    lines = _facts_in_order()
+    return f"""WITH {FACTS}{TESTS} SELECT month_start AS source_month, 'revspan' AS generator, true AS is_dated,
+        {len(lines)} AS n_lines, '{",".join(lines)}' AS fact_ids,
+        concat_ws(chr(10), {", ".join(f"coalesce({line}, '')" for line in lines.values())}) AS summary FROM mom"""
+
+
 def _kpi_tail(start: str, end: str) -> str:
     growth = f"CASE WHEN {start} >= 200000 THEN {scaled(f'{end} - {start}', start, 1000000)} END"
     label = f"CASE WHEN {start} >= 200000 THEN {scaled(f'{end} - {start}', start, 1000)} END"
@@ -641,3 +652,45 @@ ORACLES["refresh_versions"] = " UNION ALL ".join(
           {_as_loaded(f"WITH {WATERFALL} SELECT count(*), {shown('CAST(sum(ending) AS HUGEINT)', 100)} FROM wf", until)})"""
     for version, until in ((1, "1997-01-01"), (2, "9999-01-01"))
 )
+ORACLES["summary_documents"] = _summaries()
+ORACLES["usage_dense_key"] = """SELECT row_number() OVER (ORDER BY CAST(ts AS DATE), CAST(user_id AS VARCHAR),
+    CAST(event_id AS VARCHAR)) AS usage_pk, CAST(ts AS DATE) AS usage_date, CAST(user_id AS VARCHAR) AS subscription_id,
+    CAST(event_id AS VARCHAR) AS usage_id FROM events"""
+ORACLES["range_kpis_from_store"] = f"""SELECT * FROM ({ORACLES["range_kpis_segment"]})
+    WHERE start_month = DATE '1997-01-01' AND end_month = DATE '1997-12-01'"""
+# An account has paid before when the running maximum of its earlier month-end revenue is positive.
+ORACLES["new_mrr_split"] = f"""WITH {MOVES}, seen AS (
+      SELECT *, coalesce(max(cur) OVER (PARTITION BY account_id ORDER BY month_start
+                                        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) > 0 AS paid_before FROM moves),
+    split AS (
+      SELECT month_start, {_flow('new')} AS new,
+             CAST(coalesce(sum(delta) FILTER (kind = 'new' AND NOT paid_before), 0) AS HUGEINT) AS first_time,
+             CAST(coalesce(sum(delta) FILTER (kind = 'new' AND paid_before), 0) AS HUGEINT) AS again,
+             count(*) FILTER (kind = 'new' AND NOT paid_before) AS n_first,
+             count(*) FILTER (kind = 'new' AND paid_before) AS n_returning FROM seen GROUP BY month_start)
+    SELECT month_start, {money('new', 'new_mrr')}, {money('first_time', 'first_mrr')}, {money('again', 'returning_mrr')},
+           n_first, n_returning FROM split"""
+
+
+def _one_pass() -> str:
+    def row(audit: str, subject: str, checked: str, breaks: str, days: str = "NULL, NULL", source: str = "") -> str:
+        return (f"SELECT '{audit}' AS audit, '{subject}' AS subject, CAST({checked} AS BIGINT) AS n_checked, "
+                f"CAST({breaks} AS BIGINT) AS n_breaks, {days} {source}")
+
+    parts = [
+        row("coverage", "accounts", "count(*)", "NULL", "min(signup_date) AS first_day, max(signup_date) AS last_day", "FROM accts"),
+        row("coverage", "subscriptions", "count(*)", "NULL", "min(start_date), max(start_date)", "FROM subs"),
+        *[row("not_null", f"{name}.{c}", "count(*)", f"count(*) - count({c})", source=f"FROM {table}")
+          for name, table, columns in (("accounts", "accts", ("account_id", "signup_date")),
+                                       ("subscriptions", "subs", ("subscription_id", "account_id", "start_date")))
+          for c in columns],
+        row("completeness", "account_month_mrr", "(SELECT count(*) FROM panel)",
+            "(SELECT count(*) FROM accts) * (SELECT count(*) FROM cal) - (SELECT count(*) FROM panel)"),
+        *[row(audit, "mrr_waterfall", checked, "n_breaks", source=f"FROM ({ORACLES[query]})")
+          for audit, query, checked in (("identity", "identity_breaks", "n_months"), ("continuity", "continuity_breaks", "n_pairs"),
+                                        ("nrr", "nrr_breaks", "n_months"))],
+    ]
+    return f"WITH {PANEL}\n" + "\nUNION ALL\n".join(parts)
+
+
+ORACLES["audits_in_one_pass"] = _one_pass()

@@ -11,7 +11,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from revspan.functions.calendar import Calendar, last_month_covered, month_of, months_from_to
+from revspan.functions.calendar import Calendar, last_month_covered, month_index_gap, month_of
 
 
 def stack(frames: Sequence[DataFrame]) -> DataFrame:
@@ -113,16 +113,19 @@ def coverage_profile(table: DataFrame, day: str, label: str) -> DataFrame:
     ).select(F.lit(label).alias("table_name"), "*")
 
 
-def identity_breaks(waterfall: DataFrame) -> DataFrame:
-    """Months in which starting plus movements is not ending."""
+def broken_identity() -> Column:
+    """Whether a month's starting revenue plus its movements is not its ending revenue."""
     expected = (
         F.col("starting_mrr") + F.col("new_mrr") + F.col("expansion_mrr")
         + F.col("contraction_mrr") + F.col("churned_mrr")
     )
+    return expected != F.col("ending_mrr")
+
+
+def identity_breaks(waterfall: DataFrame) -> DataFrame:
+    """Months in which starting plus movements is not ending."""
     return waterfall.agg(
-        F.count("*").alias("n_months"),
-        F.count_if(expected != F.col("ending_mrr")).alias("n_breaks"),
-    )
+        F.count("*").alias("n_months"), F.count_if(broken_identity()).alias("n_breaks"))
 
 
 def continuity_breaks(waterfall: DataFrame) -> DataFrame:
@@ -135,24 +138,30 @@ def continuity_breaks(waterfall: DataFrame) -> DataFrame:
     )
 
 
-def nrr_breaks(rates: DataFrame, tolerance: str = "0.01") -> DataFrame:
-    """Months where NRR and net churn do not add up to 100. Both are rounded to two places,
-    so an exact tie may leave one hundredth."""
+def broken_nrr(tolerance: str = "0.01") -> Column:
+    """Whether NRR and net churn do not add up to 100. Both are rounded to two places, so an exact tie
+    may leave one hundredth."""
     off = F.abs(F.col("nrr_pct") + F.col("net_mrr_churn_rate_pct") - 100)
+    return off > F.lit(tolerance).cast("decimal(5,2)")
+
+
+def nrr_breaks(rates: DataFrame, tolerance: str = "0.01") -> DataFrame:
+    """Measurable months where NRR and net churn do not add up to 100."""
     return rates.where(F.col("nrr_pct").isNotNull()).agg(
-        F.count("*").alias("n_months"),
-        F.count_if(off > F.lit(tolerance).cast("decimal(5,2)")).alias("n_breaks"),
-    )
+        F.count("*").alias("n_months"), F.count_if(broken_nrr(tolerance)).alias("n_breaks"))
 
 
 def panel_uniqueness(timeline: DataFrame, calendar: Calendar) -> DataFrame:
     """Most subscriptions of one account that are active at the same month end.
 
     Counted from the cleaned intervals themselves: a start counts from its own month, an
-    end through the last month it covers whole.
+    end through the last month it covers whole. A sweep over each account's months: an interval adds one
+    where it begins and takes one where it is over, and the running count holds until the next change.
+    Changes are summed per account and month before they are shuffled and ordered, so an account of
+    any size is one row per calendar month at most, and no interval is laid out over its months.
     """
     last = F.least(last_month_covered(F.col("effective_end_date")), calendar.last)
-    active = (
+    changes = (
         timeline
         .select(
             "account_id",
@@ -160,13 +169,23 @@ def panel_uniqueness(timeline: DataFrame, calendar: Calendar) -> DataFrame:
             last.alias("last_month"),
         )
         .where(F.col("first_month") <= F.col("last_month"))
-        .select("account_id", F.explode(months_from_to(F.col("first_month"), F.col("last_month")))
-                .alias("month_start"))
-    )
-    return active.groupBy("account_id", "month_start").agg(F.count("*").alias("n")).agg(
-        F.count("*").alias("n_active_cells"),
+        .select("account_id", F.inline(F.array(
+            F.struct(F.col("first_month").alias("month_start"), F.lit(1).alias("change")),
+            F.struct(F.add_months("last_month", 1).alias("month_start"), F.lit(-1).alias("change")),
+        )))
+        .groupBy("account_id", "month_start").agg(F.sum("change").alias("change"))
+    )
+    by_month = Window.partitionBy("account_id").orderBy("month_start")
+    until = F.lead("month_start").over(by_month)
+    steps = changes.select(
+        F.sum("change").over(by_month.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("n"),
+        month_index_gap(until, F.col("month_start")).alias("months"),
+    ).where(F.col("n") > 0)
+    crowded = F.when(F.col("n") > 1, F.col("months")).otherwise(0)
+    return steps.agg(
+        F.coalesce(F.sum("months"), F.lit(0)).cast("bigint").alias("n_active_cells"),
         F.coalesce(F.max("n"), F.lit(0)).cast("bigint").alias("max_matches"),
-        F.count_if(F.col("n") > 1).alias("n_violations"),
+        F.coalesce(F.sum(crowded), F.lit(0)).cast("bigint").alias("n_violations"),
     )
 
 

@@ -89,6 +89,35 @@ def segment_range_kpis(
     return _with_growth(kpis, min_base)
 
 
+def segment_kpis_from_store(
+    requests: DataFrame, stored_segments: DataFrame, churn: DataFrame, monthly: DataFrame,
+    calendar: Calendar, min_base: float = MIN_GROWTH_BASE,
+) -> DataFrame:
+    """The segment tiles from a store that is partitioned by month (``write_by_month``): same columns and values.
+
+    ``requests`` is a stored table, small enough to be broadcast. It meets the store in an inner join on the
+    month, so its months become a filter on the store's partitions when the query runs: what
+    is read follows the request, not the store.
+    """
+    asked = requests.where(F.col("dimension") != WHOLE_BUSINESS)
+    months = _requested_months(asked, calendar).select("request_id", "dimension", "segment", "month_start")
+    month = F.col("month_start")
+    of_segment = months.join(stored_segments, ["month_start", "dimension", "segment"]).groupBy("request_id").agg(
+        F.max_by("total_mrr", month).alias("last_mrr"), F.min_by("total_mrr", month).alias("first_mrr"))
+    of_business = months.join(monthly.select("month_start", "nrr_pct"), "month_start").groupBy("request_id").agg(
+        F.round(F.avg("nrr_pct"), 1).alias("business_avg_nrr_pct"))
+    kpis = (
+        asked.join(of_segment, "request_id", "left").join(of_business, "request_id", "left")
+        .join(churn.select("dimension", "segment", F.col("churn_rate_pct").alias("logo_churn_pct")),
+              ["dimension", "segment"], "left")
+        .select(
+            *REQUEST, F.coalesce("last_mrr", F.lit(0)).alias("ending_mrr"),
+            F.coalesce("first_mrr", F.lit(0)).alias("range_start_mrr"), "business_avg_nrr_pct", "logo_churn_pct",
+        )
+    )
+    return _with_growth(kpis, min_base)
+
+
 def _with_growth(kpis: DataFrame, min_base: float) -> DataFrame:
     growth = guarded_growth_pct(F.col("range_start_mrr"), F.col("ending_mrr"), min_base)
     return kpis.withColumn("growth_pct", growth).withColumn(

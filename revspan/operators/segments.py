@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from revspan.functions.calendar import Calendar
 from revspan.functions.money import mean_amount, no_money, percent
-from revspan.operators.spans import span_edges
+from revspan.operators.spans import is_live, is_opening, span_edges
 from revspan.operators.steps import step_series
 
 
@@ -66,17 +66,38 @@ def monthly_mrr_by_attribute(spans: DataFrame, calendar: Calendar, attribute: st
     )
 
 
-def monthly_mrr_by_dimension(by_segment: dict[str, DataFrame]) -> DataFrame:
-    """Stack monthly segment tables: dimension, segment, month_start, active_accounts, total_mrr."""
-    stacked = None
-    for dimension, table in by_segment.items():
-        part = table.select(
-            F.lit(dimension).alias("dimension"),
-            F.col(dimension).cast("string").alias("segment"),
-            "month_start", "active_accounts", "total_mrr",
-        )
-        stacked = part if stacked is None else stacked.unionByName(part)
-    return stacked
+def monthly_mrr_by_dimension(spans: DataFrame, calendar: Calendar, tier: str, attribute: str) -> DataFrame:
+    """Monthly revenue by tier and by account attribute from one scan of the spans: dimension, segment,
+    month_start, active_accounts, total_mrr.
+
+    Each reign gives its edges for both dimensions, so one keyed step series serves them: the tier counts
+    every live reign that has one, the attribute only paying ones, and an opening row holds
+    the attribute's place from the first calendar month.
+    """
+    live, one, none = is_live(), F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    paying = F.when(F.col("mrr") > 0, one).otherwise(none)
+    of_tier = live & F.col("plan_tier").isNotNull()
+    of_attribute = live | is_opening()
+
+    def edge(dimension: str, column: str, wanted: Column, active: Column, sign: int) -> Column:
+        month = F.col("from_month") if sign > 0 else F.add_months("live_to", 1)
+        return F.when(wanted, F.struct(
+            F.lit(dimension).alias("dimension"), F.col(column).cast("string").alias("segment"),
+            month.alias("month_start"), (active * sign).alias("active_accounts"),
+            (F.col("mrr") if sign > 0 else -F.col("mrr")).alias("total_mrr"),
+            (one * sign if dimension == tier else none).alias("held"),
+        ))
+
+    edges = F.filter(F.array(*[
+        edge(dimension, column, wanted, active, sign)
+        for dimension, column, wanted, active in (
+            (tier, "plan_tier", of_tier, one), (attribute, attribute, of_attribute, paying))
+        for sign in (1, -1)
+    ]), lambda e: e.isNotNull())
+    changes = spans.where(F.col("is_known") & of_attribute).select(F.inline(edges))
+    keys, measures = ["dimension", "segment"], ["active_accounts", "total_mrr", "held"]
+    series = step_series(changes, keys, measures, calendar)
+    return series.where((F.col("dimension") != tier) | (F.col("held") > 0)).drop("held")
 
 
 def segment_domain(churn: DataFrame) -> DataFrame:

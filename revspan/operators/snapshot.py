@@ -127,6 +127,24 @@ def fact_sheet(facts: DataFrame, report: DataFrame,
 
     Every comparison is settled here, so that whoever writes prose from it computes nothing.
     """
+    return numbered_facts(facts, report, tier, industry).drop("position")
+
+
+def summary_documents(numbered: DataFrame, generator: str) -> DataFrame:
+    """One document per month: source_month, generator, generated_at, lines (fact_id, fact; in the sheet's
+    order) and the summary text of one line each. A month has as many lines as the sheet has facts."""
+    line = F.struct("position", "fact_id", "fact")
+    ordered = numbered.groupBy("source_month").agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    return ordered.select(
+        "source_month", F.lit(generator).alias("generator"), F.current_timestamp().alias("generated_at"),
+        F.transform("lines", lambda x: F.struct(x.fact_id.alias("fact_id"), x.fact.alias("fact"))).alias("lines"),
+        F.array_join(F.transform("lines", lambda x: F.coalesce(x.fact, F.lit(""))), "\n").alias("summary"),
+    )
+
+
+def numbered_facts(facts: DataFrame, report: DataFrame,
+                   tier: str = "plan_tier", industry: str = "industry") -> DataFrame:
+    """The fact sheet with each line's place in it: source_month, position (from 0), fact_id, fact."""
     reports = F.col("reports")
 
     def shown(value: Column) -> Column:
@@ -195,10 +213,11 @@ def fact_sheet(facts: DataFrame, report: DataFrame,
     ]
     lines = F.array(*[
         F.struct(
+            F.lit(position).alias("position"),
             F.lit(fact_id).alias("fact_id"),
             F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts]).alias("fact"),
         )
-        for fact_id, parts in facts_in_order
+        for position, (fact_id, parts) in enumerate(facts_in_order)
     ])
     return facts.withColumn("reports", _reports(report)).select(
         F.col("month_start").alias("source_month"), F.inline(lines)

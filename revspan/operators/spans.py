@@ -59,6 +59,7 @@ def account_spans(
     entry_prior: the account's revenue in the calendar month before from_month
     cohort_month: month of the account's first start (NULL on the opening row)
     is_first, is_known: first reign of the account; account exists in ``accounts``
+    paid_before: the account had revenue in some calendar month before from_month
     """
     openings = accounts.select(
         "account_id",
@@ -76,6 +77,8 @@ def account_spans(
     reaches_here = F.col("prev_last_full_month").isNull() | (F.col("prev_last_full_month") >= before)
     has_prior = F.col("prev_mrr").isNotNull() & reaches_here & (F.col("start_month") > calendar.first)
     alive_until = F.least("to_month", "last_full_month")
+    pays = ~F.col("opening") & (F.col("mrr") > 0) & (alive_until >= F.col("from_month"))
+    earlier = w.rowsBetween(Window.unboundedPreceding, -1)
     return (
         rows
         .select(
@@ -101,6 +104,7 @@ def account_spans(
             "cohort_month",
             (~F.col("opening") & F.coalesce("prev_opening", F.lit(True))).alias("is_first"),
             "is_known",
+            F.coalesce(F.bool_or(pays).over(earlier), F.lit(False)).alias("paid_before"),
             *[F.col(f"account_{a}").alias(a) for a in attributes],
         )
     )

@@ -85,6 +85,26 @@ def mrr_waterfall(spans: DataFrame, calendar: Calendar) -> DataFrame:
     )
 
 
+def new_mrr_split(spans: DataFrame, calendar: Calendar) -> DataFrame:
+    """New revenue of every month, split into that of accounts that never paid before and of returning ones.
+
+    month_start, new_mrr, first_mrr, returning_mrr, n_first, n_returning. Revenue out of nothing begins only
+    where a reign does, and whether the account has paid in an earlier calendar month is part of its span.
+    """
+    begins = spans.where(F.col("is_known") & is_live() & (movement_type(F.col("entry_prior"), F.col("mrr")) == NEW))
+    entries = begins.select(F.col("from_month").alias("month_start"), "mrr", "paid_before")
+    months = calendar.months(spans.sparkSession).select(
+        "month_start", no_money().alias("mrr"), F.lit(None).cast("boolean").alias("paid_before"))
+    returning = F.col("paid_before")
+    return entries.unionByName(months).groupBy("month_start").agg(
+        F.sum("mrr").alias("new_mrr"),
+        F.sum(F.when(~returning, F.col("mrr")).otherwise(no_money())).alias("first_mrr"),
+        F.sum(F.when(returning, F.col("mrr")).otherwise(no_money())).alias("returning_mrr"),
+        F.count_if(~returning).alias("n_first"),
+        F.count_if(returning).alias("n_returning"),
+    )
+
+
 def with_rates(waterfall: DataFrame) -> DataFrame:
     """Add gross churn, net churn and net revenue retention; NULL where starting_mrr is 0.
 

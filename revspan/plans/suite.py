@@ -118,9 +118,7 @@ class MetricSuite:
 
     @cached_property
     def segment_monthly(self) -> DataFrame:
-        return segments.monthly_mrr_by_dimension(
-            {self.tier: self.by_tier, self.attribute: self.by_attribute}
-        )
+        return segments.monthly_mrr_by_dimension(self.spans, self.calendar, self.tier, self.attribute)
 
     @cached_property
     def facts(self) -> DataFrame:

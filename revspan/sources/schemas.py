@@ -28,6 +28,7 @@ class TableSpec:
     not_null: tuple[str, ...]
     references: dict[str, tuple[str, str]] = field(default_factory=dict)
     surrogate_key: str | None = None
+    surrogate_order: tuple[str, ...] = ()
     has_free_text: bool = False
 
 
@@ -62,6 +63,7 @@ FEATURE_USAGE = TableSpec(
     ),
     "usage_pk", ("usage_id", "subscription_id", "usage_date"),
     {"subscription_id": ("subscriptions", "subscription_id")}, surrogate_key="usage_pk",
+    surrogate_order=("usage_date", "subscription_id", "usage_id"),
 )
 
 SUPPORT_TICKETS = TableSpec(

@@ -8,7 +8,9 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
+from revspan.sources.files import source_files
 from revspan.sources.schemas import TableSpec
+from revspan.sources.shared import stored
 
 _QUOTING = {"header": True, "escape": '"', "quote": '"'}
 
@@ -32,16 +34,61 @@ def read_table_csv(
 
 
 def with_surrogate_key(table: DataFrame, key: str) -> DataFrame:
-    """Add a unique, not consecutive, long key in front. Write the result once and read the
-    key back: it follows the input splits, so a recomputation elsewhere may differ."""
+    """Add a unique, not consecutive, long key in front, in one pass. It follows the input splits, so a
+    recomputation elsewhere may differ; loaded tables get with_dense_key instead."""
     return table.select(F.monotonically_increasing_id().alias(key), "*")
 
 
-def load_table(spark: SparkSession, path: str, spec: TableSpec, target: str) -> DataFrame:
-    """Full refresh of one table: CSV in, typed Parquet at ``target`` out."""
+def with_dense_key(table: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
+    """Add the key 1, 2, ... n in front, in the declared order; columns that are not named break ties.
+
+    Two passes: the rows are stored in ranges of the order, sorted, with range and place; then each range
+    starts where the counts of those before it end. Rows alike in all columns are interchangeable, so a
+    second load gives the same numbers, whatever ranges Spark has sampled. No task orders more than a range.
+    """
+    order = [*order, *[c for c in table.columns if c not in order]]
+    parts = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    at = F.monotonically_increasing_id()  # the range's number above 33 bits, the place in it below
+    ranged = table.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    placed = stored(ranged.select(
+        "*", F.shiftright(at, 33).alias("__range"), at.bitwiseAND(2**33 - 1).alias("__place")), "ranges")
+    counts = placed.groupBy("__range").agg(F.count("*").alias("n"))
+    add = lambda done, c: F.struct(
+        (done.total + c.n).alias("total"),
+        F.concat(done.starts, F.array(F.struct(c["__range"].alias("__range"), done.total.alias("before")))).alias("starts"))
+    nothing = F.expr("named_struct('total', 0L, 'starts', cast(array() as array<struct<__range: bigint, before: bigint>>))")
+    starts = counts.agg(F.array_sort(F.collect_list(F.struct("__range", "n"))).alias("ranges")).select(
+        F.inline(F.aggregate("ranges", nothing, add).starts))
+    numbered = placed.join(starts, "__range")
+    return numbered.select((F.col("before") + F.col("__place") + 1).alias(key), *table.columns)
+
+
+#: A file whose free text may hold line breaks is one task's work: larger ones are refused.
+MOST_FREE_TEXT = 512 * 2**20
+
+
+def _check_splits(table: DataFrame, spec: TableSpec, most: int) -> None:
+    files = source_files([table])
+    too_big = [f for f in files if f.size > most]
+    if too_big:
+        needed = -(-sum(f.size for f in files) // most)
+        raise ValueError(
+            f"{spec.name}: {len(too_big)} of {len(files)} files are over {most} bytes, and files with free text cannot be "
+            f"split; deliver at least {needed} files of up to {most} bytes")
+
+
+def load_table(
+    spark: SparkSession, path: str, spec: TableSpec, target: str, most_free_text: int = MOST_FREE_TEXT
+) -> DataFrame:
+    """Full refresh of one table: CSV in, typed Parquet at ``target`` out.
+
+    A declared surrogate key is dense and the same on every load. Tables with free text must come in files of
+    at most ``most_free_text`` bytes; a larger one raises and says how many files are needed."""
     table = read_table_csv(spark, path, spec)
+    if spec.has_free_text:
+        _check_splits(table, spec, most_free_text)
     if spec.surrogate_key:
-        table = with_surrogate_key(table, spec.surrogate_key)
+        table = with_dense_key(table, spec.surrogate_key, spec.surrogate_order)
     table.write.mode("overwrite").parquet(target)
     return spark.read.parquet(target)
 
