@@ -501,21 +501,47 @@ def test_no_link_at_the_threshold_is_lost(spark):
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
     got = embedding_dedup.embedding_near_duplicates(frame).collect()
     assert len(got) == 3000 and all(r.n_links == 1 and r.component_id == r.vec_id // 2 * 2 for r in got)
-    turned = b @ embedding_dedup.rotation(64, 0).T
-    assert embedding_dedup.may_link(*embedding_dedup.binary_codes(a), turned, 0.98).sum() < 1600  # the bound still rules out
+    codes = embedding_dedup.Codes.of(np.concatenate([a, b]))
+    left, right = embedding_dedup.open_pairs(codes, np.arange(1500), np.arange(1500, 3000), 0.98, False)
+    assert {(i, i + 1500) for i in range(1500)} <= set(zip(left.tolist(), right.tolist()))
+    assert len(left) < 1600  # of 2.25 million pairs the codes leave about the 1,500 links to be recomputed
 
 
 def test_estimates_are_unbiased_and_bounded():
     rng = np.random.default_rng(6)
-    x = rng.standard_normal((400, 64))
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    y = x + rng.standard_normal(x.shape) * 0.02
-    y /= np.linalg.norm(y, axis=1, keepdims=True)
-    code, factor = embedding_dedup.binary_codes(x)
-    turned = y @ embedding_dedup.rotation(64, 0).T
-    error = (code * turned).sum(axis=1) / 8 / factor - (x * y).sum(axis=1)
-    assert abs(error.mean()) < 0.02
-    assert np.diag(embedding_dedup.may_link(code, factor, turned, 0.98))[(x * y).sum(axis=1) >= 0.98].all()
+    for d, noise in ((64, 0.02), (64, 0.2), (40, 0.05), (200, 0.02)):
+        x = rng.standard_normal((2_000, d))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        y = x + rng.standard_normal(x.shape) * noise
+        y /= np.linalg.norm(y, axis=1, keepdims=True)
+        codes, at = embedding_dedup.Codes.of(np.concatenate([x, y])), np.arange(2_000)
+        assert codes.bits.shape == (4_000, -(-d // 64)) and codes.coarse.dtype == np.int8
+        cosine = (x * y).sum(axis=1)
+        error = embedding_dedup.estimates(codes, at, at + 2_000) - cosine
+        assert abs(error.mean()) < 0.006
+        links = cosine >= 0.9
+        assert (error >= -embedding_dedup.margin(codes, at, at + 2_000, 0.9))[links].all()
+
+
+def test_differing_bits_of_a_pair_at_the_threshold():
+    assert embedding_dedup.most_differing(64, 1.0) == 0 and embedding_dedup.most_differing(64, -1.0) == 64
+    few, many = embedding_dedup.most_differing(64, 0.98), embedding_dedup.most_differing(256, 0.98)
+    assert 18 <= few <= 26 and many / 256 < few / 64  # longer codes decide more
+
+
+def test_copies_bridges_and_long_vectors(spark):
+    rng = np.random.default_rng(9)
+    v, w = rng.standard_normal(130), rng.standard_normal(130)
+    rows = [(i, (v * (1 + i % 3)).tolist(), "x") for i in range(5, 45)]  # equal but for their length
+    rows += [(100, (v + 0.001 * w).tolist(), "x"), (7, w.tolist(), "x"), (3, (w * 2).tolist(), "x"), (7, w.tolist(), "x")]
+    rows += [(200, v.tolist(), "y"), (201, v[:129].tolist(), "x"), (None, v.tolist(), "x")]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string").withColumn("cls", F.lit(1))
+    got = {r.vec_id: r for r in embedding_dedup.embedding_near_duplicates(frame).collect()}
+    assert (got[100].n_links, got[100].component_id) == (40, 3) and (got[5].n_links, got[5].component_id) == (40, 3)
+    assert (got[7].n_links, got[7].component_id, got[7].kept) == (41, 3, False)  # two vectors: 39 copies, one near; one copy
+    assert (got[3].n_links, got[3].kept) == (1, True)
+    assert all((got[i].n_links, got[i].component_id) == (0, i) for i in (200, 201))
+    assert (got[None].n_links, got[None].component_id, got[None].kept) == (0, None, True)
 
 
 # Mixing
