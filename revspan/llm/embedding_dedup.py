@@ -33,8 +33,8 @@ from pyspark.sql.types import StructType
 from revspan.llm.common import checkpointed
 from revspan.llm.components import components
 
-BUCKET = 2_048  # classes of a label that are compared in one task
-TILE = 1_024  # classes of a larger label that meet another such block in one task
+BUCKET = 4_096  # classes of a label that are compared in one task
+TILE = 2_048  # classes of a larger label that meet another such block in one task
 MISS = 1e-12  # the chance that a pair at the threshold is ruled out, by either test
 _WORD = 64
 
