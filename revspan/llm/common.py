@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -10,11 +12,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in spark.checkpoint.dir, made the checkpoint folder if none is set.
 
-    Only a session without that setting (a test on one machine) gets a folder of its own."""
+    Only a session on one machine may go without that setting: it gets a folder of its own."""
     context = spark.sparkContext
     made = context._jsc.sc().getCheckpointDir()
     named = context.getConf().get("spark.checkpoint.dir")
     if made.isEmpty():
+        if not named and not re.match(r"local(\[|$)", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
         named = named or tempfile.mkdtemp(prefix="checkpoints-")
         context.setCheckpointDir(named)
     return (named or made.get()).rstrip("/")
@@ -52,3 +56,35 @@ def learnable(doc_id: Column) -> Column:
 def spread(column: Column, seed: int) -> Column:
     """A number in [0, 2^31) that depends on the value alone, for repeatable samples."""
     return F.shiftrightunsigned(F.xxhash64(column, F.lit(seed)), 33)
+
+
+def free_name(columns: Iterable[str], name: str) -> str:
+    """name, or name with underscores after it until no column is called so (case does not tell columns apart)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+MOST_BITS = 28  # of the broadcast filter: 32 MB
+_PAGE = 15  # bits that one row of the filter holds, as a power of two: what bitmap_construct_agg makes
+
+
+def marked(rows: DataFrame, hits: DataFrame, keys: Sequence[str | Column], of_hits: Sequence[str], mark: str) -> DataFrame:
+    """rows with a flag: false only where no hit has these keys, so that most other rows need no shuffle.
+
+    A bit is set for each hit's hashed keys; the bits are broadcast, 2^MOST_BITS / 8 bytes at most. With more
+    hits than that serves well, more rows are marked in vain, which a join on the keys puts right."""
+    size = min(MOST_BITS, max(_PAGE, (8 * hits.count()).bit_length()))
+    at, page, bits = (free_name(rows.columns, n) for n in ("__at", "__page", "__bits"))
+
+    def place(columns: Sequence[str | Column]) -> Column:
+        return F.pmod(F.xxhash64(*columns), F.lit(1 << size))
+
+    pages = hits.select(place(of_hits).alias(at)).groupBy(F.shiftright(at, _PAGE).alias(page)).agg(
+        F.bitmap_construct_agg(F.col(at).bitwiseAND((1 << _PAGE) - 1)).alias(bits))
+    placed = rows.withColumn(at, place(keys)).withColumn(page, F.shiftright(at, _PAGE)).join(F.broadcast(pages), page, "left")
+    byte = F.conv(F.hex(F.substring(bits, F.shiftright(F.col(at).bitwiseAND((1 << _PAGE) - 1), 3).cast("int") + 1, F.lit(1))),
+                  16, 10).cast("int")
+    is_set = F.getbit(byte, F.col(at).bitwiseAND(7).cast("int")) == 1
+    return placed.select(*[F.col(f"`{c}`") for c in rows.columns], F.coalesce(is_set, F.lit(False)).alias(mark))

@@ -15,11 +15,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
-from revspan.llm.common import checkpointed, shared_folder, shuffle_partitions
+from revspan.llm.common import checkpointed, marked, shared_folder, shuffle_partitions
 
 MAX_AGE = "36500d"  # the file source ignores new files that are older than the newest by more (7 days by default)
-MOST_BITS = 28  # of the broadcast filter of hits: 32 MB
-_PAGE = 15  # bits that one row of the filter holds, as a power of two: what bitmap_construct_agg makes
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 _STATE = {
@@ -86,29 +84,15 @@ def read_state(spark: SparkSession, state: str) -> DataFrame:
         F.col("key")[key].alias("digest"), F.col("value")[keep].alias("keep"), F.col("value")[n].alias("n"))
 
 
-def _near(rows: DataFrame, hits: DataFrame) -> DataFrame:
-    """rows (file, place, ...) without nearly all that are no hit, before anything is shuffled.
-
-    A bit is set for each hit's hashed locator; the bits are broadcast, 2^MOST_BITS / 8 bytes at most. With more
-    hits than that serves well, more other rows pass, which the join on the locator drops."""
-    size = min(MOST_BITS, max(_PAGE, (8 * hits.count()).bit_length()))
-    at = F.pmod(F.xxhash64("file", "place"), F.lit(1 << size))
-    bits = hits.select(at.alias("at")).groupBy(F.shiftright("at", _PAGE).alias("page")).agg(
-        F.bitmap_construct_agg(F.col("at").bitwiseAND((1 << _PAGE) - 1)).alias("bits"))
-    marked = rows.withColumn("at", at).withColumn("page", F.shiftright("at", _PAGE)).join(F.broadcast(bits), "page")
-    byte = F.conv(F.hex(F.substring("bits", F.shiftright(F.col("at").bitwiseAND((1 << _PAGE) - 1), 3).cast("int") + 1, F.lit(1))),
-                  16, 10).cast("int")
-    return marked.where(F.getbit(byte, F.col("at").bitwiseAND(7).cast("int")) == 1).drop("at", "page", "bits")
-
-
 def _collisions(docs: DataFrame, rows: DataFrame, entries: DataFrame) -> DataFrame:
     """Digests of which some row differs from the content at the entry's locator.
 
     Only hits are compared: their texts are fetched by locator once, and meet by digest."""
     is_kept = (F.col("file") == F.col("keep.file")) & (F.col("place") == F.col("keep.place"))
     hits = checkpointed(rows.join(entries.where("n > 1"), "digest").select("digest", "file", "place", is_kept.alias("is_kept")))
-    located = _near(_located(docs).drop("doc_id"), hits)
-    texts = checkpointed(located.join(hits, ["file", "place"]).select("digest", "content", "is_kept"))
+    place = ["file", "place"]
+    near = marked(_located(docs).drop("doc_id"), hits, place, place, "may_hit").where("may_hit").drop("may_hit")
+    texts = checkpointed(near.join(hits, ["file", "place"]).select("digest", "content", "is_kept"))
     kept = texts.where("is_kept").select("digest", F.col("content").alias("original"))
     return texts.where("not is_kept").join(kept, "digest").where("content <> original").select("digest").distinct()
 

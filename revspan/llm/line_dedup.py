@@ -11,14 +11,14 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from revspan.llm.common import checkpointed, shuffle_partitions
+from revspan.llm.common import checkpointed, free_name, marked, shuffle_partitions
 
 #: The white space that is stripped from both ends of a line to make its key.
 BLANKS = b" \t\n\x0b\x0c\r"
@@ -157,16 +157,19 @@ def repeated_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> D
     return found.where("pos >= 0 and h1 is null").unionByName(waited).select("doc", "body", "pos")
 
 
-def pack_kept(n_lines: int, dropped: list[int] | None) -> bytes:
-    """The compressed keep bitmap of a document: bit i is set when line i stays."""
-    keep = np.ones(n_lines, np.bool_)
-    if dropped:
-        keep[dropped] = False
-    return zlib.compress(np.packbits(keep).tobytes(), 1)
+def pack_kept(dropped: Sequence[int]) -> bytes:
+    """The compressed keep bitmap of a document: bit i is set when line i stays. It ends with the last line
+    that goes; all lines after it stay."""
+    keep = np.ones(max(dropped, default=-1) + 1, np.bool_)
+    keep[list(dropped)] = False
+    return zlib.compress(np.int64(len(keep)).tobytes() + np.packbits(keep).tobytes(), 1)
 
 
 def unpack_kept(bitmap: bytes, n_lines: int) -> np.ndarray:
-    return np.unpackbits(np.frombuffer(zlib.decompress(bitmap), np.uint8), count=n_lines).astype(bool)
+    (stored,) = np.frombuffer(zlib.decompress(bitmap), "<i8", 1)
+    keep = np.ones(n_lines, bool)
+    keep[:stored] = np.unpackbits(np.frombuffer(zlib.decompress(bitmap), np.uint8, offset=8), count=stored)
+    return keep
 
 
 def kept_text(text: str | None, bitmap: bytes) -> str:
@@ -178,14 +181,28 @@ def kept_text(text: str | None, bitmap: bytes) -> str:
 
 def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts, dropped = batch.column("text").to_pylist(), batch.column("dropped").to_pylist()
-        n_lines = [(t or "").count("\n") + 1 for t in texts]
+        dropped = batch.column("dropped").to_pylist()
         yield pa.RecordBatch.from_arrays(
-            [*batch.columns[:-1], pa.array(n_lines, pa.int64()),
-             pa.array([len(d or ()) for d in dropped], pa.int64()),
-             pa.array([pack_kept(n, d) for n, d in zip(n_lines, dropped)], pa.binary())],
-            names=[*batch.schema.names[:-1], "n_lines", "n_dropped", "keep_bitmap"],
-        )
+            [*batch.columns[:-1], pa.array(map(len, dropped), pa.int64()), pa.array(map(pack_kept, dropped), pa.binary())],
+            names=[*batch.schema.names[:-1], "n_dropped", "keep_bitmap"])
+
+
+def keep_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataFrame:
+    """(doc, body, n_dropped, keep_bitmap) of every document that loses a line; checkpointed.
+
+    All that the sorted stream gives back: no text has been touched since its lines were hashed."""
+    places = repeated_lines(docs, min_docs, min_chars).groupBy("doc", "body").agg(F.collect_set("pos").alias("dropped"))
+    return checkpointed(places.mapInArrow(_bitmaps, "doc long, body long, n_dropped long, keep_bitmap binary"))
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    whole = pack_kept(())
+    for batch in batches:
+        n_lines = [(t or "").count("\n") + 1 for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), batch.column("text"), pa.array(n_lines, pa.int64()),
+             batch.column("n_dropped").fill_null(0), batch.column("keep_bitmap").fill_null(whole)],
+            names=["doc_id", "text", "n_lines", "n_dropped", "keep_bitmap"])
 
 
 def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataFrame:
@@ -194,34 +211,43 @@ def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataF
     Lines whose key (stripped, A-Z lower-cased) of at least min_chars code points is found in at
     least min_docs documents lose all their occurrences. A NULL or empty text is one empty line,
     which always stays. Rows with the same doc_id (or none) and the same text count as one
-    document and get the same bitmap. Other columns are not read. An empty table gives no rows."""
-    places = repeated_lines(docs, min_docs, min_chars).groupBy("doc", "body").agg(
-        F.collect_set("pos").alias("dropped"))
-    whole = _identified(docs).withColumn("doc_id", F.col("doc")).join(places, ["doc", "body"], "left")
-    marked = whole.select("doc_id", "text", "dropped").mapInArrow(
-        _bitmaps, "doc_id long, text string, n_lines long, n_dropped long, keep_bitmap binary")
-    return marked.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
-
+    document and get the same bitmap. Other columns are not read. An empty table gives no rows.
+    Texts that lose nothing are not shuffled, but for a few that a filter lets pass."""
+    bitmaps = keep_bitmaps(docs, min_docs, min_chars)
+    rows = marked(_identified(docs), bitmaps, ["doc", "body"], ["doc", "body"], "may_lose")
+    near = rows.where("may_lose").join(bitmaps, ["doc", "body"], "left")
+    columns = ["doc", "text", "n_dropped", "keep_bitmap"]
+    both = near.select(*columns).unionByName(rows.where("not may_lose").select("doc", "text"), allowMissingColumns=True)
+    return both.select(F.nullif("doc", F.lit(NO_ID)).alias("doc_id"), *columns[1:]).mapInArrow(
+        _counted, "doc_id long, text string, n_lines long, n_dropped long, keep_bitmap binary")
+
+
+def _rewritten(bitmap_name: str):
+    def rewritten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = dict(zip(batch.schema.names, batch.columns))
+            bitmaps = columns.pop(bitmap_name).to_pylist()
+            columns["text"] = pa.array(
+                [kept_text(t, m) if m else t for t, m in zip(columns["text"].to_pylist(), bitmaps)], pa.string())
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-def _rewritten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        columns = dict(zip(batch.schema.names, batch.columns))
-        dropped = columns.pop("__dropped").to_pylist()
-        texts = columns["text"].to_pylist()
-        columns["text"] = pa.array([
-            kept_text(t, pack_kept(t.count("\n") + 1, d)) if d else t for t, d in zip(texts, dropped)
-        ], pa.string())
-        yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+    return rewritten
 
 
 def without_repeated_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataFrame:
-    """docs with the same columns, repeated lines taken out of text. NULL texts stay NULL."""
-    places = repeated_lines(docs, min_docs, min_chars).groupBy("doc", "body").agg(
-        F.collect_set("pos").alias("__dropped")).select(
-        F.col("doc").alias("__doc"), F.col("body").alias("__body"), "__dropped")
-    joined = docs.join(places, (F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == F.col("__doc"))
-                       & (F.xxhash64(docs["text"]) == F.col("__body")), "left").drop("__doc", "__body")
-    return joined.mapInArrow(_rewritten, docs.schema)
+    """docs with the same columns, whatever their names, repeated lines taken out of text. NULL texts stay NULL.
+
+    Texts that lose nothing are passed on as they are, without a shuffle."""
+    names = {n: free_name(docs.columns, f"__{n}") for n in ("doc", "body", "keep_bitmap", "may_lose")}
+    bitmaps = keep_bitmaps(docs, min_docs, min_chars).select(*[F.col(n).alias(names[n]) for n in ("doc", "body", "keep_bitmap")])
+    key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), F.xxhash64("text")]
+    on = [names["doc"], names["body"]]
+    rows = marked(docs, bitmaps, key, on, names["may_lose"])
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    near = rows.where(F.col(names["may_lose"])).withColumns(dict(zip(on, key))).join(bitmaps, on, "left").select(
+        *own, names["keep_bitmap"])
+    return near.mapInArrow(_rewritten(names["keep_bitmap"]), docs.schema).unionByName(
+        rows.where(~F.col(names["may_lose"])).select(*own))
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -122,6 +122,11 @@ def block_permutations(tokens: DataFrame, weighted: DataFrame, seed: int = 0) ->
         F.coalesce(F.col("before") / F.col("budget"), F.lit(0.0)).alias("progress"))
 
 
+#: Names of the columns that mixing adds or works with.
+ADDED = ("n_tokens", "pass", "block", "weight", "before", "progress", "budget", "passes", "__source", "__all", "__blocks",
+         "__key", "__size", "__sum", "__start", "__in")
+
+
 def temperature_mix(
     docs: DataFrame, *, target_entropy: float | None = None, max_passes: float | None = None,
     budget: float | None = None, seed: int = 0,
@@ -132,8 +137,7 @@ def temperature_mix(
     each may be NULL. An empty text has no tokens and takes none of a budget. Equal rows are
     separate rows. An empty table gives no rows; further columns of docs are kept, but for those
     with the names added here."""
-    added = ("n_tokens", "pass", "block", "weight", "before", "progress", "budget", "passes")
-    tokens = docs.select(*[c for c in docs.columns if c not in added], token_count(F.col("text")).alias("n_tokens"))
+    tokens = docs.select(*[c for c in docs.columns if c.lower() not in ADDED], token_count(F.col("text")).alias("n_tokens"))
     shares = source_shares(tokens)
     if max_passes is not None:
         exponent = exponent_for_repeats(shares, max_passes)

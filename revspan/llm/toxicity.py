@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from revspan.llm.char_ngrams import CHUNK, ngram_buckets, present
-from revspan.llm.common import checkpointed, held_out, learnable, spread
+from revspan.llm.common import free_name, checkpointed, held_out, learnable, spread
 
 ORDERS = (3, 4, 5, 6)
 BITS = 22
@@ -144,22 +144,23 @@ def passage_sums(text: str | None, number: np.ndarray, weights: np.ndarray) -> n
     return np.bincount(pairs // kept, weights[pairs % kept], passages)
 
 
-def _scored(model: ToxicityModel):
+def _scored(model: ToxicityModel, name: str):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = _numbers(model.buckets)
         for batch in batches:
             z = np.array([passage_sums(t, number, model.weights).max()
                           for t in batch.column("text").to_pylist()], np.float64) + model.bias
             scores = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], names=[*batch.schema.names, "__score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], names=[*batch.schema.names, name])
 
     return score
 
 
-def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """docs with __score (0 to 1); a NULL or empty text gets the score of a text without n-grams."""
-    schema = StructType([*docs.schema.fields, StructField("__score", DoubleType())])
-    return docs.mapInArrow(_scored(model), schema)
+def score_toxicity(docs: DataFrame, model: ToxicityModel, name: str = "score") -> DataFrame:
+    """docs with the score (0 to 1) under a name that docs does not have; a NULL or empty text gets that of a
+    text without n-grams."""
+    schema = StructType([*docs.schema.fields, StructField(name, DoubleType())])
+    return docs.mapInArrow(_scored(model, name), schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, limit: float = LIMIT) -> DataFrame:
@@ -169,10 +170,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, limit: float = LIMIT) -> DataFr
     out and not learned from. Other columns are not read. An empty table gives no rows."""
     scored = score_toxicity(docs.select("doc_id", "text"), fit_toxicity(docs, labels))
     return scored.select(
-        "doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("__score").alias("score"),
-        (F.col("__score") >= limit).cast("int").alias("predicted"))
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
+        (F.col("score") >= limit).cast("int").alias("predicted"))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, limit: float = LIMIT) -> DataFrame:
-    """docs, same columns, without the rows predicted toxic."""
-    return score_toxicity(docs, fit_toxicity(docs, labels)).where(F.col("__score") < limit).drop("__score")
+    """docs, same columns, whatever their names, without the rows predicted toxic."""
+    name = free_name(docs.columns, "score")
+    return score_toxicity(docs, fit_toxicity(docs, labels), name).where(F.col(name) < limit).drop(name)

@@ -14,7 +14,7 @@ import corpus_pipeline
 from revspan.llm import (
     embedding_dedup, exact_dedup, html_text, langid, line_dedup, mixing, ngram_join, pii, queries, sentencepiece_codec, toxicity,
 )
-from revspan.llm.common import fold
+from revspan.llm.common import fold, free_name, marked
 from revspan.llm.components import components
 from tests.conftest import SF
 from tests.oracle_check import connect, duck_rows, spark_rows
@@ -362,9 +362,10 @@ def test_an_empty_table_of_documents(spark, tmp_path):
 def test_hits_pass_the_filter_and_few_others_do(spark):
     rows = spark.range(200_000).select(F.lit("f").alias("file"), F.col("id").alias("place"), F.lit("text").alias("content"))
     hits = rows.where("place % 100 = 7").drop("content")
-    near = exact_dedup._near(rows, hits)
-    assert near.where("place % 100 = 7").count() == 2_000 and near.count() < 40_000
-    assert near.columns == rows.columns
+    near = marked(rows, hits, ["file", "place"], ["file", "place"], "near")
+    assert near.columns == [*rows.columns, "near"] and near.count() == 200_000
+    assert near.where("near and place % 100 = 7").count() == 2_000 and near.where("near").count() < 40_000
+    assert marked(rows, hits.limit(0), ["file", "place"], ["file", "place"], "near").where("near").count() == 0
 
 
 def test_a_restart_reads_old_files_too(spark, tmp_path):
@@ -673,6 +674,64 @@ def test_pipeline_stages_against_brute_force(spark):
     assert tokens.count() == mixed.count() and tokens.where("not round_trip or not parity").count() == 0
 
 
+def test_stages_keep_odd_rows_and_clashing_columns(spark, tmp_path, labels):
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    extra = ["__score", "score", "__doc", "__body", "__keep_bitmap", "__may_lose", "__at", "budget", "weight", "pass", "block",
+             "__source", "n_tokens", "__part", "node", "component", "key"]
+    shared = "the same line"
+    rows = [(None, None, None, None), (None, f"a\n{shared}", "en", None), (1, "", "en", "s"), (4, None, "en", "s"),
+            *[(i, f"own words of number {i}\n{shared}\nend {i}", "en", "s") for i in range(10, 24)],
+            (10, f"own words of number 10\n{shared}\nend 10", "en", "s"), (30, "long " * 60_000 + f"\n{shared}", "en", "t")]
+    docs = make_docs(spark, rows).select("*", *[F.lit(i).alias(c) for i, c in enumerate(extra)])
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        for some in (docs, docs.limit(0)):
+            out = stage(spark, some, str(tmp_path))
+            assert out.columns == docs.columns, name
+            got = out.collect()
+            assert {tuple(r)[-len(extra):] for r in got} <= {tuple(range(len(extra)))}
+            kept[name, some is docs] = sorted(((r.doc_id, r.text) for r in got), key=str)
+    everything = sorted(((i, t) for i, t, *_ in rows), key=str)
+    assert kept["toxicity", True] == everything and all(kept[n, False] == [] for n, _ in corpus_pipeline.STAGES[:-1])
+    less = sorted(((i, t if t is None else "\n".join(x for x in t.split("\n") if x != shared)) for i, t in everything), key=str)
+    assert kept["line_dedup", True] == less
+    assert kept["ngram_join", True] == everything  # nothing here is alike in five-word runs but the repeated row, by id
+    assert set(kept["mixing", True]) == set(everything) and len(kept["mixing", True]) >= len(everything)
+    tokens = corpus_pipeline.to_tokens(spark, docs, str(tmp_path))
+    assert tokens.count() == len(rows)
+
+
+def test_free_names():
+    assert free_name(["a", "B"], "c") == "c" and free_name(["a", "A_"], "a") == "a__"
+
+
+def test_parts_are_read_in_the_order_of_their_numbers(spark, tmp_path):
+    for part, i in ((99999, 1), (100000, 2), (2, 0), (100001, 3)):
+        make_docs(spark, [(i, f"text {i}")]).coalesce(1).write.parquet(f"{tmp_path}/one{i}")
+        (name,) = [f for f in os.listdir(f"{tmp_path}/one{i}") if f.endswith(".parquet")]
+        os.makedirs(f"{tmp_path}/all", exist_ok=True)
+        os.rename(f"{tmp_path}/one{i}/{name}", f"{tmp_path}/all/part-{part:05d}-x.snappy.parquet")
+    read = spark.read.parquet(f"{tmp_path}/all")
+    assert [r.doc_id for r in corpus_pipeline.in_written_order(read).collect()] == [0, 1, 2, 3]
+
+
+def test_keep_bitmaps():
+    for dropped, n in (((), 1), ((0,), 1), ((2, 5), 6), ((2, 5), 40), (range(0, 30, 2), 31), ((8,), 9), ((7,), 20)):
+        keep = line_dedup.unpack_kept(line_dedup.pack_kept(list(dropped)), n)
+        assert keep.tolist() == [i not in set(dropped) for i in range(n)]
+
+
+def test_texts_that_lose_nothing_are_not_shuffled(spark):
+    docs = make_docs(spark, [(i, f"line {i}" if i < 500 else f"own {i}\nshared") for i in range(515)])
+    out = line_dedup.line_dedup(docs)
+    assert {r.doc_id for r in out.where("n_dropped = 1").collect()} == set(range(500, 515))
+    assert keep_rows(line_dedup.keep_bitmaps(docs)) == {i: [True, False, True] for i in range(500, 515)}
+
+
+def keep_rows(bitmaps):
+    return {r.doc: line_dedup.unpack_kept(r.keep_bitmap, 3).tolist() for r in bitmaps.collect()}
+
+
 def test_the_mixed_order_reaches_the_tokens(spark, tmp_path):
     rng = random.Random(21)
     docs = make_docs(spark, [(i, "w " * rng.randint(1, 400), "en", rng.choice("aaaab")) for i in range(600)])
