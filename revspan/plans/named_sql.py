@@ -12,7 +12,8 @@ from importlib.resources import files
 from pyspark.sql import DataFrame, SparkSession
 
 _FOLDER = files("revspan") / "sql"
-#: Table functions that others call come first.
+#: Helpers that the metrics share, made before them.
+_SHARED = ("helpers", "monthly_flows")
 SQL_METRICS = (
     "mrr_waterfall", "gross_net_churn_and_nrr", "cohort_retention", "segment_plan_tier_churn",
     "segment_monthly_mrr", "segment_industry_churn", "segment_monthly_industry_mrr",
@@ -22,14 +23,14 @@ _WITHOUT_MONTHS = frozenset(("segment_plan_tier_churn", "segment_industry_churn"
 
 def metric_sql(name: str) -> str:
     """The text of a named metric."""
-    if name not in (*SQL_METRICS, "helpers"):
+    if name not in (*SQL_METRICS, *_SHARED):
         raise KeyError(name)
     return (_FOLDER / f"{name}.sql").read_text()
 
 
 def create_functions(spark: SparkSession) -> None:
     """Register the metrics as temporary functions. The views they read must be there."""
-    for name in ("helpers", *SQL_METRICS):
+    for name in (*_SHARED, *SQL_METRICS):
         spark.sql(metric_sql(name).strip().rstrip(";"))
 
 

@@ -6,8 +6,8 @@ RETURNS TABLE (
     nrr_pct DECIMAL(31, 2))
 RETURN
     WITH flows AS (
-        SELECT w.*, contraction_mrr + churned_mrr AS lost
-        FROM metric_mrr_waterfall(first_month, last_month) AS w
+        SELECT *, contraction_mrr + churned_mrr AS lost
+        FROM monthly_flows WHERE month_start BETWEEN first_month AND last_month
     )
     SELECT month_start, starting_mrr, expansion_mrr, contraction_mrr, churned_mrr,
            0.01 * rounded_ratio(-lost, starting_mrr, 10000),

@@ -4,12 +4,5 @@ RETURNS TABLE (
     month_start DATE, starting_mrr DECIMAL(22, 2), new_mrr DECIMAL(22, 2), expansion_mrr DECIMAL(22, 2),
     contraction_mrr DECIMAL(22, 2), churned_mrr DECIMAL(22, 2), ending_mrr DECIMAL(22, 2))
 RETURN
-    SELECT month_start, sum(prior_mrr),
-           coalesce(sum(mrr_delta) FILTER (WHERE movement_type = 'new'), 0),
-           coalesce(sum(mrr_delta) FILTER (WHERE movement_type = 'expansion'), 0),
-           coalesce(sum(mrr_delta) FILTER (WHERE movement_type = 'contraction'), 0),
-           coalesce(sum(mrr_delta) FILTER (WHERE movement_type = 'churned'), 0),
-           sum(current_mrr)
-    FROM account_mrr_changes
-    WHERE month_start BETWEEN first_month AND last_month
-    GROUP BY month_start;
+    SELECT month_start, starting_mrr, new_mrr, expansion_mrr, contraction_mrr, churned_mrr, ending_mrr
+    FROM monthly_flows WHERE month_start BETWEEN first_month AND last_month;
