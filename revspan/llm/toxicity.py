@@ -2,7 +2,9 @@
 
 Each hashed n-gram has the log ratio of its smoothed frequencies in toxic and clean texts. A text is the
 vector of the ratios of the n-grams it has, and a logistic regression on such vectors gives the
-score. Ratios and regression are fitted on a repeatable sample of at most SAMPLE labelled texts.
+score. Every n-gram of the texts that are learned from is counted; those whose frequencies differ between
+the classes by SURE standard errors or more carry weight, however many they are. Ratios and regression
+are fitted on a repeatable sample of at most SAMPLE labelled texts.
 
 Every whole text is scored, in passages of PASSAGE characters that overlap by half; its score is that
 of its most toxic passage. So the score does not grow with the length, and one toxic passage
@@ -26,8 +28,7 @@ from revspan.llm.common import free_name, checkpointed, held_out, learnable, spr
 ORDERS = (3, 4, 5, 6)
 BITS = 22
 SAMPLE = 6_000  # labelled texts that are learned from, at most
-FEATURES = 5_000  # n-grams kept, those that differ most surely between the classes
-PER_TEXT = 8  # n-grams kept for each text that is learned from, at most
+SURE = 3.0  # standard errors by which an n-gram's frequencies differ between the classes; by chance 0.3 % differ so much
 PASSAGE = 4_000  # characters that are scored together
 LIMIT = 0.7  # scores from here on are predicted toxic
 _PARTS = 8
@@ -54,6 +55,17 @@ def _class_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                                          names=["counts", "texts"])
 
 
+def _sure_ratios(counts: np.ndarray, clean: int, toxic: int) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets whose frequencies surely differ between the classes, ascending, and their log-count ratios."""
+    seen = np.flatnonzero(counts.any(axis=0))
+    held = counts[:, seen].astype(np.float64)
+    share = (held + 0.5) / (np.array([[clean], [toxic]]) + 1.0)
+    pooled = (held.sum(axis=0) + 1) / (clean + toxic + 2)
+    error = np.sqrt(pooled * (1 - pooled) * (1 / clean + 1 / toxic))
+    sure = np.abs(share[1] - share[0]) >= SURE * error
+    return seen[sure], np.log(share[1] / share[0])[sure]
+
+
 def _numbers(chosen: np.ndarray) -> np.ndarray:
     """For each bucket its place among the chosen, or -1."""
     number = np.full(1 << BITS, -1, np.int32)
@@ -103,10 +115,14 @@ def _regress(found: list[np.ndarray], labels: np.ndarray, ratio: np.ndarray, ste
 def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicityModel:
     """Learn from docs (doc_id, text) whose label (doc_id, toxic 0 or 1) is known and not held out.
 
-    Without labels of both classes the model scores every text by the share of toxic labels."""
+    Without labels of both classes every text gets the score of the one there is; where no n-gram is sure, as with very
+    few labels, every text gets about the share of toxic labels."""
     known = labels.where(learnable(F.col("doc_id")) & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(
         F.max("toxic").alias("label"))
-    chosen = known.orderBy(spread(F.col("doc_id"), 2), "doc_id").limit(sample)  # so the broadcast is bounded
+    # A limit on the hash leaves about one and a half times the sample, so that few rows are put in order.
+    share = min(1.0, 1.5 * sample / max(1, known.count()))
+    at = spread(F.col("doc_id"), 2)
+    chosen = known.where(at < int(share * 2**31)).orderBy(at, "doc_id").limit(sample)  # so the broadcast is bounded
     learned = checkpointed(docs.select("doc_id", F.col("text")).join(F.broadcast(chosen), "doc_id").select(
         F.coalesce("text", F.lit("")).alias("text"), F.col("label").cast("int")).repartition(_PARTS))
     parts = learned.mapInArrow(_class_counts, "counts binary, texts binary").collect()  # _PARTS rows
@@ -115,14 +131,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> To
         counts += np.frombuffer(zlib.decompress(p.counts), np.int32).reshape(2, -1)
     if not clean or not toxic:
         return ToxicityModel(np.empty(0, np.int64), np.empty(0), 20.0 if toxic else -20.0)
-    often = np.flatnonzero(counts.sum(axis=0) >= 3)
-    counts = counts[:, often].astype(np.float64)
-    share = (counts + 0.5) / (np.array([[clean], [toxic]]) + 1.0)
-    ratio = np.log(share[1] / share[0])
-    pooled = (counts.sum(axis=0) + 1) / (clean + toxic + 2)
-    surety = np.abs(share[1] - share[0]) / np.sqrt(pooled * (1 - pooled) * (1 / clean + 1 / toxic))
-    best = np.sort(np.argsort(-surety, kind="stable")[:min(FEATURES, PER_TEXT * int(clean + toxic))])
-    picked, ratio = often[best], ratio[best]
+    picked, ratio = _sure_ratios(counts, clean, toxic)
     rows = learned.mapInArrow(_chosen_features(picked), "label int, found binary").collect()  # bounded by sample
     found = [np.frombuffer(r.found, np.int32) for r in rows]
     w, bias = _regress(found, np.array([r.label for r in rows], float), ratio)

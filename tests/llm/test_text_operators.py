@@ -750,3 +750,14 @@ def test_the_mixed_order_reaches_the_tokens(spark, tmp_path):
         met = [next(place[i]) for i in ids]
         assert met == sorted(met)
     assert corpus_pipeline.to_tokens(spark, docs, SF).count() == 600  # rows that were not read from files
+
+
+def test_every_n_gram_that_surely_differs_has_a_weight():
+    rng = np.random.default_rng(8)
+    counts = np.zeros((2, 1 << toxicity.BITS), np.int32)
+    counts[0, :200_000], counts[1, :200_000] = rng.binomial(900, 0.2, 200_000), rng.binomial(100, 0.2, 200_000)
+    by_chance = len(toxicity._sure_ratios(counts, 900, 100)[0])
+    counts[1, :20_000] = 90  # more than any fixed number of features
+    buckets, ratio = toxicity._sure_ratios(counts, 900, 100)
+    assert set(range(20_000)) <= set(buckets.tolist()) and by_chance < 0.01 * 200_000
+    assert len(buckets) <= 20_000 + by_chance and (ratio[:20_000] > 1).all()
