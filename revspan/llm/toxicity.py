@@ -57,13 +57,16 @@ def _class_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def _sure_ratios(counts: np.ndarray, clean: int, toxic: int) -> tuple[np.ndarray, np.ndarray]:
     """The buckets whose frequencies surely differ between the classes, ascending, and their log-count ratios."""
-    seen = np.flatnonzero(counts.any(axis=0))
-    held = counts[:, seen].astype(np.float64)
-    share = (held + 0.5) / (np.array([[clean], [toxic]]) + 1.0)
-    pooled = (held.sum(axis=0) + 1) / (clean + toxic + 2)
-    error = np.sqrt(pooled * (1 - pooled) * (1 / clean + 1 / toxic))
-    sure = np.abs(share[1] - share[0]) >= SURE * error
-    return seen[sure], np.log(share[1] / share[0])[sure]
+    found = []
+    for start in range(0, counts.shape[1], 1 << 18):  # bounds what is in memory at once
+        held = counts[:, start: start + (1 << 18)].astype(np.float64)
+        share = (held + 0.5) / (np.array([[clean], [toxic]]) + 1.0)
+        pooled = (held.sum(axis=0) + 1) / (clean + toxic + 2)
+        error = np.sqrt(pooled * (1 - pooled) * (1 / clean + 1 / toxic))
+        sure = held.any(axis=0) & (np.abs(share[1] - share[0]) >= SURE * error)
+        found.append((start + np.flatnonzero(sure), np.log(share[1] / share[0])[sure]))
+    buckets, ratios = zip(*found)
+    return np.concatenate(buckets), np.concatenate(ratios)
 
 
 def _numbers(chosen: np.ndarray) -> np.ndarray:
