@@ -1,8 +1,10 @@
 """Personal data by weak supervision.
 
-Every whole text is scanned for candidate spans: matches of the base patterns, their failed matches, and
-looser forms (national phone numbers, spelled-out addresses, IPv6, secrets after a sign, titled
-names). Regex, gazetteer and context labelers vote on each candidate: 1 for, -1 against, 0 silent.
+Every whole text is scanned for candidate spans. Patterns propose matches of the base forms, their failed
+matches, and looser forms (national phone numbers, spelled-out addresses, colon groups, secrets after a
+sign, titled names); gazetteers propose known prefixes of secrets and first names with what follows them;
+context proposes what stands after a cue word. Of overlapping proposals of a kind the first proposer's
+stays. Regex, gazetteer and context labelers vote on each candidate: 1 for, -1 against, 0 silent.
 Expectation-maximisation over the counts of vote patterns (at most KINDS * 3^labelers rows) estimates
 how reliable each labeler is for each kind; with the resulting soft labels a logistic span classifier on
 votes, shape and surroundings is trained on at most SAMPLE candidates. Valid base matches are always
@@ -12,7 +14,9 @@ spans; every other candidate is one when the classifier says so.
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,8 +40,9 @@ _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 
 # Looser forms.
 _NATIONAL = re.compile(r"(?<![0-9+(])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])")
-_SPELLED = re.compile(r"[A-Za-z0-9._%+-]{1,64} ?[\[(]at[\])] ?[A-Za-z0-9-]{1,63}(?: ?(?:\.|[\[(]dot[\])]) ?[A-Za-z0-9-]{1,63})+")
-_IPV6 = re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])")
+_AT = re.compile(r" ?[\[(]at[\])] ?")
+_SPELLED_DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:(?:\.| \. | ?[\[(]dot[\])] ?)[A-Za-z0-9-]++)+")
+_GROUPS = re.compile(r"(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![0-9A-Za-z:])")
 _SECRET = re.compile(r"[=:] ?[\"']?([A-Za-z0-9_+][A-Za-z0-9_/+.-]{15,})")
 _NAMED = re.compile(r"\b(?:Mrs?|Ms|Miss|Mme|Dr|Prof|Herr|Frau|Sra?)\.? ([A-ZÀ-Þ][\w'-]+(?: [A-ZÀ-Þ][\w'-]+)?)")
 
@@ -54,8 +59,24 @@ _CUES = {
     "phone": ("phone", "tel", "call", "mobile", "fax", "handy", "móvil"),
     "secret": ("token", "key", "secret", "passw", "pwd", "auth", "bearer", "credential"), "name": ("name", "dear", "signed"),
 }
+#: Words after a title or a greeting that name no one.
+_NO_NAMES = frozenset("All Colleague Colleagues Copy Customer Customers Everyone Friend Friends Guest Madam None Reader Readers "
+                      "Required Sir Sirs Team Unknown User Users".split())
 _AGAINST = ("version", "order", "isbn", "issn", "section", "chapter", "figure", "sha", "build", "release")
 
+# What gazetteers and context propose.
+_PREFIXES = ("sk_", "pk_", "ghp_", "AKIA", "xox")
+_PREFIXED = re.compile(rf"(?<![A-Za-z0-9_])(?:{'|'.join(_PREFIXES)})[A-Za-z0-9_/+-]{{12,}}")
+_FIRST_AND_LAST = re.compile(rf"(?<!\w)(?:{'|'.join(sorted(_FIRST_NAMES))})(?: [A-ZÀ-Þ][\w'-]+)+")
+_CUED = {
+    "secret": re.compile(r"(?i:token|key|secret|passw(?:or)?d|pwd|auth|bearer|credentials?)[\"']?[ :=]{1,3}(?:is )?[\"']?"
+                         r"([A-Za-z0-9_+][A-Za-z0-9_/+.-]{15,})"),
+    "phone": re.compile(r"(?i:\b(?:phone|tel|call|mobile|fax|handy|móvil))[.:]?(?: (?:us|me|at|number|is))?:? ?"
+                        r"([(0-9][0-9 ()./-]{5,}[0-9])(?![0-9])"),
+    "email": re.compile(r"([A-Za-z0-9._%+-]++ at [A-Za-z0-9-]++(?: dot [A-Za-z0-9-]++)+)"),
+    "name": re.compile(r"(?i:\b(?:dear|signed(?: by)?|name(?: is)?))[:,]? ([A-ZÀ-Þ][\w'-]+(?: [A-ZÀ-Þ][\w'-]+)?)"),
+}
+
 LABELERS = ("pattern", "check", "gazetteer", "cue", "counter_cue", "surroundings")
 
 _SPAN = pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_()),
@@ -82,39 +103,111 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", done)
 
 
-def _candidates(text: str) -> Iterator[tuple[int, int, int, bool, bool]]:
-    """(kind, start, end, is a base span, passes the kind's check) of every candidate."""
+def _spelled(text: str) -> Iterator[tuple[int, int]]:
+    """Addresses with a word in brackets for the @, of any length."""
+    done = 0
+    for at in _AT.finditer(text):
+        start = done + len(text[done:at.start()].rstrip(_LOCAL))
+        found = _SPELLED_DOMAIN.match(text, at.end()) if start < at.start() else None
+        if found:
+            yield start, found.end()
+        done = found.end() if found else at.end()
+
+
+def _secret_like(span: str) -> bool:
+    """Two of lower case, upper case and digits, and 16 characters or more without a separator between them."""
+    mixed = sum(bool(re.search(c, span)) for c in ("[a-z]", "[A-Z]", "[0-9]"))
+    return mixed >= 2 and max(map(len, re.split(r"[-_/.+]", span))) >= 16
+
+
+def _name_like(span: str) -> bool:
+    words = span.split()
+    return all(w[1:].islower() and w.isalpha() or "'" in w or "-" in w for w in words) and _NO_NAMES.isdisjoint(words)
+
+
+def _is_ipv6(span: str) -> bool:
+    try:
+        return ipaddress.IPv6Address(span).version == 6
+    except ValueError:
+        return False
+
+
+def _proposed(text: str) -> Iterator[tuple[int, int, int, bool, bool, bool]]:
+    """(kind, start, end, is a base span, matches a pattern of its kind, passes the kind's check); proposers by turns."""
     for a, b in _emails(text):
-        yield 0, a, b, True, not text[b - 1].isdigit()
+        yield 0, a, b, True, True, not text[b - 1].isdigit()
     for m in _IP.finditer(text):
         ok = all(len(p.lstrip("0")) <= 3 and int(p[-3:] if p.lstrip("0") else "0") <= 255 for p in m[0].split("."))
-        yield 1, m.start(), m.end(), ok, ok
+        yield 1, m.start(), m.end(), ok, ok, ok
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 13:
             digits = m[0].replace(" ", "").replace("-", "")
             ok = len(digits) <= 19 and luhn(digits)
             if 13 <= len(digits) <= 19:
-                yield 2, m.start(), m.end(), ok and len(digits) >= 16, ok
-    phones = []
+                yield 2, m.start(), m.end(), ok and len(digits) >= 16, ok and len(digits) >= 16, ok
     for m in _PHONE.finditer(text):
         ok = 8 <= sum(c.isdigit() for c in m[0]) <= 15
-        phones.append((m.start(), m.end()))
-        yield 3, m.start(), m.end(), ok, ok
+        yield 3, m.start(), m.end(), ok, ok, ok
     for m in _NATIONAL.finditer(text):
-        if not any(a < m.end() and m.start() < b for a, b in phones):
-            yield 3, m.start(), m.end(), False, m[0].count("(") == m[0].count(")")
+        yield 3, m.start(), m.end(), False, False, m[0].count("(") == m[0].count(")")
     if "at]" in text or "at)" in text:
-        for m in _SPELLED.finditer(text):
-            yield 0, m.start(), m.end(), False, True
-    if text.count(":") >= 7:
-        for m in _IPV6.finditer(text):
-            yield 1, m.start(), m.end(), False, True
+        for a, b in _spelled(text):
+            last = re.split(r"[^A-Za-z0-9-]+", text[a:b])[-1]
+            yield 0, a, b, False, False, last.isalpha() and len(last) >= 2
+    if text.count(":") >= 2:
+        for m in _GROUPS.finditer(text):
+            if sum(map(bool, m[0].split(":"))) >= 3:
+                yield 1, m.start(), m.end(), False, False, _is_ipv6(m[0])
     for m in _SECRET.finditer(text):
-        kinds = [bool(re.search(c, m[1])) for c in ("[a-z]", "[A-Z]", "[0-9]")]
-        if kinds[2]:
-            yield 4, m.start(1), m.end(1), False, sum(kinds) >= 2
+        if re.search("[0-9]", m[1]):
+            yield 4, m.start(1), m.end(1), False, True, _secret_like(m[1])
     for m in _NAMED.finditer(text):
-        yield 5, m.start(1), m.end(1), False, True
+        yield 5, m.start(1), m.end(1), False, True, _name_like(m[1])
+    if any(p in text for p in _PREFIXES):
+        for m in _PREFIXED.finditer(text):
+            yield 4, m.start(), m.end(), False, False, _secret_like(m[0])
+    for m in _FIRST_AND_LAST.finditer(text):
+        yield 5, m.start(), m.end(), False, False, _name_like(m[0])
+    lowered = text.lower()
+    for name, pattern in _CUED.items():
+        if not any(cue in lowered for cue in _CUES[name]) or name == "email" and " dot " not in text:
+            continue
+        kind = KINDS.index(name)
+        for m in pattern.finditer(text):
+            a, b = m.span(1)
+            if name == "phone":
+                digits = sum(c.isdigit() for c in m[1])
+                yield kind, a, b, False, False, 7 <= digits <= 15 and m[1].count("(") == m[1].count(")")
+            elif name == "secret":
+                if re.search("[0-9]", m[1]):
+                    yield kind, a, b, False, False, _secret_like(m[1])
+            elif name == "name":
+                yield kind, a, b, False, False, _name_like(m[1])
+            elif _cued("email", text, a):
+                yield kind, a, b, False, False, m[1].rpartition(" ")[2].isalpha()
+
+
+def _candidates(text: str) -> Iterator[tuple[int, int, int, bool, bool, bool]]:
+    """The proposals without those that overlap an earlier proposer's of the same kind, or a base span."""
+    starts: dict[int, list[int]] = {}
+    ends: dict[int, list[int]] = {}
+
+    def free(kind: int, a: int, b: int) -> bool:
+        i = bisect_left(starts.setdefault(kind, []), b) - 1  # the last span that starts before b
+        return i < 0 or ends[kind][i] <= a
+
+    for kind, a, b, base, match, ok in _proposed(text):
+        if base or free(kind, a, b) and free(-1, a, b):
+            for held in (kind, -1) if base else (kind,):
+                i = bisect_left(starts.setdefault(held, []), a)
+                starts[held].insert(i, a)
+                ends.setdefault(held, []).insert(i, b)
+            yield kind, a, b, base, match, ok
+
+
+def _cued(name: str, text: str, start: int) -> bool:
+    before = text[max(0, start - 32): start].lower()
+    return any(cue in before for cue in _CUES[name])
 
 
 def _gazetteer(kind: str, span: str) -> int:
@@ -128,19 +221,19 @@ def _gazetteer(kind: str, span: str) -> int:
         return (1 if _CALLING.match(span) else -1) if span[0] == "+" else 0
     if kind == "name":
         return 1 if span.split()[0] in _FIRST_NAMES else 0
-    return 1 if span.startswith(("sk_", "pk_", "ghp_", "AKIA", "xox")) else 0
+    return 1 if span.startswith(_PREFIXES) else 0
 
 
-def vote(text: str, kind: int, start: int, end: int, base: bool, ok: bool) -> list[int]:
+def vote(text: str, kind: int, start: int, end: int, match: bool, ok: bool) -> list[int]:
     """The labelers' votes, in the order of LABELERS."""
     name = KINDS[kind]
     before = text[max(0, start - 32): start].lower()
     around = text[max(0, start - 1): start] + text[end: end + 1]
     return [
-        1 if base else 0, 1 if ok else -1, _gazetteer(name, text[start:end]),
-        1 if any(cue in before for cue in _CUES[name]) else 0,
+        1 if match else 0, 1 if ok else -1, _gazetteer(name, text[start:end]),
+        1 if _cued(name, text, start) else 0,
         -1 if any(cue in before for cue in _AGAINST) else 0,
-        -1 if any(c.isalnum() or c == "_" for c in around) else 1,
+        -1 if any(c.isalnum() or c == "_" for c in around) else 0,
     ]
 
 
@@ -163,8 +256,8 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for text in batch.column("text").to_pylist():
             text, spans = text or "", []
-            for kind, a, b, base, ok in _candidates(text):
-                votes = vote(text, kind, a, b, base, ok)
+            for kind, a, b, base, match, ok in _candidates(text):
+                votes = vote(text, kind, a, b, match, ok)
                 spans.append({"kind": kind, "start": a, "end": b, "base": base,
                               "votes": sum((v + 1) * 3**i for i, v in enumerate(votes)),
                               "features": span_features(text, kind, a, b, votes)})
@@ -186,9 +279,10 @@ def estimate_reliability(votes: np.ndarray, counts: np.ndarray, rounds: int = 50
     """Expectation-maximisation for one kind: posterior per pattern, vote probabilities, share of true spans.
 
     The probabilities [class, labeler, vote] start from labelers that are right more often than not,
-    as much as ten candidates would say so, and voters are independent given the truth."""
+    as much as ten candidates would say so; where they are of two minds, a candidate is none. Voters are
+    independent given the truth."""
     prior = np.stack([np.tile([4.0, 4.0, 2.0], (votes.shape[1], 1)), np.tile([2.0, 4.0, 4.0], (votes.shape[1], 1))])
-    emit, share = prior / prior.sum(axis=2, keepdims=True), 0.5
+    emit, share = prior / prior.sum(axis=2, keepdims=True), 0.4
     labelers = np.arange(votes.shape[1])
     posterior = np.full(len(votes), 0.5)
     for _ in range(rounds):
@@ -244,7 +338,7 @@ def fit_spans(found: DataFrame, sample: int = SAMPLE) -> SpanClassifier:
 def _decide(model: SpanClassifier):
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns: list[list] = [[] for _ in range(6)]
+            columns: list[list] = [[] for _ in range(7)]
             for spans in batch.column("spans").to_pylist():
                 spans.sort(key=lambda s: (s["kind"], s["start"], s["end"]))
                 written = [f"{KINDS[s['kind']]}:{s['start']}:{s['end']}" for s in spans]
@@ -252,20 +346,23 @@ def _decide(model: SpanClassifier):
                 for k in range(4):
                     columns[k].append(sum(s["kind"] == k and s["base"] for s in spans))
                 columns[4].append(hashlib.sha256(",".join(w for w, b in zip(written, base) if b).encode()).hexdigest())
-                columns[5].append(",".join(w for w, s in zip(written, spans) if s["base"] or model.sure(s["features"])))
+                chosen = [s["base"] or bool(model.sure(s["features"])) for s in spans]
+                columns[5].append(",".join(w for w, c in zip(written, chosen) if c))
+                columns[6].append(sum(chosen) - sum(base))
+            types = [*[pa.int64()] * 4, pa.string(), pa.string(), pa.int64()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *[pa.array(c, pa.int64()) for c in columns[:4]], *[pa.array(c, pa.string()) for c in columns[4:]]],
-                names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
+                [batch.column("doc_id"), *[pa.array(c, t) for c, t in zip(columns, types)]],
+                names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"])
 
     return decide
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
-    """doc_id, counts of base spans by kind, base_sha256, and all spans (kind:start:end, comma-joined).
+    """doc_id, counts of base spans by kind, base_sha256, all spans (kind:start:end, comma-joined), n_added.
 
-    Offsets are code points, ends exclusive; kinds in the order of KINDS, then by start. A NULL text
-    counts as empty: no spans, the hash of the empty string. Every row of docs gives one row, repeated
+    Offsets are code points, ends exclusive; kinds in the order of KINDS, then by start. n_added counts
+    the spans that are not base ones. A NULL text counts as empty: no spans, the hash of the empty string. Every row of docs gives one row, repeated
     rows too; other columns are not read. An empty table gives no rows."""
     found = checkpointed(candidates(docs))
     model = fit_spans(found)
-    return found.mapInArrow(_decide(model), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return found.mapInArrow(_decide(model), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
