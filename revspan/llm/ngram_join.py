@@ -5,8 +5,8 @@ digest and the set's size) and are one class from then on. With n shingles and t
 least t of them, so in any common order of shingles their prefixes of length n - t + l share at
 least l (for different l: the smaller one). The order is rare first, by exact document counts.
 
-1. Shingles are dealt out by hash range, packed: a range's task counts classes per shingle and
-   returns only shingles that two classes or more hold. The others (count 1) come first in the
+1. Shingles are dealt out by hash range, packed, in as many ranges as their number asks for: a
+   range's task counts classes per shingle and returns only shingles that two classes or more hold. The others (count 1) come first in the
    order and can match nothing, so most documents end here with an empty prefix.
 2. Each class chooses the l with the least estimated cost: reading the posting lists of a longer
    prefix against verifying at most (postings read) / l candidates.
@@ -30,6 +30,7 @@ from revspan.llm.components import components
 
 MAX_MATCHES = 8  # the largest l that a class may choose; any choice is exact
 VERIFY_COST = 0.05  # verifying one shingle of a candidate, in postings read
+RANGE = 2**24  # shingles that a hash range, held by one task at a time, is meant for: 128 MB and their keys
 SLICES = np.uint64(8)  # a hash range is counted in so many slices, one after another
 
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)  # odd, fixed
@@ -119,7 +120,7 @@ def _unpacked(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
 
 def _dealt(width: int, ranges: int):
     """Per batch and hash range one row: the classes of the batch and their shingles in the range."""
-    edges = (np.arange(1, ranges, dtype=object) * 2**64 // ranges).astype(np.uint64)
+    small = np.uint16 if ranges <= 2**16 else np.int64
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
@@ -128,14 +129,17 @@ def _dealt(width: int, ranges: int):
             sets.pop(None, None)
             if not sets:
                 continue
-            keys, sets = np.frombuffer(b"".join(sets), "V16"), list(sets.values())
-            cuts = np.stack([np.concatenate([[0], np.searchsorted(t, edges), [len(t)]]) for t in sets])
-            for r in range(ranges):
-                held = cuts[:, r + 1] - cuts[:, r]
-                who = np.flatnonzero(held)
-                if len(who):
-                    tokens = np.concatenate([sets[i][cuts[i, r]: cuts[i, r + 1]] for i in who])
-                    yield _pack(r, keys[who], held[who], tokens, None)
+            keys = np.frombuffer(b"".join(sets), "V16")
+            owner = np.repeat(np.arange(len(keys), dtype=np.int32), [len(t) for t in sets.values()])
+            tokens = np.concatenate(list(sets.values()))
+            at = ((tokens >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(small)
+            order = np.argsort(at, kind="stable")  # owners stay in order within a range
+            at, owner, tokens = at[order], owner[order], tokens[order]
+            cuts = np.concatenate([[0], np.flatnonzero(at[1:] != at[:-1]) + 1, [len(at)]])
+            for start, end in zip(cuts, cuts[1:]):
+                own = owner[start:end]
+                firsts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+                yield _pack(int(at[start]), keys[own[firsts]], np.diff(np.append(firsts, len(own))), tokens[start:end], None)
 
     return deal
 
@@ -234,10 +238,18 @@ def _prefixes(percent: int):
     return choose
 
 
-def prefixes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """Classes that can link at all: key, n, shared (of n), matches (their l), rest, prefix, tokens (shared, packed)."""
-    parts = shuffle_partitions(docs.sparkSession)
-    ranges = max(1, parts // 2)  # wide ranges: a class's key is repeated in each range it has shingles in
+def range_count(n_shingles: int, parts: int) -> int:
+    """Hash ranges: no more than the shuffle needs, as a class's key is repeated in each range that it has
+    shingles in, but enough for none to expect more than RANGE shingles, however few partitions are set."""
+    return max(1, parts // 2, -(-n_shingles // RANGE))
+
+
+def prefixes(docs: DataFrame, width: int = 5, percent: int = 80, n_shingles: int = 0) -> DataFrame:
+    """Classes that can link at all: key, n, shared (of n), matches (their l), rest, prefix, tokens (shared, packed).
+
+    n_shingles: how many the sets of docs hold in all, by which the work is cut into groups."""
+    ranges = range_count(n_shingles, shuffle_partitions(docs.sparkSession))
+    parts = max(shuffle_partitions(docs.sparkSession), ranges)
     dealt = docs.select("text").mapInArrow(_dealt(width, ranges), _PACKED)
     shared = dealt.groupBy("part").applyInArrow(_shared(parts), _PACKED)
     return shared.groupBy("part").applyInArrow(_prefixes(percent), _CLASSES)
@@ -368,7 +380,8 @@ def ngram_jaccard(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFra
     is one shingle. Rows with equal sets link whatever their doc_id; a NULL doc_id counts as larger
     than any other. Other columns are not read. An empty table gives no rows."""
     sets = checkpointed(shingle_sets(docs, width))
-    found = link_components(prefixes(docs, width, percent), percent)
+    n_shingles = sets.agg(F.sum("n_shingles")).first()[0] or 0
+    found = link_components(prefixes(docs, width, percent, n_shingles), percent)
     named = sets.join(found, F.col("key") == F.col("node"), "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "key").alias("component"))
     least = named.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("least"))

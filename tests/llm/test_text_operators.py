@@ -515,9 +515,10 @@ def brute_components(rows, percent):
     return sorted((doc, len(s), least[find(i)]) for i, ((doc, _), s) in enumerate(zip(rows, sets)))
 
 
-@pytest.mark.parametrize("long_list", [3, 64])
-def test_shingle_components_against_brute_force(spark, monkeypatch, long_list):
+@pytest.mark.parametrize("long_list, in_range", [(3, 2**24), (64, 2**24), (64, 40)])
+def test_shingle_components_against_brute_force(spark, monkeypatch, long_list, in_range):
     monkeypatch.setattr(ngram_join, "LONG_LIST", long_list)
+    monkeypatch.setattr(ngram_join, "RANGE", in_range)
     monkeypatch.setattr(ngram_join, "TILE", 5)
     rng = random.Random(long_list)
     bases = [[f"w{rng.randrange(300)}" for _ in range(rng.choice([6, 30, 80]))] for _ in range(12)]
@@ -532,6 +533,17 @@ def test_shingle_components_against_brute_force(spark, monkeypatch, long_list):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(rows, 80)
 
 
+def test_ranges_follow_the_number_of_shingles(spark):
+    assert [ngram_join.range_count(n, 16) for n in (0, 2**24, 2**27 + 1, 2**34)] == [8, 8, 9, 1024]
+    docs = make_docs(spark, [(i, " ".join(f"w{i * 31 + k}" for k in range(100))) for i in range(50)]).select("text").coalesce(1)
+    for ranges in (1, 7, 70_000):
+        rows = docs.mapInArrow(ngram_join._dealt(5, ranges), ngram_join._PACKED).collect()
+        edges = [(min(t), max(t)) for t in (np.frombuffer(r.tokens, np.uint64) for r in sorted(rows, key=lambda r: r.part))]
+        assert sum(len(r.tokens) for r in rows) == 8 * 96 * 50 and all(0 <= r.part < ranges for r in rows)
+        assert all(a[1] < b[0] for a, b in zip(edges, edges[1:])) and len({r.part for r in rows}) == len(rows)
+        assert all(sum(np.frombuffer(r.held, np.uint32)) * 8 == len(r.tokens) and len(r.keys) == 4 * len(r.held) for r in rows)
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 400), (7, 7)], "a long, b long")
     got = {r.node: r.component for r in components(edges).collect()}
