@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import re
 import tempfile
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
@@ -58,6 +59,13 @@ def spread(column: Column, seed: int) -> Column:
     return F.shiftrightunsigned(F.xxhash64(column, F.lit(seed)), 33)
 
 
+def values(batch: pa.RecordBatch, column: str, rows: int = 256) -> Iterator:
+    """A column's values, some rows at a time: a batch of texts takes several times its bytes as strings."""
+    held = batch.column(column)
+    for start in range(0, len(held), rows):
+        yield from held.slice(start, rows).to_pylist()
+
+
 def free_name(columns: Iterable[str], name: str) -> str:
     """name, or name with underscores after it until no column is called so (case does not tell columns apart)."""
     taken = {c.lower() for c in columns}

@@ -18,14 +18,14 @@ least l (for different l: the smaller one). The order is rare first, by exact do
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from revspan.llm.common import checkpointed, shuffle_partitions
+from revspan.llm.common import checkpointed, shuffle_partitions, values
 from revspan.llm.components import components
 
 MAX_MATCHES = 8  # the largest l that a class may choose; any choice is exact
@@ -66,7 +66,7 @@ def class_key(tokens: np.ndarray) -> bytes | None:
     return xxhash.xxh3_128_digest(tokens.tobytes())[:12] + len(tokens).to_bytes(4, "big") if len(tokens) else None
 
 
-def _sets(texts: list[str | None], width: int, known: dict[bytes, int]) -> Iterator[tuple[bytes | None, np.ndarray]]:
+def _sets(texts: Iterable[str | None], width: int, known: dict[bytes, int]) -> Iterator[tuple[bytes | None, np.ndarray]]:
     """Key and hashes of each text's shingle set."""
     if len(known) > 200_000:
         known.clear()  # a cache only
@@ -79,7 +79,7 @@ def _key_rows(width: int):
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
         for batch in batches:
-            made = [(k, len(t)) for k, t in _sets(batch.column("text").to_pylist(), width, known)]
+            made = [(k, len(t)) for k, t in _sets(values(batch, "text"), width, known)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([n for _, n in made], pa.int64()),
                  pa.array([k for k, _ in made], pa.binary())],
@@ -125,16 +125,19 @@ def _dealt(width: int, ranges: int):
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
         for batch in batches:
-            sets = dict(_sets(batch.column("text").to_pylist(), width, known))
+            sets = dict(_sets(values(batch, "text"), width, known))
             sets.pop(None, None)
             if not sets:
                 continue
             keys = np.frombuffer(b"".join(sets), "V16")
             owner = np.repeat(np.arange(len(keys), dtype=np.int32), [len(t) for t in sets.values()])
             tokens = np.concatenate(list(sets.values()))
+            sets.clear()
             at = ((tokens >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(small)
             order = np.argsort(at, kind="stable")  # owners stay in order within a range
-            at, owner, tokens = at[order], owner[order], tokens[order]
+            tokens = tokens[order]  # one by one, so that few arrays are held twice
+            at, owner = at[order], owner[order]
+            del order
             cuts = np.concatenate([[0], np.flatnonzero(at[1:] != at[:-1]) + 1, [len(at)]])
             for start, end in zip(cuts, cuts[1:]):
                 own = owner[start:end]

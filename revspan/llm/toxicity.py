@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from revspan.llm.char_ngrams import CHUNK, ngram_buckets, present
-from revspan.llm.common import free_name, checkpointed, held_out, learnable, spread
+from revspan.llm.common import free_name, checkpointed, held_out, learnable, spread, values
 
 ORDERS = (3, 4, 5, 6)
 BITS = 22
@@ -47,7 +47,7 @@ def _class_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     counts, texts = np.zeros((2, 1 << BITS), np.int32), np.zeros(2, np.int64)
     stamp = np.empty(1 << BITS, np.int32)
     for batch in batches:
-        for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist()):
+        for text, label in zip(values(batch, "text"), batch.column("label").to_pylist()):
             counts[label][present(text, ORDERS, BITS, stamp)] += 1
             texts[label] += 1
     if texts.any():
@@ -82,7 +82,7 @@ def _chosen_features(chosen: np.ndarray):
         stamp = np.empty(1 << BITS, np.int32)
         for batch in batches:
             out = []
-            for text in batch.column("text").to_pylist():
+            for text in values(batch, "text"):
                 found = number[present(text, ORDERS, BITS, stamp)]
                 out.append(np.sort(found[found >= 0]).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(out, pa.binary())], names=["label", "found"])
@@ -161,7 +161,7 @@ def _scored(model: ToxicityModel, name: str):
         number = _numbers(model.buckets)
         for batch in batches:
             z = np.array([passage_sums(t, number, model.weights).max()
-                          for t in batch.column("text").to_pylist()], np.float64) + model.bias
+                          for t in values(batch, "text")], np.float64) + model.bias
             scores = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], names=[*batch.schema.names, name])
 
