@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
+import sys
 import tempfile
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -66,6 +68,33 @@ def values(batch: pa.RecordBatch, column: str, rows: int = 256) -> Iterator:
         yield from held.slice(start, rows).to_pylist()
 
 
+def give_back() -> None:
+    """Return memory that was freed to the machine. Allocators keep it, and a worker goes on to tasks of other
+    operators, so that without this it holds what the largest of them once took."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux" and hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def released(task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """task, after which its worker gives back what it freed."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from task(batches)
+        give_back()
+
+    return run
+
+
+def released_group(task: Callable[[pa.Table], pa.Table]):
+    """task on one group, after which its worker gives back what it freed."""
+    def run(group: pa.Table) -> pa.Table:
+        made = task(group)
+        give_back()
+        return made
+
+    return run
+
+
 def free_name(columns: Iterable[str], name: str) -> str:
     """name, or name with underscores after it until no column is called so (case does not tell columns apart)."""
     taken = {c.lower() for c in columns}

@@ -18,7 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from revspan.llm.common import checkpointed, free_name, marked, shuffle_partitions
+from revspan.llm.common import checkpointed, free_name, marked, released, shuffle_partitions, values
 
 #: The white space that is stripped from both ends of a line to make its key.
 BLANKS = b" \t\n\x0b\x0c\r"
@@ -26,6 +26,8 @@ BLANKS = b" \t\n\x0b\x0c\r"
 #: Stands for a missing doc_id, so that it sorts first and can be joined on.
 NO_ID = -(2**63)
 
+ROWS = 1_000  # documents whose lines are held before they are handed on
+
 _LINES = "h1 long, h2 long, doc long, body long, pos int"
 _FOUND = "h1 long, h2 long, doc long, body long, pos int, n_docs long"
 
@@ -45,9 +47,9 @@ def line_keys(text: str | None) -> list[bytes]:
 
 def _hash_lines(min_chars: int):
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(i, ROWS) for whole in batches for i in range(0, whole.num_rows, ROWS)):
             digests, owners, places = [], [], []
-            for i, text in enumerate(batch.column("text").to_pylist()):
+            for i, text in enumerate(values(batch, "text")):
                 for pos, key in enumerate(line_keys(text)):
                     if key and (min_chars <= 1 or len(key.decode()) >= min_chars):
                         digests.append(xxhash.xxh3_128_digest(key))
@@ -145,11 +147,11 @@ def _decide_runs(min_docs: int):
 
 def repeated_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataFrame:
     """(doc, body, pos) of every line whose key is in at least min_docs documents."""
-    lines = _identified(docs).mapInArrow(_hash_lines(min_chars), _LINES)
+    lines = _identified(docs).mapInArrow(released(_hash_lines(min_chars)), _LINES)
     parts = shuffle_partitions(docs.sparkSession)
     ranged = lines.repartitionByRange(parts, "h1", "h2", "doc", "body").sortWithinPartitions(
         "h1", "h2", "doc", "body", "pos")
-    found = checkpointed(ranged.mapInArrow(_decide_runs(min_docs), _FOUND))
+    found = checkpointed(ranged.mapInArrow(released(_decide_runs(min_docs)), _FOUND))
     # At most two counts per partition, so this side is small whatever the data.
     totals = found.where("pos = -1").groupBy("h1", "h2").agg(F.sum("n_docs").alias("total")).where(
         F.col("total") >= min_docs)
@@ -192,13 +194,13 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> Dat
 
     All that the sorted stream gives back: no text has been touched since its lines were hashed."""
     places = repeated_lines(docs, min_docs, min_chars).groupBy("doc", "body").agg(F.collect_set("pos").alias("dropped"))
-    return checkpointed(places.mapInArrow(_bitmaps, "doc long, body long, n_dropped long, keep_bitmap binary"))
+    return checkpointed(places.mapInArrow(released(_bitmaps), "doc long, body long, n_dropped long, keep_bitmap binary"))
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     whole = pack_kept(())
     for batch in batches:
-        n_lines = [(t or "").count("\n") + 1 for t in batch.column("text").to_pylist()]
+        n_lines = [(t or "").count("\n") + 1 for t in values(batch, "text")]
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), batch.column("text"), pa.array(n_lines, pa.int64()),
              batch.column("n_dropped").fill_null(0), batch.column("keep_bitmap").fill_null(whole)],
@@ -219,7 +221,7 @@ def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataF
     columns = ["doc", "text", "n_dropped", "keep_bitmap"]
     both = near.select(*columns).unionByName(rows.where("not may_lose").select("doc", "text"), allowMissingColumns=True)
     return both.select(F.nullif("doc", F.lit(NO_ID)).alias("doc_id"), *columns[1:]).mapInArrow(
-        _counted, "doc_id long, text string, n_lines long, n_dropped long, keep_bitmap binary")
+        released(_counted), "doc_id long, text string, n_lines long, n_dropped long, keep_bitmap binary")
 
 
 def _rewritten(bitmap_name: str):
@@ -228,7 +230,7 @@ def _rewritten(bitmap_name: str):
             columns = dict(zip(batch.schema.names, batch.columns))
             bitmaps = columns.pop(bitmap_name).to_pylist()
             columns["text"] = pa.array(
-                [kept_text(t, m) if m else t for t, m in zip(columns["text"].to_pylist(), bitmaps)], pa.string())
+                [kept_text(t, m) if m else t for t, m in zip(values(batch, "text"), bitmaps)], pa.string())
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     return rewritten
@@ -246,14 +248,14 @@ def without_repeated_lines(docs: DataFrame, min_docs: int = 10, min_chars: int =
     own = [F.col(f"`{c}`") for c in docs.columns]
     near = rows.where(F.col(names["may_lose"])).withColumns(dict(zip(on, key))).join(bitmaps, on, "left").select(
         *own, names["keep_bitmap"])
-    return near.mapInArrow(_rewritten(names["keep_bitmap"]), docs.schema).unionByName(
+    return near.mapInArrow(released(_rewritten(names["keep_bitmap"])), docs.schema).unionByName(
         rows.where(~F.col(names["may_lose"])).select(*own))
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         columns = dict(zip(batch.schema.names, batch.columns))
-        kept = map(kept_text, columns["text"].to_pylist(), columns["keep_bitmap"].to_pylist())
+        kept = map(kept_text, values(batch, "text"), columns["keep_bitmap"].to_pylist())
         yield pa.RecordBatch.from_arrays(
             [columns["doc_id"], columns["n_lines"], columns["n_dropped"],
              pa.array([hashlib.sha256(t.encode()).hexdigest() for t in kept], pa.string())],
@@ -263,4 +265,4 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def line_digests(deduped: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_dropped, kept_sha256 from the rows of line_dedup."""
-    return deduped.mapInArrow(_digests, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
+    return deduped.mapInArrow(released(_digests), "doc_id long, n_lines long, n_dropped long, kept_sha256 string")

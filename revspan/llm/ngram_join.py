@@ -25,12 +25,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from revspan.llm.common import checkpointed, shuffle_partitions, values
+from revspan.llm.common import checkpointed, released, released_group, shuffle_partitions, values
 from revspan.llm.components import components
 
 MAX_MATCHES = 8  # the largest l that a class may choose; any choice is exact
 VERIFY_COST = 0.05  # verifying one shingle of a candidate, in postings read
 RANGE = 2**24  # shingles that a hash range, held by one task at a time, is meant for: 128 MB and their keys
+DEALT = 2**19  # shingles that a task deals out at a time, and those of one more set
 SLICES = np.uint64(8)  # a hash range is counted in so many slices, one after another
 
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)  # odd, fixed
@@ -92,7 +93,7 @@ def _key_rows(width: int):
 def shingle_sets(docs: DataFrame, width: int = 5) -> DataFrame:
     """doc_id, n_shingles, key of the set (NULL when empty), one row per row of docs."""
     return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(
-        _key_rows(width), "doc_id long, n_shingles long, key binary")
+        released(_key_rows(width)), "doc_id long, n_shingles long, key binary")
 
 
 _PACKED = "part int, keys binary, held binary, tokens binary, counts binary"
@@ -118,17 +119,29 @@ def _unpacked(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return join("keys", "V16"), owner, join("tokens", np.uint64), join("counts", np.uint16)
 
 
+def _portions(sets: Iterable[tuple[bytes | None, np.ndarray]]) -> Iterator[dict[bytes, np.ndarray]]:
+    """The different sets that are not empty, in order, in portions of DEALT shingles."""
+    seen, held, n = set(), {}, 0
+    for key, tokens in sets:
+        if key is None or key in seen:
+            continue
+        seen.add(key)
+        held[key] = tokens
+        n += len(tokens)
+        if n >= DEALT:
+            yield held
+            held, n = {}, 0
+    if held:
+        yield held
+
+
 def _dealt(width: int, ranges: int):
-    """Per batch and hash range one row: the classes of the batch and their shingles in the range."""
+    """Per portion of a batch and hash range one row: the classes of the portion and their shingles in the range."""
     small = np.uint16 if ranges <= 2**16 else np.int64
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
-        for batch in batches:
-            sets = dict(_sets(values(batch, "text"), width, known))
-            sets.pop(None, None)
-            if not sets:
-                continue
+        for sets in (p for batch in batches for p in _portions(_sets(values(batch, "text"), width, known))):
             keys = np.frombuffer(b"".join(sets), "V16")
             owner = np.repeat(np.arange(len(keys), dtype=np.int32), [len(t) for t in sets.values()])
             tokens = np.concatenate(list(sets.values()))
@@ -253,9 +266,9 @@ def prefixes(docs: DataFrame, width: int = 5, percent: int = 80, n_shingles: int
     n_shingles: how many the sets of docs hold in all, by which the work is cut into groups."""
     ranges = range_count(n_shingles, shuffle_partitions(docs.sparkSession))
     parts = max(shuffle_partitions(docs.sparkSession), ranges)
-    dealt = docs.select("text").mapInArrow(_dealt(width, ranges), _PACKED)
-    shared = dealt.groupBy("part").applyInArrow(_shared(parts), _PACKED)
-    return shared.groupBy("part").applyInArrow(_prefixes(percent), _CLASSES)
+    dealt = docs.select("text").mapInArrow(released(_dealt(width, ranges)), _PACKED)
+    shared = dealt.groupBy("part").applyInArrow(released_group(_shared(parts)), _PACKED)
+    return shared.groupBy("part").applyInArrow(released_group(_prefixes(percent)), _CLASSES)
 
 
 def _verified(percent: int):
@@ -275,7 +288,7 @@ def verified(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of classes whose sets link. Sets are compared whole, by shared shingles."""
     side = lambda s: classes.select(F.col("key").alias(s), F.col("n").alias(f"n{s}"), F.col("tokens").alias(f"t{s}"))
     joined = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
-    return joined.mapInArrow(_verified(percent), "a binary, b binary")
+    return joined.mapInArrow(released(_verified(percent)), "a binary, b binary")
 
 
 LONG_LIST = 64  # posting lists from here on are compared in tiles instead of a join

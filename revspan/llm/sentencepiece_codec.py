@@ -24,6 +24,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from revspan.llm.common import released
+
 MARK = "▁"  # stands for a space in pieces
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
 UNIGRAM, BPE = 1, 2
@@ -272,7 +274,7 @@ def encode(docs: DataFrame, model: bytes, keep: tuple[str, ...] = ("doc_id",), d
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
     kind = "string" if digests else "array<int>"
     return docs.select(*keep, F.col("text")).mapInArrow(
-        _encoded(model, digests), f"{fields}, ids {kind}, n_tokens long, n_byte_tokens long, round_trip boolean, parity boolean")
+        released(_encoded(model, digests)), f"{fields}, ids {kind}, n_tokens long, n_byte_tokens long, round_trip boolean, parity boolean")
 
 
 def _decoded(raw: bytes):

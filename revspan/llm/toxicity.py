@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from revspan.llm.char_ngrams import CHUNK, ngram_buckets, present
-from revspan.llm.common import free_name, checkpointed, held_out, learnable, spread, values
+from revspan.llm.common import free_name, checkpointed, held_out, learnable, released, spread, values
 
 ORDERS = (3, 4, 5, 6)
 BITS = 22
@@ -51,7 +51,7 @@ def _class_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             counts[label][present(text, ORDERS, BITS, stamp)] += 1
             texts[label] += 1
     if texts.any():
-        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(counts.tobytes(), 1)], pa.binary()), pa.array([texts.tobytes()], pa.binary())],
+        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(counts, 1)], pa.binary()), pa.array([texts.tobytes()], pa.binary())],
                                          names=["counts", "texts"])
 
 
@@ -128,14 +128,14 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> To
     chosen = known.where(at < int(share * 2**31)).orderBy(at, "doc_id").limit(sample)  # so the broadcast is bounded
     learned = checkpointed(docs.select("doc_id", F.col("text")).join(F.broadcast(chosen), "doc_id").select(
         F.coalesce("text", F.lit("")).alias("text"), F.col("label").cast("int")).repartition(_PARTS))
-    parts = learned.mapInArrow(_class_counts, "counts binary, texts binary").collect()  # _PARTS rows
+    parts = learned.mapInArrow(released(_class_counts), "counts binary, texts binary").collect()  # _PARTS rows
     counts, (clean, toxic) = np.zeros((2, 1 << BITS), np.int32), sum((np.frombuffer(p.texts, np.int64) for p in parts), np.zeros(2))
     for p in parts:
         counts += np.frombuffer(zlib.decompress(p.counts), np.int32).reshape(2, -1)
     if not clean or not toxic:
         return ToxicityModel(np.empty(0, np.int64), np.empty(0), 20.0 if toxic else -20.0)
     picked, ratio = _sure_ratios(counts, clean, toxic)
-    rows = learned.mapInArrow(_chosen_features(picked), "label int, found binary").collect()  # bounded by sample
+    rows = learned.mapInArrow(released(_chosen_features(picked)), "label int, found binary").collect()  # bounded by sample
     found = [np.frombuffer(r.found, np.int32) for r in rows]
     w, bias = _regress(found, np.array([r.label for r in rows], float), ratio)
     return ToxicityModel(picked, w * ratio, bias)
@@ -172,7 +172,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, name: str = "score") -
     """docs with the score (0 to 1) under a name that docs does not have; a NULL or empty text gets that of a
     text without n-grams."""
     schema = StructType([*docs.schema.fields, StructField(name, DoubleType())])
-    return docs.mapInArrow(_scored(model, name), schema)
+    return docs.mapInArrow(released(_scored(model, name)), schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, limit: float = LIMIT) -> DataFrame:

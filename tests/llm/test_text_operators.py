@@ -6,9 +6,11 @@ import math
 import os
 import random
 import re
+import sys
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -16,7 +18,7 @@ import corpus_pipeline
 from revspan.llm import (
     embedding_dedup, exact_dedup, html_text, langid, line_dedup, mixing, ngram_join, pii, queries, sentencepiece_codec, toxicity,
 )
-from revspan.llm.common import fold, free_name, marked
+from revspan.llm.common import fold, free_name, marked, released, released_group
 from revspan.llm.components import components
 from tests.conftest import SF
 from tests.oracle_check import connect, duck_rows, spark_rows
@@ -544,6 +546,48 @@ def test_ranges_follow_the_number_of_shingles(spark):
         assert all(sum(np.frombuffer(r.held, np.uint32)) * 8 == len(r.tokens) and len(r.keys) == 4 * len(r.held) for r in rows)
 
 
+def test_a_batch_is_dealt_in_portions(monkeypatch):
+    texts = [" ".join(f"w{(i * 37 + k * 11) % 5_003}" for k in range(400)) for i in range(300)]
+    batch = pa.RecordBatch.from_arrays([pa.array([*texts, None, "", *texts[:50], "one two"])], names=["text"])
+
+    def dealt():
+        rows = [r for b in ngram_join._dealt(5, 3)(iter([batch, batch.slice(0, 0)])) for r in b.to_pylist()]
+        held = {}  # (part, key) to its shingles
+        for r in rows:
+            cuts = np.cumsum(np.frombuffer(r["held"], np.uint32))[:-1]
+            for key, tokens in zip(np.frombuffer(r["keys"], "V16"), np.split(np.frombuffer(r["tokens"], np.uint64), cuts)):
+                assert (r["part"], key.tobytes()) not in held  # copies within a batch go once, whatever the portion
+                held[r["part"], key.tobytes()] = tokens.tolist()
+        return max(len(r["tokens"]) // 8 for r in rows), held
+
+    monkeypatch.setattr(ngram_join, "DEALT", 10**9)
+    _, whole = dealt()
+    monkeypatch.setattr(ngram_join, "DEALT", 5_000)
+    largest, held = dealt()
+    assert held == whole and largest < 5_000 + 400
+
+
+@pytest.mark.skipif(sys.platform != "linux", reason="reads /proc")
+@pytest.mark.parametrize("wrapped", [
+    lambda f: max(released(lambda batches: (f(b) for b in batches))(iter(range(1)))), lambda f: released_group(f)(0)])
+def test_a_worker_gives_back_what_a_task_freed(wrapped):
+    def held():  # MB
+        with open("/proc/self/statm") as statm:
+            return int(statm.read().split()[1]) * os.sysconf("SC_PAGE_SIZE") / 2**20
+
+    pins, before = [], held()
+
+    def task(_):
+        taken = []
+        for _ in range(2_000):
+            taken.append(np.ones(100_000, np.uint8))
+            pins.append(np.ones(2_000, np.uint8))  # keeps the top of the heap in use
+        return held() - before
+
+    most = wrapped(task)
+    assert most > 150 and held() - before < 60
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 400), (7, 7)], "a long, b long")
     got = {r.node: r.component for r in components(edges).collect()}
