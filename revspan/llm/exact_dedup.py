@@ -61,12 +61,18 @@ def _stream_path(spark: SparkSession, path: str) -> str:
     return f"{place.getParent()}/[{place.getName()[0]}]{name}"
 
 
+def state_partitions(parts: int) -> int:
+    """State stores for a session of so many shuffle partitions: an entry is much smaller than a text, and each store
+    costs files at every commit and read."""
+    return max(1, parts // 4)
+
+
 def update_state(spark: SparkSession, path: str, schema: StructType, state: str, digest=digest) -> None:
     """Read the Parquet files under path that the state has not seen, and update its entries.
 
     path may be a folder or a single file. state is a folder that all executors share."""
     session = spark.newSession()
-    for key, value in {**_STATE, "spark.sql.shuffle.partitions": str(shuffle_partitions(spark))}.items():
+    for key, value in {**_STATE, "spark.sql.shuffle.partitions": str(state_partitions(shuffle_partitions(spark)))}.items():
         session.conf.set(key, value)
     rows = _located(session.readStream.schema(schema).option("maxFileAge", MAX_AGE).parquet(_stream_path(spark, path)))
     entries = rows.groupBy(digest(F.col("content")).alias("digest")).agg(

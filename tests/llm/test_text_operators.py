@@ -416,6 +416,16 @@ def test_state_goes_on_where_it_stopped(spark, tmp_path):
     assert got == {1: (3, 2), 2: (2, 1), 3: (3, 2)}
 
 
+def test_the_state_has_fewer_stores_than_a_shuffle_has_partitions(spark, tmp_path):
+    assert [exact_dedup.state_partitions(n) for n in (1, 4, 51, 3_000)] == [1, 1, 12, 750]
+    make_docs(spark, [(i, f"text {i % 30}") for i in range(60)]).write.parquet(f"{tmp_path}/docs")
+    parts = exact_dedup.shuffle_partitions(spark)
+    rows = exact_dedup.exact_dedup(spark, f"{tmp_path}/docs", f"{tmp_path}/state").collect()
+    assert sorted((r.doc_id, r.keep_id, r.group_size) for r in rows) == [(i, i % 30 + 30, 2) for i in range(60)]
+    stores = [d for d in os.listdir(f"{tmp_path}/state/state/0") if d.isdigit()]
+    assert len(stores) == max(1, parts // 4) and exact_dedup.shuffle_partitions(spark) == parts
+
+
 @pytest.mark.parametrize("single", [False, True])
 def test_siblings_and_the_state_are_no_input(spark, tmp_path, single):
     rows = make_docs(spark, [(1, "Text"), (2, "other"), (3, None)]).withColumn("digest", F.lit(1)).withColumn("keep", F.lit(2))
